@@ -100,7 +100,7 @@ class _Bundles:
             return []
         if self.sink is None:
             self.name = f"{uuid.uuid4().hex}.warc.zst"
-            self.sink, self.frames, self.at, self.raw = self.fs.open_output_stream(f"{self.root}/{self.name}"), [], 0, 0
+            self.sink, self.frames, self.at, self.raw = self.fs.open_output_stream(f"{self.root}/{self.name}", compression=None), [], 0, 0
         packed, rows, place = self.zstd.compress(b"".join(r for _, r in self.pending)), [], 0
         self.sink.write(packed)
         for page_id, r in self.pending:
