@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from .filters import apply_filters, require_columns
 
 MAX_COLUMN_VALUES, DEFAULT_LIMIT, MAX_LIMIT = 50, 500, 5000
+#: Binary fractions of a decimal half lie on either side of it; this much lets a half always go up.
+HALF_UP = 1e-7
 AGGREGATES = ("count", "pct_of_total", "count_distinct", "sum", "avg", "min", "max")
 
 
@@ -58,7 +60,7 @@ def _aggregate(m: Metric, when: Column | None = None) -> Column:
     if m.agg == "count_distinct":
         return F.count_distinct(value)
     if m.agg == "avg":
-        return F.round(F.avg(value), 2)
+        return F.round(F.avg(value) + HALF_UP, 2)
     return {"sum": F.sum, "min": F.min, "max": F.max}[m.agg](value)
 
 

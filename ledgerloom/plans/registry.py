@@ -24,8 +24,11 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import disclosure, records, retrieval, streams  # noqa: F401  (they register themselves)
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return _SQL
