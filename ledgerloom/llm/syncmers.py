@@ -2,9 +2,9 @@
 
 A k-mer is an anchor when the least of its inner s-mers stands at its start or end. That depends on the k-mer
 alone, so texts that share a passage share its anchors, wherever it stands. Units are words (k = 5, s = 2); texts
-of few words also get anchors over code points (k = 12, s = 5). A fingerprint is the ``SKETCH`` least distinct
-anchor hashes, and the likeness of two is the share of the least hashes of both that are in either one: the
-Jaccard similarity of the anchor sets, exact for texts with few anchors.
+of few words also have anchors over code points (k = 8, s = 3). A fingerprint is the ``SKETCH`` least distinct
+anchor hashes of either kind. The likeness of two is, of the least hashes that they have together, the share that is in
+both: the Jaccard similarity of the anchor sets, exact for texts with few anchors; over code points where both have such.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, materialize
 from .quality import let, words_of
 
 K, S = 5, 2
-CHAR_K, CHAR_S, FEW_WORDS = 12, 5, 32
-SKETCH = 32
+CHAR_K, CHAR_S, FEW_WORDS = 8, 3, 32
+SKETCH = 64
 #: Rows of one bucket of neighbours, and the quantiles of the ids that the buckets subdivide.
 BUCKET_ROWS, QUANTILES = 2_000, 256
+BROADCAST_HEADS = 100_000
 
 
 def _closed(smers: Column, k: int, s: int, at: Column) -> Column:
@@ -49,25 +50,37 @@ def char_anchors(text: Column) -> Column:
     return F.when(F.length(text) >= CHAR_K, some).otherwise(F.expr("CAST(array() AS array<struct<pos:int,hash:bigint>>)"))
 
 
+def _least(anchors: Column) -> Column:
+    """The least distinct hashes of 40 bits, in order."""
+    hashes = F.transform(anchors, lambda a: F.shiftrightunsigned(a["hash"], 24))
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+
+
 def sketch(text: Column) -> Column:
-    """The least distinct anchor hashes of 40 bits, in order."""
-    def anchors(words: Column) -> Column:
-        return F.when(F.size(words) < FEW_WORDS, F.concat(word_anchors(words), char_anchors(text))).otherwise(word_anchors(words))
+    """struct<words, chars>: the least anchor hashes of each kind; texts of many words have none over code points."""
 
-    hashes = F.transform(let(words_of(text), anchors), lambda a: F.shiftrightunsigned(a["hash"], 24))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+    def of(words: Column) -> Column:
+        few = F.when(F.size(words) < FEW_WORDS, _least(char_anchors(text))).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+        return F.struct(_least(word_anchors(words)).alias("words"), few.alias("chars"))
+
+    return let(words_of(text), of)
 
 
 def fingerprint(found: Column) -> Column:
-    """A sketch as a string: ten hex digits for each hash, in order; no anchors: the empty string."""
-    return F.array_join(F.transform(found, lambda h: F.lpad(F.lower(F.hex(h)), 10, "0")), "")
+    """A sketch as a string: ten hex digits for each hash, in order, those over code points after a point."""
+    text = lambda hashes: F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 10, "0")), "")
+    return F.concat(text(found["words"]), F.when(F.size(found["chars"]) > 0, F.concat(F.lit("."), text(found["chars"]))).otherwise(F.lit("")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1; equal sketches have 1."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    shared = let(least, lambda u: F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(shared, F.lit(0.0)))
+
+    def shared(x: Column, y: Column) -> Column:
+        least = F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
+        return F.coalesce(let(least, lambda u: F.size(F.array_intersect(F.array_intersect(x, y), u)) / F.nullif(F.size(u), F.lit(0))), F.lit(0.0))
+
+    chars = F.when((F.size(a["chars"]) > 0) & (F.size(b["chars"]) > 0), shared(a["chars"], b["chars"])).otherwise(F.lit(0.0))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(shared(a["words"], b["words"]), chars))
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
@@ -95,6 +108,9 @@ def _with_next(rows: DataFrame) -> DataFrame:
     below = F.lead("bucket").over(Window.partitionBy("q").orderBy(F.desc("bucket")))
     links = heads.withColumn("below", below).join(F.broadcast(by_q), "q").select(F.col("bucket").alias("above"), F.coalesce("below", "after").alias("bucket"))
     first = heads.join(links, "bucket").select("above", F.col("bucket").alias("b"), F.col("head.k").alias("k"), F.col("head.t").alias("t"))
+    # The first rows are as many as the buckets. Few enough (under 5 MB), they are sent to the scan; else the texts are shuffled.
+    first = materialize(first, "heads")
+    first = F.broadcast(first) if first.count() <= BROADCAST_HEADS else first
     extra = rows.join(first, (F.col("bucket") == F.col("b")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("k")) & (-F.col("tie") == F.col("t")))
     both = rows.withColumn("extra", F.lit(0)).unionByName(extra.select(*(F.col("above").alias(c) if c == "bucket" else F.col(c) for c in rows.columns), F.lit(1).alias("extra")))
     both = both.withColumn("sketch", sketch(F.col("text")))
