@@ -82,18 +82,19 @@ def read_seek_table(source, size: int) -> list[tuple[int, int, int]]:
 class _Bundles:
     """Writer of bundles into a folder; gives index rows for what it has written."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, frame_bytes: int, bundle_bytes: int):
         import pyarrow.fs
         import zstandard
 
         self.fs, self.root = pyarrow.fs.FileSystem.from_uri(folder)
         self.zstd, self.folder = zstandard.ZstdCompressor(level=3), folder
         self.sink, self.pending, self.held = None, [], 0
+        self.frame_bytes, self.bundle_bytes = frame_bytes, bundle_bytes
 
     def add(self, page_id: int | None, raw: bytes) -> list[tuple]:
         self.pending.append((page_id, raw))
         self.held += len(raw)
-        return self.frame() if self.held >= FRAME_BYTES else []
+        return self.frame() if self.held >= self.frame_bytes else []
 
     def frame(self) -> list[tuple]:
         if not self.pending:
@@ -109,7 +110,7 @@ class _Bundles:
         self.frames.append((len(packed), place))
         self.at, self.raw = self.at + len(packed), self.raw + place
         self.pending, self.held = [], 0
-        if self.raw >= BUNDLE_BYTES:
+        if self.raw >= self.bundle_bytes:
             self.close()
         return rows
 
@@ -126,9 +127,9 @@ def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def _write(folder: str, date: str):
+def _write(folder: str, date: str, frame_bytes: int, bundle_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Bundles(folder)
+        out = _Bundles(folder, frame_bytes, bundle_bytes)
         for batch in slices(batches, "html"):
             done = []
             for page_id, url, html, digest, keep, revisit in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -170,7 +171,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened[1].close()
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write a record for each row into bundles under ``folder`` (default: the shared folder); returns the index.
 
     Of rows with equal payloads of at least 1000 bytes the one with the largest id is a response and the others revisit it; all
@@ -193,7 +194,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "197
     joined = rows.join(F.broadcast(known) if few else known, "digest", "left")
     revisit = F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.col("page_id"))
     joined = joined.select("page_id", "url", "html", "digest", "keep", revisit.alias("revisit"))
-    return materialize(joined.mapInArrow(_write(folder, date), _INDEX), "warc-index")
+    return materialize(joined.mapInArrow(_write(folder, date, frame_bytes, bundle_bytes), _INDEX), "warc-index")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
