@@ -31,8 +31,9 @@ from .shingles import mix, shingle_sets
 GROUPS = 64
 #: Texts in one tile of a node.
 TILE = 512
-#: Up to this many candidates (16 MB of ids) are broadcast to the scan that fetches their sets; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to this many candidates (25 MB) are broadcast to the scan that fetches their texts, and up to this many pairs or rows of
+#: tiles (10 MB) to the texts fetched; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 200_000
 
 
 def _blocks(tau: int) -> int:
@@ -133,15 +134,6 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(np.array([last_key]), np.array([last_id]), np.array([True]))
 
 
-def _points(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = shingle_sets(batch.column(1), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
-
-    return run
-
-
 def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
@@ -183,27 +175,25 @@ class CountTree:
         return self.order[at[np.argsort(-bound, kind="stable")]]
 
 
-def _verify(num: int, den: int):
+def _verify(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
             keep = []
-            for i in range(batch.num_rows):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
+            for p, q in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
                 # Summed coordinate minima first: most pairs that don't link end here.
                 keep.append(int(np.minimum(count_vector(p), count_vector(q)).sum()) >= overlap_needed(len(p), len(q), num, den) and linked(p, q, num, den))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
 
-def _search_tile(num: int, den: int):
+def _search_tile(k: int, num: int, den: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Links that join the components met in a tile: probes against the R-tree over all its points."""
         rows = rows.drop_duplicates("node")
         nodes, probes = rows["node"].to_numpy(), np.flatnonzero(rows["probe"].to_numpy())
-        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+        sets = shingle_sets(pa.array(rows["text"], pa.string()), k)
         points = np.array([count_vector(s) for s in sets]).reshape(-1, GROUPS)
         names, root = np.unique(rows["component"].to_numpy(), return_inverse=True)
         root, links = root.astype(np.int64), []
@@ -261,23 +251,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = copies.groupBy("doc_id").agg(F.min("node").alias("node"))
     members = materialize(members.join(first, "doc_id", "left").select("key", F.coalesce("node", "doc_id").alias("node")), "members")
     leads = members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").select("key", "lead")
-    members = materialize(members.join(leads, "key").where("node <> lead").select("lead", "node").distinct(), "members")
+    members = materialize(members.join(leads, "key").where("node <> lead").groupBy("lead", "node").agg(F.count("*").alias("shared")), "members")
 
-    wanted = members.select("node").union(members.select(F.col("lead").alias("node"))).distinct()
+    # Each text goes to the lead with which it shares most keys; the other pairs are tested if that leaves their ends apart.
+    first = members.groupBy("node").agg(F.max_by("lead", F.struct("shared", -F.col("lead"))).alias("lead"))
+    wanted = first.join(members.select(F.col("lead").alias("node")).distinct().withColumn("leads", F.lit(True)), "node", "full")
     wanted = materialize(wanted, "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    chosen = texts.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
-    sets = materialize(chosen.mapInArrow(_points(k), "node bigint, shingles binary"), "sets")
-
-    pairs = members.join(sets.select(F.col("node").alias("lead"), F.col("shingles").alias("x")), "lead").join(sets.withColumnRenamed("shingles", "y"), "node")
-    links = pairs.select(F.col("lead").alias("a"), F.col("node").alias("b"), "x", "y").mapInArrow(_verify(num, den), "a bigint, b bigint")
+    texts = materialize(texts.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if few else wanted, "node"), "texts")
+    heads = texts.where("leads").select(F.col("node").alias("lead"), F.col("text").alias("x"))
+    pairs = texts.where("lead IS NOT NULL").select("lead", "node", "text").join(heads, "lead")
+    verify = _verify(k, num, den)
+    links = pairs.select(F.col("lead").alias("a"), F.col("node").alias("b"), "x", F.col("text").alias("y")).mapInArrow(verify, "a bigint, b bigint")
     links = materialize(links.union(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "links")
     found = components(links, "a", "b")
 
-    labelled = members.join(found, "node", "left").select("lead", "node", F.coalesce("component", "node").alias("component"))
-    open_ = labelled.groupBy("lead").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("lead")
-    tiles = _tiles(labelled.join(open_, "lead")).join(sets, "node")
-    more = materialize(tiles.groupBy("lead", "i", "j", "within").applyInPandas(_search_tile(num, den), "a bigint, b bigint"), "links")
+    def labelled(end: str) -> DataFrame:
+        return found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+
+    apart = members.join(labelled("node"), "node", "left").join(labelled("lead"), "lead", "left")
+    apart = apart.where(F.coalesce("node_component", "node") != F.coalesce("lead_component", "lead")).join(first, ["node", "lead"], "left_anti").select("lead", "node")
+    apart = materialize(apart, "apart")
+    apart = F.broadcast(apart) if apart.count() <= BROADCAST_PAIRS else apart
+    pairs = texts.select("node", F.col("text").alias("y")).join(apart, "node").join(heads, "lead")
+    more = materialize(pairs.select(F.col("lead").alias("a"), F.col("node").alias("b"), "x", "y").mapInArrow(verify, "a bigint, b bigint"), "links")
+    links = links.union(more)
+    found = components(links, "a", "b")
+
+    named = members.join(labelled("node"), "node", "left").select("lead", "node", F.coalesce("node_component", "node").alias("component"))
+    open_ = named.groupBy("lead").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("lead")
+    dealt = materialize(_tiles(named.join(open_, "lead")), "tiles")
+    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_PAIRS else dealt
+    tiles = texts.select("node", "text").join(dealt, "node")
+    more = materialize(tiles.groupBy("lead", "i", "j", "within").applyInPandas(_search_tile(k, num, den), "a bigint, b bigint"), "links")
     found = components(links.union(more), "a", "b")
     return signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -69,6 +69,8 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, penalty:
     share = min(max(float(labels.mean()) if len(labels) else 0.0, 1e-3), 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
     w = np.zeros(len(scale))
+    if not len(at):
+        return w, bias
     ahead, ahead_bias, t = w.copy(), bias, 1.0
     # Bound on the curvature: a quarter of the largest eigenvalue, by power iteration.
     v = np.random.default_rng(1).random(len(scale)) + 0.1
