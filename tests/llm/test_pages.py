@@ -18,6 +18,8 @@ def test_blocks_of_a_page():
     assert main_text(PAGE) == "Title & more\nFirst bold text.\nSecond one. Next\nitem\nother"
     assert main_text("") == "" and main_text("plain words") == "plain words" and main_text("<p>a<!-- <p>b</p> --><p>c") == "a\nc"
     assert main_text("<nav>only menu</nav>") == "" and main_text("<script>x") == "" and main_text("a < b & c") == "a < b & c"
+    assert main_text("<article><div class='article-header'><h1>T</h1></div><p>a</p><div class='userComments'><p>b</p></div><p hidden>c</p><p style='display: none'>d</p><p data-id='ad'>e</p></article>") == "T\na\ne"
+    assert main_text("<div class='page-header'>x</div><p class='lead'>y</p><div id='cookieBar'>z</div>") == "y"
     assert all(isinstance(b[1], str) for b in blocks("<div" * 50 + ">x</p></div>"))
 
 
@@ -90,6 +92,14 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_matches_sql(spark):
+    from ledgerloom.llm import queries as Q
+
+    from ..oracle import DATA, connect, same
+
+    same(Q.queries()["op7_warc"](spark, DATA), connect(), Q.oracle_sql()["op7_warc"])
+
+
 def test_seek_table_and_damage():
     import zstandard
 
