@@ -6,12 +6,14 @@ and the sum of coordinate minima of two points bounds the overlap of their sets.
 * Routing. For texts of size up to b, linked sets differ in at most t = 2b(1-J)/(1+J) shingles. Splitting the
   hash range in more than t blocks leaves a block where linked sets agree in full, so one key per block
   routes every linked pair into a common node of the index. Nothing that links is lost.
-* Nodes. All texts of a node are tested with its least text first, which joins most copies with as many
-  tests as there are texts. Texts that this leaves in different components go into packed R-trees over their
-  count vectors: a branch is skipped if even its largest coordinates can't reach the overlap needed, and the
-  points that survive are verified on the exact sets.
-
-Pairs inside one component aren't expanded, so a group of copies costs rows in proportion to its size.
+* Nodes. The texts of a node are first bounded against its least text, their lead, and what survives is verified on the
+  exact sets: one lead for each text, then the leads that this leaves apart. That joins most copies with as many
+  tests as there are texts. Texts of a node that are still in different components go into packed R-trees over
+  their count vectors: a branch is skipped if even its largest coordinates can't reach the overlap needed, and
+  texts with a surviving partner are verified.
+
+Count vectors travel before texts do, so that pairs out of reach cost bytes in proportion to the vectors. Pairs inside one
+component aren't expanded, so a group of copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .common import id_text, materialize, slices, small_batches
 from .components import components
 from .shingles import mix, shingle_sets
 
-GROUPS = 64
+#: Groups of a count vector: the largest power of two up to the size of the set, within these bounds.
+LEAST_GROUPS, MOST_GROUPS = 64, 8192
 #: Texts in one tile of a node.
 TILE = 512
 #: Up to this many candidates (25 MB) are broadcast to the scan that fetches their texts, and up to this many pairs or rows of
@@ -134,8 +137,33 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(np.array([last_key]), np.array([last_id]), np.array([True]))
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def groups_of(size: int) -> int:
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << max(0, size.bit_length() - 1)))
+
+
+def count_vector(shingles: np.ndarray, groups: int = 0) -> np.ndarray:
+    groups = groups or groups_of(len(shingles))
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def pack_vector(vector: np.ndarray) -> bytes:
+    return vector.astype("<u1" if vector.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpack_vector(raw: bytes, size: int) -> np.ndarray:
+    groups = groups_of(size)
+    return np.frombuffer(raw, "<u1" if len(raw) == groups else "<u4").astype(np.int32)
+
+
+def fold(vector: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts over fewer groups."""
+    return vector.reshape(-1, groups).sum(axis=0) if len(vector) > groups else vector
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Most overlap of two sets, by the summed minima of their counts."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(fold(a, groups), fold(b, groups)).sum())
 
 
 def overlap_needed(a, b, num: int, den: int):
@@ -175,26 +203,85 @@ class CountTree:
         return self.order[at[np.argsort(-bound, kind="stable")]]
 
 
+def _vectors(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column(1), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([pack_vector(count_vector(s)) for s in sets], pa.binary())], names=["node", "size", "vector"])
+
+    return run
+
+
+def _within_reach(num: int, den: int):
+    """Rows (lead, node, shared, size and vector of either) whose summed minima reach the overlap needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, v, m, w = (batch.column(i).to_pylist() for i in range(3, 7))
+            keep = pa.array([bound(unpack_vector(v[i], n[i]), unpack_vector(w[i], m[i])) >= overlap_needed(n[i], m[i], num, den) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], names=["lead", "node", "shared"])
+
+    return run
+
+
 def _verify(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for p, q in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
-                # Summed coordinate minima first: most pairs that don't link end here.
-                keep.append(int(np.minimum(count_vector(p), count_vector(q)).sum()) >= overlap_needed(len(p), len(q), num, den) and linked(p, q, num, den))
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([linked(p, q, num, den) for p, q in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
 
+_TILE = ["lead", "i", "j", "within"]
+
+
+def _reached(num: int, den: int):
+    """Of the rows of each tile, sorted by tile, those with a partner of another component that the tree can't rule out."""
+
+    def search(rows: list[tuple]) -> list[tuple]:
+        rows = list({r[4]: r for r in rows}.values())
+        names = {c: n for n, c in enumerate(dict.fromkeys(r[5] for r in rows))}
+        if len(names) < 2:
+            return []
+        component = np.array([names[r[5]] for r in rows])
+        vectors = [unpack_vector(r[8], r[7]) for r in rows]
+        groups = min(map(len, vectors))
+        points = np.array([fold(v, groups) for v in vectors])
+        tree, hit = CountTree(points), np.zeros(len(rows), bool)
+        for p, row in enumerate(rows):
+            if row[6]:
+                found = tree.search(points[p], num, den)
+                found = found[component[found] != component[p]]
+                hit[found] = True
+                hit[p] |= len(found) > 0
+        return [rows[i] for i in np.flatnonzero(hit)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, schema = [], None
+        for batch in batches:
+            found, schema = [], batch.schema
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:4] != row[:4]:
+                    found += search(held)
+                    held = []
+                held.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], schema.field(i).type) for i in range(7)], names=schema.names[:7])
+        if held and (found := search(held)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], schema.field(i).type) for i in range(7)], names=schema.names[:7])
+
+    return run
+
+
 def _search_tile(k: int, num: int, den: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Links that join the components met in a tile: probes against the R-tree over all its points."""
         rows = rows.drop_duplicates("node")
         nodes, probes = rows["node"].to_numpy(), np.flatnonzero(rows["probe"].to_numpy())
         sets = shingle_sets(pa.array(rows["text"], pa.string()), k)
-        points = np.array([count_vector(s) for s in sets]).reshape(-1, GROUPS)
+        groups = min(groups_of(len(s)) for s in sets)
+        points = np.array([count_vector(s, groups) for s in sets])
         names, root = np.unique(rows["component"].to_numpy(), return_inverse=True)
         root, links = root.astype(np.int64), []
         tree = CountTree(points)
@@ -253,15 +340,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leads = members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").select("key", "lead")
     members = materialize(members.join(leads, "key").where("node <> lead").groupBy("lead", "node").agg(F.count("*").alias("shared")), "members")
 
-    # Each text goes to the lead with which it shares most keys; the other pairs are tested if that leaves their ends apart.
-    first = members.groupBy("node").agg(F.max_by("lead", F.struct("shared", -F.col("lead"))).alias("lead"))
-    wanted = first.join(members.select(F.col("lead").alias("node")).distinct().withColumn("leads", F.lit(True)), "node", "full")
-    wanted = materialize(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = materialize(texts.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if few else wanted, "node"), "texts")
-    heads = texts.where("leads").select(F.col("node").alias("lead"), F.col("text").alias("x"))
-    pairs = texts.where("lead IS NOT NULL").select("lead", "node", "text").join(heads, "lead")
+    def fetch(ids: DataFrame) -> DataFrame:
+        """(node, text and the columns of ``ids``) of some documents, by one scan."""
+        few = ids.count() <= BROADCAST_IDS
+        return texts.withColumnRenamed("doc_id", "node").join(F.broadcast(ids) if few else ids, "node")
+
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_PAIRS else rows
+
+    nodes = materialize(members.select("node").union(members.select("lead")).distinct(), "nodes")
+    vectors = materialize(fetch(nodes).select("node", "text").mapInArrow(_vectors(k), "node bigint, size int, vector binary"), "vectors")
+    ends = vectors.toDF("lead", "lead_size", "lead_vector")
+    reach = members.join(ends, "lead").join(vectors, "node").select("lead", "node", "shared", "lead_size", "lead_vector", "size", "vector")
+    reach = materialize(reach.mapInArrow(_within_reach(num, den), "lead bigint, node bigint, shared bigint"), "reach")
+
+    # Each text goes to the lead with which it shares most keys; the other leads are tested if that leaves the two apart.
     verify = _verify(k, num, den)
+    first = reach.groupBy("node").agg(F.max_by("lead", F.struct("shared", -F.col("lead"))).alias("lead"))
+    wanted = materialize(first.join(reach.select(F.col("lead").alias("node")).distinct().withColumn("leads", F.lit(True)), "node", "full"), "wanted")
+    near = materialize(fetch(wanted), "texts")
+    heads = near.where("leads").select(F.col("node").alias("lead"), F.col("text").alias("x"))
+    pairs = near.where("lead IS NOT NULL").select("lead", "node", "text").join(heads, "lead")
     links = pairs.select(F.col("lead").alias("a"), F.col("node").alias("b"), "x", F.col("text").alias("y")).mapInArrow(verify, "a bigint, b bigint")
     links = materialize(links.union(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "links")
     found = components(links, "a", "b")
@@ -269,22 +368,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def labelled(end: str) -> DataFrame:
         return found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
 
-    apart = members.join(labelled("node"), "node", "left").join(labelled("lead"), "lead", "left")
+    apart = reach.join(labelled("node"), "node", "left").join(labelled("lead"), "lead", "left")
     apart = apart.where(F.coalesce("node_component", "node") != F.coalesce("lead_component", "lead")).join(first, ["node", "lead"], "left_anti").select("lead", "node")
-    apart = materialize(apart, "apart")
-    apart = F.broadcast(apart) if apart.count() <= BROADCAST_PAIRS else apart
-    pairs = texts.select("node", F.col("text").alias("y")).join(apart, "node").join(heads, "lead")
-    more = materialize(pairs.select(F.col("lead").alias("a"), F.col("node").alias("b"), "x", "y").mapInArrow(verify, "a bigint, b bigint"), "links")
-    links = links.union(more)
+    pairs = near.select("node", F.col("text").alias("y")).join(small(materialize(apart, "apart")), "node").join(heads, "lead")
+    links = links.union(materialize(pairs.select(F.col("lead").alias("a"), F.col("node").alias("b"), "x", "y").mapInArrow(verify, "a bigint, b bigint"), "links"))
     found = components(links, "a", "b")
 
     named = members.join(labelled("node"), "node", "left").select("lead", "node", F.coalesce("node_component", "node").alias("component"))
     open_ = named.groupBy("lead").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("lead")
-    dealt = materialize(_tiles(named.join(open_, "lead")), "tiles")
-    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_PAIRS else dealt
-    tiles = texts.select("node", "text").join(dealt, "node")
-    more = materialize(tiles.groupBy("lead", "i", "j", "within").applyInPandas(_search_tile(k, num, den), "a bigint, b bigint"), "links")
-    found = components(links.union(more), "a", "b")
+    tiles = _tiles(named.join(open_, "lead")).join(vectors, "node").select(*_TILE, "node", "component", "probe", "size", "vector")
+    tiles = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE)
+    tiles = materialize(tiles.mapInArrow(_reached(num, den), "lead bigint, i bigint, j bigint, within boolean, node bigint, component bigint, probe boolean"), "tiles")
+    more = fetch(tiles.select("node").distinct()).join(small(tiles), "node").groupBy(*_TILE).applyInPandas(_search_tile(k, num, den), "a bigint, b bigint")
+    found = components(links.union(materialize(more, "links")), "a", "b")
     return signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.ngram_join import CountTree, Router, count_vector, jaccard_components, keep_one_of_each_group, overlap_needed
+from ledgerloom.llm.ngram_join import CountTree, Router, bound, count_vector, jaccard_components, keep_one_of_each_group, overlap_needed, pack_vector, unpack_vector
 
 
 def shingles(text, k):
@@ -98,14 +98,25 @@ def test_router_never_loses_a_link():
 def test_tree_bounds_are_never_below_the_overlap():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 200), dtype=np.uint64)) for _ in range(70)]
-    tree = CountTree(np.array([count_vector(s) for s in sets]))
+    tree = CountTree(np.array([count_vector(s, 64) for s in sets]))
     for s in sets:
-        found = set(tree.search(count_vector(s), 5, 10).tolist())
+        found = set(tree.search(count_vector(s, 64), 5, 10).tolist())
         for i, t in enumerate(sets):
             if len(np.intersect1d(s, t)) >= overlap_needed(len(s), len(t), 5, 10):
                 assert i in found
 
 
+def test_vectors_bound_the_overlap_over_any_groups():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 70, 300, 5000, 20_000):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: size // 3], rng.integers(0, 2**63, size // 2 + 1, dtype=np.uint64)]))
+        v, w = (unpack_vector(pack_vector(count_vector(s)), len(s)) for s in (a, b))
+        assert v.sum() == len(a) and w.sum() == len(b) and len(np.intersect1d(a, b)) <= bound(v, w)
+    heavy = np.full(300, 64, np.uint64) * np.arange(300, dtype=np.uint64) * np.uint64(8192)
+    assert unpack_vector(pack_vector(count_vector(heavy)), 300).tolist() == count_vector(heavy).tolist()
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(20, 60)] + [(None, 3), (5, 5), (8, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
