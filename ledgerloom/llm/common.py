@@ -39,7 +39,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python in batches: few rows each, so that very long texts don't pile up in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,11 +57,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most ``limit`` bytes of text, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], *texts: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``limit`` bytes of the columns ``texts`` (``text`` if none is named), or one row."""
     for batch in batches:
         start, held = 0, 0
-        sizes = np.diff(text_bytes(batch.column(batch.schema.get_field_index(text)))[1])
+        sizes = sum(np.diff(text_bytes(batch.column(batch.schema.get_field_index(name)))[1]) for name in texts or ("text",))
         for i, size in enumerate(sizes):
             if i > start and held + size > limit:
                 yield batch.slice(start, i - start)

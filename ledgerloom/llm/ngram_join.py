@@ -226,7 +226,7 @@ def _within_reach(num: int, den: int):
 
 def _verify(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "x", "y"):
             keep = pa.array([linked(p, q, num, den) for p, q in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 

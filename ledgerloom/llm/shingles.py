@@ -18,6 +18,7 @@ _B = int(_rng.integers(1, 2**62)) * 2 + 1
 _B_INVERSE = pow(_B, -1, 2**64)
 _STEP = np.uint64(int(_rng.integers(1, 2**62)) * 2 + 1)
 _powers: dict[int, np.ndarray] = {}
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,9 +53,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, inside[1:] & ~first[1:n]
     ends = np.flatnonzero(inside & ~after) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE_LOWER[data] * _power(_B, n), out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _power(_B_INVERSE, n)[starts])
+    hashes, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        # A run of whole words of up to BLOCK bytes, or one longer word: sums of 8 bytes a character exist for one run at a time.
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
+        run = data[base : ends[to - 1]]
+        total = np.zeros(len(run) + 1, np.uint64)
+        np.cumsum(_TABLE_LOWER[run] * _power(_B, len(run)), out=total[1:])
+        left, right = starts[at:to] - base, ends[at:to] - base
+        hashes[at:to] = mix((total[right] - total[left]) * _power(_B_INVERSE, len(run))[left])
+        at = to
     return hashes, np.searchsorted(offsets, starts, side="right") - 1
 
 

@@ -1,10 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from ledgerloom.llm import shingles as module
+from ledgerloom.llm.common import slices, text_bytes
 from ledgerloom.llm.components import components
 from ledgerloom.llm.ngram_join import CountTree, Router, bound, count_vector, jaccard_components, keep_one_of_each_group, overlap_needed, pack_vector, unpack_vector
+from ledgerloom.llm.shingles import shingle_sets, word_hashes
 
 
 def shingles(text, k):
@@ -12,6 +16,21 @@ def shingles(text, k):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())
 
 
+def test_word_hashes_do_not_hang_on_blocks(monkeypatch):
+    texts = pa.array(["one two  three", "", "x" * 50 + " two", " three\tone\n", "two"])
+    whole = shingle_sets(texts, 2), word_hashes(*text_bytes(texts))
+    for block in (1, 7, 20):
+        monkeypatch.setattr(module, "BLOCK", block)
+        sets, (hashes, where) = shingle_sets(texts, 2), word_hashes(*text_bytes(texts))
+        assert all(np.array_equal(a, b) for a, b in zip(whole[0], sets, strict=True))
+        assert np.array_equal(whole[1][0], hashes) and where.tolist() == whole[1][1].tolist() == [0, 0, 0, 2, 2, 3, 3, 4]
+
+
+def test_slices_count_all_named_texts():
+    batch = pa.RecordBatch.from_pydict({"x": ["aaaa", "a", "a", "aaaaaaaa"], "y": ["aaaa", "a", "aaa", ""]})
+    assert [b.num_rows for b in slices([batch], "x", "y", limit=6)] == [1, 2, 1]
+
+
 def brute(rows, k, num, den):
     """{doc_id: (set size of each row, component)} by comparing all pairs."""
     sets = [(i, shingles(t, k)) for i, t in rows]
