@@ -16,7 +16,7 @@ import numpy as np
 END = b"\xff"
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 #: Words kept at once; the cache starts anew beyond it.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 _made: dict[str, WordIds] = {}
 
 
