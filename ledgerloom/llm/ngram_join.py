@@ -37,6 +37,8 @@ TILE = 512
 #: Up to this many candidates (25 MB) are broadcast to the scan that fetches their texts, and up to this many pairs or rows of
 #: tiles (10 MB) to the texts fetched; more are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 200_000
+#: Classes of copies that are broadcast, the largest; the rest are joined by a shuffle.
+HOT_CLASSES = 10_000
 
 
 def _blocks(tau: int) -> int:
@@ -330,8 +332,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = materialize(texts.mapInArrow(_sign(k, num, den), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>"), "signed")
     # Equal sets are one node of the graph: its least id.
     same = ["set_a", "set_b", "n_shingles"]
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = materialize(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *same).join(classes, same).where("doc_id <> node").select("doc_id", "node"), "copies")
+    rows = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *same)
+    classes = materialize(rows.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1"), "classes")
+    # The largest classes are named by a broadcast of HOT_CLASSES rows at most; none of the others holds more than 1 / HOT_CLASSES of all rows.
+    hot = F.broadcast(materialize(classes.orderBy(F.desc("copies"), *same).limit(HOT_CLASSES), "hot"))
+    others = rows.join(hot, same, "left_anti").join(classes.join(hot, same, "left_anti"), same)
+    copies = materialize(rows.join(hot, same).union(others).where("doc_id <> node").select("doc_id", "node"), "copies")
 
     routed = signed.select(F.explode("keys").alias("key"), "doc_id").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
     members = routed.mapInArrow(_repeated, "key bigint, doc_id bigint")

@@ -141,3 +141,12 @@ def test_components_of_a_chain_and_a_star(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
     assert all(found[i] == 100 for i in range(100, 141)) and all(found[i] == 7 for i in [7, 8, *range(20, 60)])
     assert 5 not in found and None not in found
+
+
+@pytest.mark.parametrize("hot", [1, 2])
+def test_copies_beyond_the_broadcast_classes(spark, monkeypatch, hot):
+    monkeypatch.setattr("ledgerloom.llm.ngram_join.HOT_CLASSES", hot)
+    rows = [(i, f"text number {i % 4} of a class of copies") for i in range(20)] + [(20, "alone here it stands"), (21, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect())
+    assert found == sorted(brute(rows, 3, 9, 10))
