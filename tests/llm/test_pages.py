@@ -36,6 +36,21 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert tree.where("path LIKE '%x1'").first().importance < tree.where("path LIKE '%x2'").first().importance
 
 
+def test_articles_and_bodies_that_recur_stay_whole(spark):
+    body = "".join(f"<p>Paragraph {i} of the body.</p>" for i in range(10))
+    whole = [f"Paragraph {i} of the body." for i in range(10)]
+    page = lambda inner: f"<html><head><title>T</title></head><body>{inner}</body></html>"
+    rows = [(i, f"https://copies.example/{i}", page(f"<article><h1>Copy</h1>{body}</article>")) for i in range(30)] + [(30, "https://copies.example/x", page("<article><h1>Other</h1><p>1</p><p>2</p><p>3</p></article>"))]
+    rows += [(100 + i, f"https://titles.example/{i}", page(f"<article><h1>Title {i}</h1>{body}<h2>Sources</h2><ul><li>The same item</li></ul></article>")) for i in range(30)]
+    rows += [(200 + i, f"https://plain.example/{i}", page(f"<div><h1>Title {i}</h1>{body}</div>")) for i in range(30)]
+    rows += [(300 + i, f"https://mixed.example/{i}", page(f"<div><p>All rights are ours.</p><p>Words of page {i}.</p></div>")) for i in range(30)]
+    got = {r.page_id: r.text.split("\n") for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == ["Copy", *whole] for i in range(30)) and got[30] == ["Other", "1", "2", "3"]
+    assert all(got[100 + i] == [f"Title {i}", *whole, "Sources", "The same item"] for i in range(30))
+    assert all(got[200 + i] == [f"Title {i}", *whole] for i in range(30))
+    assert all(got[300 + i] == [f"Words of page {i}."] for i in range(30))
+
+
 def conversation_rows():
     rows = []
     for c in range(6):
