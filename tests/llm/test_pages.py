@@ -51,6 +51,24 @@ def test_articles_and_bodies_that_recur_stay_whole(spark):
     assert all(got[300 + i] == [f"Words of page {i}."] for i in range(30))
 
 
+def test_wrappers_and_open_heads():
+    for name in ("layout with-sidebar", "page no-nav", "has-sidebar", "hasSidebar", "two-columns sidebar-right", "nav-open"):
+        assert main_text(f"<body><div class='{name}'><div class='sidebar'>Links</div><article><h1>T</h1><p>a</p></article></div></body>") == "T\na"
+        assert main_text(f"<body><div class='{name}'><nav>Menu</nav><div class='ad'>Buy</div><h1>T</h1><p>a</p></div></body>") == "T\na"
+    assert main_text("<form id='all'><div class='top'>x</div><main><p>long words</p></main></form>") == "long words"
+    assert main_text("<div class='post'><p>The post of this page.</p></div><section class='comments'><article>A reader's words, longer than the post is</article></section>") == "The post of this page."
+    assert main_text("<div class='post'><p>The post of this page.</p></div><div class='sidebar'><article>Teaser</article></div>") == "The post of this page.\nTeaser"
+    assert main_text("<div class='ad'>Buy</div><div id='cookies'>Yes</div>") == ""
+    assert main_text("<html><head><title>T</title><meta charset=utf-8><body><p>a</p></body>") == "a" == main_text("<head><title>T</title><script>x</script><p>a")
+
+
+def test_presentation_entropy_keeps_varied_nodes(spark):
+    page = lambda i: f"<body><div class='top'>Name of the site</div><div class='post'>{'<p>Words that recur.</p>' * (i + 1)}<p>Words of page {i}.</p></div></body>"
+    rows = [(i, f"https://a.example/{i}", page(i)) for i in range(30)]
+    got = {r.page_id: r.text.split("\n") for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == ["Words that recur."] * (i + 1) + [f"Words of page {i}."] for i in range(30))
+
+
 def conversation_rows():
     rows = []
     for c in range(6):
