@@ -1,7 +1,8 @@
 """Operator 9: quality rules with distribution divergence, in built-in functions only.
 
 A text's histograms of character classes and of common words are compared with those of its language (all texts
-of the language together) by the Jensen-Shannon distance (base 2, 0 to 1).
+of the language together) by the Jensen-Shannon distance (base 2, 0 to 1). Texts without a language, or of one with few
+texts, are compared with all texts together.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ SYMBOLS = "#*$%&|<>"
 #: Most distances to the language's histograms. Few words scatter by chance, so the second has WORD_SLACK / sqrt(words) more;
 #: texts of fewer than MIN_WORDS words aren't judged by distance.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_SLACK, MIN_WORDS = 0.28, 0.2, 0.8, 50
-#: Languages with a reference of their own: those of most texts; rows of any others aren't judged by distance.
-LANGUAGES = 64
+#: A language of fewer texts has no reference of its own: a text would be compared with little but itself.
+MIN_TEXTS = 20
+#: Up to this many references (6 MB), of the languages of most texts, are broadcast; the others are joined by a shuffle, where no language has many rows.
+BROADCAST_LANGUAGES = 10_000
 #: Up to this many rejected rows (16 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_REJECTED = 500_000
 
@@ -122,10 +125,26 @@ def measured(docs: DataFrame, text_col: str, lang_col: str, *more: Column) -> Da
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """(lang, ref_classes, ref_words, ref_n) from the measures of all texts: sums of counts, one row for each of the most frequent languages."""
+    """(lang, texts, ref_classes, ref_words, ref_n) of every language, null included, from the measures of all its texts: sums of counts."""
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(_ALL_COMMON))]
-    total = rows.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("texts"), F.sum("n_words").cast("double").alias("ref_n"), *sums).orderBy(F.desc("texts"), "lang").limit(LANGUAGES)
-    return total.select("lang", F.array(*(f"c{i}" for i in range(len(CLASSES)))).alias("ref_classes"), F.array(*(f"w{i}" for i in range(len(_ALL_COMMON)))).alias("ref_words"), "ref_n")
+    total = rows.groupBy("lang").agg(F.count("*").alias("texts"), F.sum("n_words").cast("double").alias("ref_n"), *sums)
+    return total.select("lang", "texts", F.array(*(f"c{i}" for i in range(len(CLASSES)))).alias("ref_classes"), F.array(*(f"w{i}" for i in range(len(_ALL_COMMON)))).alias("ref_words"), "ref_n")
+
+
+def _with_references(rows: DataFrame) -> DataFrame:
+    """``rows`` with the reference of their language (ref_*), null where it has none, and that of all rows (all_*)."""
+    every = materialize(references(rows), "languages")
+    sums = [F.array(*(F.sum(F.col(name)[i]) for i in range(n))).alias(f"all_{name[4:]}") for name, n in (("ref_classes", len(CLASSES)), ("ref_words", len(_ALL_COMMON)))]
+    pooled = every.agg(*sums, F.sum("ref_n").alias("all_n"))
+    own = every.where(F.col("lang").isNotNull() & (F.col("texts") >= MIN_TEXTS))
+    few = own.count() <= BROADCAST_LANGUAGES
+    most = own if few else materialize(own.orderBy(F.desc("texts"), "lang").limit(BROADCAST_LANGUAGES), "most")
+    out = rows.join(F.broadcast(most.drop("texts")), "lang", "left")
+    if not few:
+        done = F.col("lang").isNull() | F.col("ref_n").isNotNull()
+        rest = out.where(~done).drop("ref_classes", "ref_words", "ref_n").join(own.drop("texts").hint("shuffle_hash"), "lang", "left")
+        out = out.where(done).unionByName(rest)
+    return out.crossJoin(F.broadcast(pooled))  # one row
 
 
 def _of_language(counts: Column, n: Column, lang: Column) -> Column:
@@ -139,12 +158,22 @@ def _of_language(counts: Column, n: Column, lang: Column) -> Column:
     return out.otherwise(F.concat(counts, F.array(F.greatest(F.lit(0.0), n - every))))
 
 
+def _any_common(counts: Column, n: Column) -> Column:
+    """Histogram of two: common words of any language, and the rest. Against all texts, which words are common says only which language it is."""
+    every = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x)
+    return F.array(every, F.greatest(F.lit(0.0), n - every))
+
+
 def judged(rows: DataFrame) -> DataFrame:
     """Distances and verdicts of measured rows."""
-    rows = rows.join(F.broadcast(references(rows)), "lang", "left")  # LANGUAGES rows at most
-    rows = rows.withColumn("class_distance", _distance(F.col("classes"), F.col("ref_classes")))
-    own = _of_language(F.col("common"), F.col("n_words").cast("double"), F.col("lang"))
-    rows = rows.withColumn("word_distance", _distance(own, _of_language(F.col("ref_words"), F.col("ref_n"), F.col("lang"))))
+    rows = _with_references(rows)
+    alone = F.col("ref_n").isNull()
+    rows = rows.withColumn("class_distance", _distance(F.col("classes"), F.when(alone, F.col("all_classes")).otherwise(F.col("ref_classes"))))
+    lang = F.when(~alone, F.col("lang"))
+    n_words = F.col("n_words").cast("double")
+    own = F.when(alone, _any_common(F.col("common"), n_words)).otherwise(_of_language(F.col("common"), n_words, lang))
+    ref = F.when(alone, _any_common(F.col("all_words"), F.col("all_n"))).otherwise(_of_language(F.col("ref_words"), F.col("ref_n"), lang))
+    rows = rows.withColumn("word_distance", _distance(own, ref))
     odd = (F.col("n_words") >= MIN_WORDS) & ((F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE + WORD_SLACK / F.sqrt("n_words")))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
@@ -153,8 +182,8 @@ def judged(rows: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept; and both distances.
 
-    A null text has no words and fails the base rules. A null language, or one beyond the LANGUAGES most frequent, is
-    judged by the base rules alone, its distances are null. Repeated rows are judged each; other columns are ignored.
+    A null text has no words and fails the base rules. A null language, or one of fewer
+    than MIN_TEXTS texts, is judged against all rows together. Repeated rows are judged each; other columns are ignored.
     """
     rows = judged(measured(docs, text_col, lang_col, F.col(id_col).cast("bigint").alias("doc_id")))
     return rows.select(

@@ -48,6 +48,22 @@ def test_quality_divergence(spark):
     assert not kept.get(100) and not kept.get(101)
 
 
+def test_quality_of_every_language(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(100 * n + i, prose(rng, 120), f"l{n:02}") for n in range(70) for i in range(22 if n < 69 else 21)]
+    rows += [(7000 + i, prose(rng, 120), [None, "rare"][i % 2]) for i in range(10)]
+    odd = [(8000, "l69"), (8001, None), (8002, "rare"), (8003, "l00")]
+    rows += [(i, prose(rng, 120).replace(" ", "&&& "), lang) for i, lang in odd]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").cache()
+    got = {r.doc_id: r for r in quality(docs).collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {i for i, _ in odd}
+    assert all(r.class_distance is not None and r.word_distance is not None for r in got.values())
+    monkeypatch.setattr("ledgerloom.llm.quality.BROADCAST_LANGUAGES", 3)
+    same = {r.doc_id: r for r in quality(docs).collect()}
+    assert all(same[i].kept == r.kept and abs(same[i].class_distance - r.class_distance) + abs(same[i].word_distance - r.word_distance) < 1e-9 for i, r in got.items()) and len(same) == len(got)
+
+
 def test_fingerprint_edges(edge_docs, edge_rows, no_docs):
     got = edited_fingerprints(edge_docs).collect()
     order = sorted(edge_rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
