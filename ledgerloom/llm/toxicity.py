@@ -1,8 +1,8 @@
 """Operator 8: toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Trained as in Wang and Manning (2012): r = log of the smoothed ratio of the n-gram's document frequency in toxic and other texts;
-a logistic regression then weighs presence times r. It learns from a bounded sample of labelled rows
-(``SAMPLE``, those of the least hash of their id) and scores every whole text.
+a logistic regression then weighs presence times r, for every n-gram whose ratio is beyond chance. It learns from a bounded sample of labelled
+rows (``SAMPLE``, those of the least hash of their id) and scores every whole text.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, small_batches
+from .common import id_text, materialize, slices, small_batches
 
-#: Labelled rows that take part in the fit, and n-grams that it keeps.
-SAMPLE, FEATURES = 12_000, 4_000
+#: Labelled rows that take part in the fit, which one task does; all of their n-grams count.
+SAMPLE = 6_000
+#: A log-count ratio within this many standard errors of none (99 of 100 by chance) counts as none.
+ERRORS = 2.58
 SIZES, BITS = (3, 4, 5), 20
 _SCALE = {n: np.array([pow(0x9E3779B97F4A7C15, j + 1, 2**64) for j in range(n)], np.uint64) for n in SIZES}
 
@@ -37,88 +39,106 @@ def ngrams(text: str) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int32)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that have the n-gram; bucket -1 counts the documents."""
-    found, total = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-    for batch in slices(batches):
-        for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found[toxic][np.unique(ngrams(text))] += 1
-            total[toxic] += 1
-    at = np.flatnonzero(found.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), *(pa.array(np.append(found[c][at], total[c]).astype(np.int64)) for c in (0, 1))], names=["bucket", "other", "toxic"])
+def _products(rows: list[np.ndarray], width: int):
+    """Products of the 0/1 matrix of ``rows`` (sorted columns of each) with a vector, and of its transpose, in blocks of rows."""
+    blocks, start, held = [], 0, 0
+    for i, r in enumerate(rows):
+        held += len(r)
+        if held > 1 << 21 or i + 1 == len(rows):
+            part = rows[start : i + 1]
+            blocks.append((start, i + 1, np.concatenate(part), np.array([len(x) for x in part])))
+            start, held = i + 1, 0
 
+    def times(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows))
+        for a, b, at, sizes in blocks:
+            total = np.concatenate([[0.0], np.cumsum(w[at])])
+            ends = np.cumsum(sizes)
+            out[a:b] = total[ends] - total[ends - sizes]
+        return out
 
-def _present(place):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = place.value
-        for batch in slices(batches):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                at = kept[ngrams(text)]
-                rows.append(np.unique(at[at >= 0]))
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "features"])
+    def back(e: np.ndarray) -> np.ndarray:
+        out = np.zeros(width)
+        for a, b, at, sizes in blocks:
+            out += np.bincount(at, np.repeat(e[a:b], sizes), minlength=width)
+        return out
 
-    return run
+    return times, back
 
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, penalty: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence times scale, by accelerated gradient steps over all rows."""
-    at = np.concatenate([*rows, np.zeros(0, np.int32)])
-    where = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value, n = scale[at], max(1, len(rows))
+def ratios(p: np.ndarray, q: np.ndarray, n_p: float, n_q: float) -> np.ndarray:
+    """Log-count ratio of each bucket from the toxic and other texts that have it; 0 where chance may well have made it."""
+    r = np.log((p + 1) / (n_p + 2)) - np.log((q + 1) / (n_q + 2))
+    return np.where((p + q > 0) & (np.abs(r) > ERRORS * np.sqrt(1 / (p + 1) + 1 / (q + 1))), r, 0.0)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, penalty: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """(weight of every bucket, bias): logistic regression on presence times ``scale``, by accelerated gradient steps."""
+    width, n = len(scale), max(1, len(rows))
     share = min(max(float(labels.mean()) if len(labels) else 0.0, 1e-3), 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
-    w = np.zeros(len(scale))
-    if not len(at):
+    times, back = _products(rows, width)
+    w = np.zeros(width)
+    if not rows:
         return w, bias
-    ahead, ahead_bias, t = w.copy(), bias, 1.0
     # Bound on the curvature: a quarter of the largest eigenvalue, by power iteration.
-    v = np.random.default_rng(1).random(len(scale)) + 0.1
-    top = 1.0
-    for _ in range(12):
+    v, top = np.random.default_rng(1).random(width) + 0.1, 1.0
+    for _ in range(8):
         v /= np.linalg.norm(v) or 1.0
-        v = np.bincount(at, value * np.bincount(where, value * v[at], minlength=n)[where], minlength=len(scale))
+        v = scale * back(times(scale * v))
         top = float(np.linalg.norm(v))
     step = 1.0 / (0.25 * (top * 1.1 + n) / n + penalty / n)
+    ahead, ahead_bias, t = w.copy(), bias, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(where, value * ahead[at], minlength=n) + ahead_bias, -30, 30)))
-        error = (p[: len(rows)] - labels) / n
-        new = ahead - step * (np.bincount(at, value * error[where], minlength=len(scale)) + penalty / n * ahead)
+        error = (1 / (1 + np.exp(-np.clip(times(scale * ahead) + ahead_bias, -30, 30))) - labels) / n
+        new = ahead - step * (scale * back(error) + penalty / n * ahead)
         new_bias = ahead_bias - step * float(error.sum())
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead, ahead_bias = new + (last - 1) / t * (new - w), new_bias + (last - 1) / t * (new_bias - bias)
-        w, bias = new, new_bias
+        moved, w, bias = float(np.linalg.norm(new - w)), new, new_bias
+        if moved <= 3e-3 * float(np.linalg.norm(w)):
+            break
     return w * scale, bias
 
 
-def train(texts: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """(place of each bucket among the features or -1, weights, bias) from (doc_id, text) and (doc_id, toxic)."""
-    spark = texts.sparkSession
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the sample's texts. They are read twice here: once to count, once for the n-grams that the counts leave."""
+    texts, labels, counts = [], [], np.zeros((2, 1 << BITS))
+    for batch in slices(batches):
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts[toxic][np.unique(ngrams(text))] += 1
+            texts.append(text)
+            labels.append(toxic)
+    labels = np.array(labels, np.float64)
+    scale = ratios(counts[1], counts[0], labels.sum(), len(labels) - labels.sum())
+    kept = np.flatnonzero(scale)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+    rows = [np.unique(at[at >= 0]) for at in (place[ngrams(text)] for text in texts)]
+    weights = np.zeros(1 << BITS)
+    weights[kept], bias = fit(rows, labels, scale[kept])
+    yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+
+
+def train(texts: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """(weight of each bucket, bias) from (doc_id, text) and (doc_id, toxic). The sample's texts are written once, by all the tasks of the scan."""
     sample = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).coalesce(8)  # the sample is bounded
-    counts = rows.mapInArrow(_frequencies, "bucket int, other bigint, toxic bigint").groupBy("bucket").agg(F.sum("other").alias("q"), F.sum("toxic").alias("p"))
-    total = counts.where("bucket = -1").first()
-    n_p, n_q = (total.p, total.q) if total else (0, 0)
-    ratio = F.log((F.col("p") + 1) / (n_p + 2)) - F.log((F.col("q") + 1) / (n_q + 2))
-    best = counts.where("bucket >= 0 AND p + q >= 5").select("bucket", ratio.alias("r"), (F.abs(ratio) * F.sqrt(F.col("p") + F.col("q"))).alias("z"))
-    best = best.orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()  # FEATURES rows at most
-    place = np.full(1 << BITS, -1, np.int32)
-    place[[b.bucket for b in best]] = np.arange(len(best), dtype=np.int32)
-    shared = spark.sparkContext.broadcast(place)
-    seen = rows.mapInArrow(_present(shared), "toxic int, features array<int>").toPandas()
-    weights, bias = _fit([np.asarray(x, np.int32) for x in seen["features"]], seen["toxic"].to_numpy(np.float64), np.array([b.r for b in best], np.float64))
-    return place, weights, bias
+    rows = materialize(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE)  # ids may repeat
+    found = rows.select("text", "toxic").coalesce(1).mapInArrow(_fitted, "weights binary, bias double").first()
+    return np.frombuffer(found.weights, "<f8"), found.bias
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, weights, bias = model.value
+        weights, bias = model.value
+        heavy = weights != 0
         for batch in slices(batches):
             out = np.empty(batch.num_rows)
             for i, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
-                at = place[ngrams(text or "")]
-                out[i] = bias + weights[np.unique(at[at >= 0])].sum()
+                at = ngrams(text or "")
+                out[i] = bias + weights[np.unique(at[heavy[at]])].sum()
             score = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
 
@@ -149,7 +169,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Rows of ``docs`` that score below ``threshold``, all columns."""
+    """Rows of ``docs`` that score below ``threshold``, all columns, whatever their names.
+
+    A null text scores as an empty one, rows of a null or repeated id each by their own text. An empty table stays empty; without
+    labelled rows nothing goes.
+    """
     small_batches(docs.sparkSession)
     model = model_of(docs, labels, id_col, text_col)
     fields = ", ".join(f"`_{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
