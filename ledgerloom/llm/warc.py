@@ -23,6 +23,8 @@ from .common import materialize, shared_dir, slices, small_batches
 
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 64 << 20
 LEAST_REVISIT = 1000
+#: Packed bytes that one task reads back.
+TASK_BYTES = 2 << 20
 #: Up to this many repeated payloads (about 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_PAYLOADS = 200_000
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -176,7 +178,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "197
 
     Of rows with equal payloads of at least 1000 bytes the one with the largest id is a response and the others revisit it; all
     smaller ones are responses. Null html is an empty payload, a null url an empty one. A row with a null id revisits where
-    its payload is known, else it is a response. Rows that repeat id and payload are the same record, written each.
+    its payload is known, else it is a response. Rows that repeat id and payload are the same record, written each. A very
+    long payload has a frame of its own. An empty table writes no bundle and gives an empty index; other columns are ignored.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -198,5 +201,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "197
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the index, read from the bundles."""
-    return index.repartition("bundle").sortWithinPartitions("bundle", "frame", "record_offset").mapInArrow(_read, _RECORD)
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the index, read from the bundles.
+
+    Frames are dealt to tasks by their bytes, not by those of the index: a bundle, which frames make seekable, is read by several.
+    An empty index gives no rows; a record whose payload doesn't have its digest raises.
+    """
+    packed = index.select("bundle", "frame", "frame_bytes").distinct().agg(F.sum("frame_bytes")).first()[0] or 0
+    tasks = max(1, -(-packed // TASK_BYTES))
+    return index.repartitionByRange(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "record_offset").mapInArrow(_read, _RECORD)
