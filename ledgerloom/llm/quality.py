@@ -110,7 +110,8 @@ def _distance(p: Column, q: Column) -> Column:
         return total(F.zip_with(a, b, lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2))
 
     shares = lambda a: let(total(a), lambda t: F.transform(a, lambda x: F.when(t > 0, x / t)))
-    return F.sqrt(F.greatest(F.lit(0.0), let(F.struct(shares(p).alias("p"), shares(q).alias("q")), lambda s: of(s["p"], s["q"]))))
+    found = let(F.struct(shares(p).alias("p"), shares(q).alias("q")), lambda s: of(s["p"], s["q"]))
+    return F.sqrt(F.when(found < 0, F.lit(0.0)).otherwise(found))  # rounding may fall below 0
 
 
 def measured(docs: DataFrame, text_col: str, lang_col: str, *more: Column) -> DataFrame:
@@ -193,7 +194,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows of ``docs`` that are kept, all columns."""
+    """Rows of ``docs`` that are kept, all columns, whatever their names.
+
+    Null and short texts fail the base rules and go. A null or rare language is judged as in ``quality``; ids take no part, so
+    that null or repeated ids are judged each by text and language. An empty table stays empty.
+    """
     # The verdict hangs on text and language alone. Rejected rows are known by 128 bits of them and the id, so that no text is stored.
     parts = [F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), F.col(lang_col).cast("string")]
     keys = [F.xxhash64(*parts).alias("__a"), F.xxhash64(F.lit(1), *reversed(parts)).alias("__b")]
