@@ -19,10 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    Only where the session has none and the master is local (tests on one machine) a temporary folder is set; executors on
+    other machines wouldn't see it.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
         where = spark.sparkContext.getCheckpointDir()
     return where
@@ -42,6 +45,24 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+#: Keys that are joined by a broadcast, the largest; no other key holds more than 1 / HOT_KEYS of all rows.
+HOT_KEYS, HOT_ROWS = 10_000, 256
+
+
+def join_apart(rows: DataFrame, facts: DataFrame, *on: str, n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, one for each key and with the number ``n`` of its rows.
+
+    The facts of the HOT_KEYS largest keys of over HOT_ROWS rows are broadcast (some hundred kilobytes), so the rows of a hot key
+    stay where they are; all the other keys are joined by a shuffle, in which none of them is large.
+    """
+    hot = materialize(facts.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), *on).limit(HOT_KEYS), "hot")
+    if hot.isEmpty():
+        return rows.join(facts, list(on))
+    there = F.broadcast(hot.select(*on))
+    rest = rows.join(there, list(on), "left_anti").join(facts.join(there, list(on), "left_anti"), list(on))
+    return rows.join(F.broadcast(hot), list(on)).unionByName(rest)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the key and the text (null: empty), under fixed names; other columns, clashing or not, are left behind."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
