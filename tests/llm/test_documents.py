@@ -2,12 +2,14 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import zlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.quality import drop_low_quality, quality
-from ledgerloom.llm.syncmers import edited_fingerprints, fingerprints
+from ledgerloom.llm.syncmers import edited_fingerprints, fingerprint, fingerprints, likeness, sketch
 from ledgerloom.llm.toxicity import drop_toxic, ngrams, toxicity
 
 from .conftest import prose
@@ -80,6 +82,66 @@ def test_fingerprint_edges(edge_docs, edge_rows, no_docs):
     assert edited_fingerprints(no_docs).count() == 0
 
 
+def chained(*values):
+    """Spark's xxhash64 of strings or longs."""
+    h = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<q", v)
+        h = xxhash.xxh64_intdigest(raw, seed=h % 2**64)
+        h = h - 2**64 if h >= 2**63 else h
+    return h
+
+
+def brute_anchors(text, k=5, s=2):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    hashes, out = [chained(w) for w in [""] * (k - 1) + words + [""] * (k - 1)], []
+    for i in range(len(hashes) - k + 1 if words else 0):
+        inner = [chained(*hashes[i + j : i + j + s]) for j in range(k - s + 1)]
+        if min(inner[0], inner[-1]) <= min(inner):
+            out.append((i, chained(*hashes[i : i + k]) % 2**64 >> 24))
+    return out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    first, second = ({h: p for p, h in reversed(x)} for x in (a, b))
+    both = sorted(set(first) & set(second), key=first.get)
+    if not both:
+        return 0.0
+    rank = {h: r for r, h in enumerate(sorted(both, key=second.get))}
+    return len(both) / len(set(first) | set(second)) * (1 - 2 * sum(abs(i - rank[h]) for i, h in enumerate(both)) / len(both) ** 2)
+
+
+def test_fingerprints_are_all_anchors_with_their_positions(spark):
+    rng = random.Random(8)
+    base = [prose(rng, 100) for _ in range(20)]
+    texts = ["", " \n", "one", "one two", "é ü 漢字 z", prose(rng, 31), prose(rng, 32), " ".join(base), " ".join(reversed(base)), " ".join([*base[1:], base[0]]), " ".join(base[:10] + ["put in here"] + base[10:]), "a b c " * 50, "a b c " * 49]
+    pairs = [(i, x, y) for i, (x, y) in enumerate((x, y) for x in texts for y in texts)]
+    got = spark.createDataFrame(pairs, "i int, x string, y string").select("i", fingerprint(sketch(F.col("x"))).alias("f"), likeness(sketch(F.col("x")), sketch(F.col("y"))).alias("near")).collect()
+    for r in got:
+        a, b = brute_anchors(pairs[r.i][1]), brute_anchors(pairs[r.i][2])
+        assert [(int(r.f[j], 16), int(r.f[j + 1 : j + 11], 16)) for j in range(0, len(r.f), 11)] == [(p - (a[n - 1][0] if n else 0), h) for n, (p, h) in enumerate(a)]
+        assert abs(r.near - brute_likeness(a, b)) < 1e-9
+        assert all(q - p < 5 for (p, _), (q, _) in zip(a, a[1:])) and bool(a) == bool(pairs[r.i][1].strip())
+    near = {(pairs[r.i][1], pairs[r.i][2]): r.near for r in got}
+    whole, reverse, turned, longer = texts[7:11]
+    assert near[whole, reverse] < 0.2 and 0.7 < near[whole, turned] < 0.95 < near[whole, longer] < 1
+
+
+def test_fingerprint_rows_without_ids_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr("ledgerloom.llm.syncmers.BUCKET_ROWS", 20)
+    rng = random.Random(9)
+    rows = [(None if i % 3 else i, prose(rng, 12)) for i in range(900)]
+    got = edited_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), chained(r[1]) >> 1))
+    want = collections.Counter()
+    for n, (i, text) in enumerate(order):
+        after, half = order[(n + 1) % len(order)][1], len(text) // 2
+        want[i, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 def test_fingerprint_likeness_and_many_buckets(spark):
     rng = random.Random(4)
     rows = [(i * i, prose(rng, 20 + i % 90)) for i in range(5000)]
