@@ -3,17 +3,17 @@
 The shingles of a text are hashed into groups; the number of shingles in each group makes the text a point,
 and the sum of coordinate minima of two points bounds the overlap of their sets. Points are found in two levels:
 
-* Routing. For texts of size up to b, linked sets differ in at most t = 2b(1-J)/(1+J) shingles. Splitting the
-  hash range in more than t blocks leaves a block where linked sets agree in full, so one key per block
+* Routing, the upper levels. For texts of size up to b, linked sets differ in at most t = 2b(1-J)/(1+J) shingles. Splitting
+  the hash range in more than t blocks leaves a block where linked sets agree in full, so one key per block
   routes every linked pair into a common node of the index. Nothing that links is lost.
-* Nodes. The texts of a node are first bounded against its least text, their lead, and what survives is verified on the
-  exact sets: one lead for each text, then the leads that this leaves apart. That joins most copies with as many
-  tests as there are texts. Texts of a node that are still in different components go into packed R-trees over
-  their count vectors: a branch is skipped if even its largest coordinates can't reach the overlap needed, and
-  texts with a surviving partner are verified.
-
-Count vectors travel before texts do, so that pairs out of reach cost bytes in proportion to the vectors. Pairs inside one
-component aren't expanded, so a group of copies costs rows in proportion to its size.
+* Packed R-trees below. The count vectors of a node are cut in tiles, and each tile's points are packed into an R-tree, together with
+  the node's least text. A branch is skipped if even its largest coordinates can't reach the overlap needed. Every candidate comes
+  from a search of such a tree; none is tested otherwise.
+
+Candidates are verified on the exact sets in three rounds: for each text the nearest that the trees hold before it; then what else they
+reach, if that leaves both in different components; then, for nodes still in several components, whatever trees over
+every pair of their tiles reach across these. Texts travel only for pairs that the trees reach. Pairs inside one component
+aren't expanded, so a group of copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, slices, small_batches
+from .common import id_text, join_apart, materialize, slices, small_batches
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -37,8 +37,8 @@ TILE = 512
 #: Up to this many candidates (25 MB) are broadcast to the scan that fetches their texts, and up to this many pairs or rows of
 #: tiles (10 MB) to the texts fetched; more are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 200_000
-#: Classes of copies that are broadcast, the largest; the rest are joined by a shuffle.
-HOT_CLASSES = 10_000
+#: Pairs of one partner that meet in one task; the text of a partner of more is sent to several.
+PARTNER_PAIRS = 64
 
 
 def _blocks(tau: int) -> int:
@@ -191,8 +191,8 @@ class CountTree:
             at = np.arange(0, len(high), self.FANOUT)
             self.levels.append((np.maximum.reduceat(high, at), np.minimum.reduceat(least, at)))
 
-    def search(self, point: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Points whose summed minima with ``point`` reach the overlap needed, most overlap first."""
+    def search(self, point: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points whose summed minima with ``point`` reach the overlap needed, most overlap first, and these sums."""
         size, at, bound = int(point.sum()), np.arange(len(self.levels[-1][0])), np.zeros(0)
         for depth in range(len(self.levels) - 1, -1, -1):
             high, least = self.levels[depth]
@@ -202,7 +202,8 @@ class CountTree:
             if depth and len(at):
                 below = (at[:, None] * self.FANOUT + np.arange(self.FANOUT)).ravel()
                 at = below[below < len(self.levels[depth - 1][0])]
-        return self.order[at[np.argsort(-bound, kind="stable")]]
+        best = np.argsort(-bound, kind="stable")
+        return self.order[at[best]], bound[best]
 
 
 def _vectors(k: int):
@@ -214,18 +215,58 @@ def _vectors(k: int):
     return run
 
 
-def _within_reach(num: int, den: int):
-    """Rows (lead, node, shared, size and vector of either) whose summed minima reach the overlap needed."""
+def _by_tile(search, width: int, types: list[pa.DataType], names: list[str]):
+    """``search`` of the rows of each tile, which are told apart by the first ``width`` columns of sorted rows."""
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
-            n, v, m, w = (batch.column(i).to_pylist() for i in range(3, 7))
-            keep = pa.array([bound(unpack_vector(v[i], n[i]), unpack_vector(w[i], m[i])) >= overlap_needed(n[i], m[i], num, den) for i in range(batch.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], names=["lead", "node", "shared"])
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:width] != row[:width]:
+                    found += search(held)
+                    held = []
+                held.append(row)
+            if found:
+                yield out(found)
+        if held and (found := search(held)):
+            yield out(found)
 
     return run
 
 
+def _points(rows: list[tuple], size: int, vector: int) -> np.ndarray:
+    vectors = [unpack_vector(r[vector], r[size]) for r in rows]
+    groups = min(map(len, vectors))
+    return np.array([fold(v, groups) for v in vectors])
+
+
+def _nearest(num: int, den: int):
+    """Per text of a tile (lead, chunk, node, size, vector) what the tree over the tile reaches from it: the nearest of the texts before it,
+    and the lead. Rows (a, b, likeness): the text, its partner, and the most that their Jaccard similarity can be."""
+
+    def search(rows: list[tuple]) -> list[tuple]:
+        rows = sorted({r[2]: r for r in rows}.values(), key=lambda r: (r[2] != r[0], r[3], r[2]))
+        points, found = _points(rows, 3, 4), []
+        tree = CountTree(points)
+        for p in range(1, len(rows)):
+            at, most = tree.search(points[p], num, den)
+            before = at < p
+            at, most = at[before], most[before]
+            if len(at):
+                like = most / (rows[p][3] + np.array([rows[q][3] for q in at]) - most)
+                best = int(np.argmax(like))
+                found.append((rows[p][2], rows[at[best]][2], float(like[best])))
+                if at[best] != 0 and (at == 0).any():
+                    found.append((rows[p][2], rows[0][2], float(like[np.flatnonzero(at == 0)[0]])))
+        return found
+
+    return _by_tile(search, 2, [pa.int64(), pa.int64(), pa.float64()], ["a", "b", "likeness"])
+
+
 def _verify(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "x", "y"):
@@ -239,7 +280,7 @@ _TILE = ["lead", "i", "j", "within"]
 
 
 def _reached(num: int, den: int):
-    """Of the rows of each tile, sorted by tile, those with a partner of another component that the tree can't rule out."""
+    """Of the rows of each tile those with a partner of another component that the tree can't rule out."""
 
     def search(rows: list[tuple]) -> list[tuple]:
         rows = list({r[4]: r for r in rows}.values())
@@ -247,33 +288,17 @@ def _reached(num: int, den: int):
         if len(names) < 2:
             return []
         component = np.array([names[r[5]] for r in rows])
-        vectors = [unpack_vector(r[8], r[7]) for r in rows]
-        groups = min(map(len, vectors))
-        points = np.array([fold(v, groups) for v in vectors])
+        points = _points(rows, 7, 8)
         tree, hit = CountTree(points), np.zeros(len(rows), bool)
         for p, row in enumerate(rows):
             if row[6]:
-                found = tree.search(points[p], num, den)
+                found, _ = tree.search(points[p], num, den)
                 found = found[component[found] != component[p]]
                 hit[found] = True
                 hit[p] |= len(found) > 0
-        return [rows[i] for i in np.flatnonzero(hit)]
+        return [rows[i][:7] for i in np.flatnonzero(hit)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, schema = [], None
-        for batch in batches:
-            found, schema = [], batch.schema
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][:4] != row[:4]:
-                    found += search(held)
-                    held = []
-                held.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], schema.field(i).type) for i in range(7)], names=schema.names[:7])
-        if held and (found := search(held)):
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], schema.field(i).type) for i in range(7)], names=schema.names[:7])
-
-    return run
+    return _by_tile(search, 4, [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_()], [*_TILE, "node", "component", "probe"])
 
 
 def _search_tile(k: int, num: int, den: int):
@@ -288,7 +313,7 @@ def _search_tile(k: int, num: int, den: int):
         root, links = root.astype(np.int64), []
         tree = CountTree(points)
         for p in probes:
-            for q in tree.search(points[p], num, den):
+            for q in tree.search(points[p], num, den)[0]:
                 if root[p] != root[q] and linked(sets[p], sets[q], num, den):
                     links.append((nodes[p], nodes[q]))
                     root[root == root[q]] = root[p]
@@ -304,9 +329,9 @@ def _tiles(group: DataFrame) -> DataFrame:
     chunks, so no group of rows grows with the input.
     """
     sizes = group.groupBy("lead", "component").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("lead").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"))
-    major = major.select("lead", "major", F.ceil(F.col("n_major") / TILE).alias("c_major"), F.ceil((F.col("n_all") - F.col("n_major")) / TILE).alias("c_minor"))
-    rows = group.join(major, "lead").withColumn("minor", F.col("component") != F.col("major"))
+    major = sizes.groupBy("lead").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"))
+    major = major.select("lead", "major", "n", F.ceil(F.col("n_major") / TILE).alias("c_major"), F.ceil((F.col("n") - F.col("n_major")) / TILE).alias("c_minor"))
+    rows = join_apart(group, materialize(major, "majors"), "lead").withColumn("minor", F.col("component") != F.col("major"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.when(F.col("minor"), F.col("c_minor")).otherwise(F.col("c_major")))))
     minors = F.transform(F.sequence(F.lit(0), F.col("c_minor") - 1), lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j"), F.lit(True).alias("within")))
     majors = F.transform(F.sequence(F.lit(0), F.col("c_major") - 1), lambda j: F.struct(F.col("chunk").alias("i"), j.alias("j"), F.lit(False).alias("within")))
@@ -333,18 +358,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Equal sets are one node of the graph: its least id.
     same = ["set_a", "set_b", "n_shingles"]
     rows = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *same)
-    classes = materialize(rows.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1"), "classes")
-    # The largest classes are named by a broadcast of HOT_CLASSES rows at most; none of the others holds more than 1 / HOT_CLASSES of all rows.
-    hot = F.broadcast(materialize(classes.orderBy(F.desc("copies"), *same).limit(HOT_CLASSES), "hot"))
-    others = rows.join(hot, same, "left_anti").join(classes.join(hot, same, "left_anti"), same)
-    copies = materialize(rows.join(hot, same).union(others).where("doc_id <> node").select("doc_id", "node"), "copies")
+    classes = materialize(rows.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1"), "classes")
+    copies = materialize(join_apart(rows, classes, *same).where("doc_id <> node").select("doc_id", "node"), "copies")
 
     routed = signed.select(F.explode("keys").alias("key"), "doc_id").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
     members = routed.mapInArrow(_repeated, "key bigint, doc_id bigint")
     first = copies.groupBy("doc_id").agg(F.min("node").alias("node"))
-    members = materialize(members.join(first, "doc_id", "left").select("key", F.coalesce("node", "doc_id").alias("node")), "members")
-    leads = members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").select("key", "lead")
-    members = materialize(members.join(leads, "key").where("node <> lead").groupBy("lead", "node").agg(F.count("*").alias("shared")), "members")
+    members = materialize(members.join(first, "doc_id", "left").select("key", F.coalesce("node", "doc_id").alias("node")).distinct(), "keys")
+    leads = materialize(members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
+    members = materialize(join_apart(members, leads, "key").where("node <> lead").select("lead", "node").distinct(), "members")
 
     def fetch(ids: DataFrame) -> DataFrame:
         """(node, text and the columns of ``ids``) of some documents, by one scan."""
@@ -356,33 +378,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     nodes = materialize(members.select("node").union(members.select("lead")).distinct(), "nodes")
     vectors = materialize(fetch(nodes).select("node", "text").mapInArrow(_vectors(k), "node bigint, size int, vector binary"), "vectors")
-    ends = vectors.toDF("lead", "lead_size", "lead_vector")
-    reach = members.join(ends, "lead").join(vectors, "node").select("lead", "node", "shared", "lead_size", "lead_vector", "size", "vector")
-    reach = materialize(reach.mapInArrow(_within_reach(num, den), "lead bigint, node bigint, shared bigint"), "reach")
-
-    # Each text goes to the lead with which it shares most keys; the other leads are tested if that leaves the two apart.
-    verify = _verify(k, num, den)
-    first = reach.groupBy("node").agg(F.max_by("lead", F.struct("shared", -F.col("lead"))).alias("lead"))
-    wanted = materialize(first.join(reach.select(F.col("lead").alias("node")).distinct().withColumn("leads", F.lit(True)), "node", "full"), "wanted")
-    near = materialize(fetch(wanted), "texts")
-    heads = near.where("leads").select(F.col("node").alias("lead"), F.col("text").alias("x"))
-    pairs = near.where("lead IS NOT NULL").select("lead", "node", "text").join(heads, "lead")
-    links = pairs.select(F.col("lead").alias("a"), F.col("node").alias("b"), "x", F.col("text").alias("y")).mapInArrow(verify, "a bigint, b bigint")
-    links = materialize(links.union(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "links")
+    # The texts of a node are dealt to tiles; its lead stands in each.
+    sizes = materialize(members.groupBy("lead").agg(F.count("*").alias("n")).select("lead", "n", F.ceil(F.col("n") / TILE).alias("chunks")), "sizes")
+    dealt = join_apart(members, sizes, "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
+    heads = sizes.select("lead", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.col("lead").alias("node"))
+    tiles = dealt.unionByName(heads).join(vectors, "node").select("lead", "chunk", "node", "size", "vector").repartition("lead", "chunk").sortWithinPartitions("lead", "chunk")
+    reach = tiles.mapInArrow(_nearest(num, den), "a bigint, b bigint, likeness double").groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+    reach = materialize(reach, "reach")
+
+    # Each text is tested with its likest partner first; the others are, if that leaves the two apart.
+    first = materialize(reach.groupBy("a").agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("b")), "first")
+    near = materialize(fetch(materialize(reach.select(F.col("a").alias("node")).union(reach.select("b")).distinct(), "wanted")).select("node", "text"), "texts")
+    salts = reach.groupBy("b").agg(F.ceil(F.count("*") / PARTNER_PAIRS).alias("salts")).where("salts > 1")
+    salts = small(materialize(salts, "salts"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) whose sets link. The text of a partner of many is sent to as many tasks as it has pairs by PARTNER_PAIRS."""
+        pairs = pairs.join(salts, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).alias("salt"))
+        heads = near.toDF("b", "y").join(salts, "b", "left").select("b", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        texts = small(pairs).join(near.toDF("a", "x"), "a").join(heads, ["b", "salt"])
+        return materialize(texts.select("a", "b", "x", "y").mapInArrow(_verify(k, num, den), "a bigint, b bigint"), "links")
+
+    links = verified(first).union(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     found = components(links, "a", "b")
 
     def labelled(end: str) -> DataFrame:
         return found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
 
-    apart = reach.join(labelled("node"), "node", "left").join(labelled("lead"), "lead", "left")
-    apart = apart.where(F.coalesce("node_component", "node") != F.coalesce("lead_component", "lead")).join(first, ["node", "lead"], "left_anti").select("lead", "node")
-    pairs = near.select("node", F.col("text").alias("y")).join(small(materialize(apart, "apart")), "node").join(heads, "lead")
-    links = links.union(materialize(pairs.select(F.col("lead").alias("a"), F.col("node").alias("b"), "x", "y").mapInArrow(verify, "a bigint, b bigint"), "links"))
+    apart = reach.join(first, ["a", "b"], "left_anti").join(labelled("a"), "a", "left").join(labelled("b"), "b", "left")
+    apart = materialize(apart.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b"), "apart")
+    links = links.union(verified(apart))
     found = components(links, "a", "b")
 
-    named = members.join(labelled("node"), "node", "left").select("lead", "node", F.coalesce("node_component", "node").alias("component"))
-    open_ = named.groupBy("lead").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("lead")
-    tiles = _tiles(named.join(open_, "lead")).join(vectors, "node").select(*_TILE, "node", "component", "probe", "size", "vector")
+    every = members.union(sizes.select("lead", F.col("lead").alias("node")))
+    named = every.join(labelled("node"), "node", "left").select("lead", "node", F.coalesce("node_component", "node").alias("component"))
+    named = materialize(named, "named")
+    open_ = named.groupBy("lead").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("lead", "n")
+    tiles = _tiles(join_apart(named, materialize(open_, "open"), "lead").select("lead", "node", "component")).join(vectors, "node").select(*_TILE, "node", "component", "probe", "size", "vector")
     tiles = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE)
     tiles = materialize(tiles.mapInArrow(_reached(num, den), "lead bigint, i bigint, j bigint, within boolean, node bigint, component bigint, probe boolean"), "tiles")
     more = fetch(tiles.select("node").distinct()).join(small(tiles), "node").groupBy(*_TILE).applyInPandas(_search_tile(k, num, den), "a bigint, b bigint")
@@ -391,7 +423,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """Rows of ``docs`` whose id is the least of its component, all columns; rows with a null id stay."""
+    """Rows of ``docs`` whose id is the least of its component, all columns, whatever their names.
+
+    Rows with a null id and those without words stay; rows that repeat an id are one document and stay or go together. An
+    empty table stays empty.
+    """
     found = jaccard_components(docs, id_col, text_col, k, num, den)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    names = [f"_{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    kept = docs.toDF(*names).join(gone, F.col(names[docs.columns.index(id_col)]) == F.col("doc_id"), "left_anti")
+    return kept.toDF(*docs.columns)

@@ -5,9 +5,9 @@ import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import shingles as module
-from ledgerloom.llm.common import slices, text_bytes
+from ledgerloom.llm.common import join_apart, slices, text_bytes
 from ledgerloom.llm.components import components
-from ledgerloom.llm.ngram_join import CountTree, Router, bound, count_vector, jaccard_components, keep_one_of_each_group, overlap_needed, pack_vector, unpack_vector
+from ledgerloom.llm.ngram_join import CountTree, Router, _nearest, bound, count_vector, jaccard_components, keep_one_of_each_group, overlap_needed, pack_vector, unpack_vector
 from ledgerloom.llm.shingles import shingle_sets, word_hashes
 
 
@@ -97,6 +97,8 @@ def test_empty_table_and_pipeline_stage(no_docs, edge_docs):
     assert kept.columns == edge_docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert None in ids and 0 in ids and 1 not in ids and 6 in ids and 7 in ids and ids.count(4) == 2
+    clash = edge_docs.withColumnRenamed("lang", "__gone")
+    assert keep_one_of_each_group(clash, k=3, num=9, den=10).count() == len(ids) and keep_one_of_each_group(no_docs).count() == 0
 
 
 def test_router_never_loses_a_link():
@@ -119,7 +121,7 @@ def test_tree_bounds_are_never_below_the_overlap():
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 200), dtype=np.uint64)) for _ in range(70)]
     tree = CountTree(np.array([count_vector(s, 64) for s in sets]))
     for s in sets:
-        found = set(tree.search(count_vector(s, 64), 5, 10).tolist())
+        found = set(tree.search(count_vector(s, 64), 5, 10)[0].tolist())
         for i, t in enumerate(sets):
             if len(np.intersect1d(s, t)) >= overlap_needed(len(s), len(t), 5, 10):
                 assert i in found
@@ -144,9 +146,34 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 @pytest.mark.parametrize("hot", [1, 2])
-def test_copies_beyond_the_broadcast_classes(spark, monkeypatch, hot):
-    monkeypatch.setattr("ledgerloom.llm.ngram_join.HOT_CLASSES", hot)
+def test_hot_keys_are_joined_apart(spark, monkeypatch, hot):
+    monkeypatch.setattr("ledgerloom.llm.common.HOT_KEYS", hot)
+    monkeypatch.setattr("ledgerloom.llm.common.HOT_ROWS", 2)
     rows = [(i, f"text number {i % 4} of a class of copies") for i in range(20)] + [(20, "alone here it stands"), (21, None)]
+    rows += [(30 + i, " ".join([*(f"w{j}" for j in range(60)), f"end{i}"])) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect())
     assert found == sorted(brute(rows, 3, 9, 10))
+    facts = spark.createDataFrame([(1, 5, "a"), (2, 4, "b"), (3, 1, "c")], "k int, n int, f string")
+    many = spark.createDataFrame([(1,)] * 5 + [(2,)] * 4 + [(3,), (4,), (None,)], "k int")
+    assert sorted(r.f for r in join_apart(many, facts, "k").collect()) == list("aaaaabbbbc")
+
+
+def test_trees_reach_a_linked_partner_of_every_text(tmp_path):
+    rows = [(i, t) for i, t in near_texts(5)]
+    sets = dict(zip([i for i, _ in rows], shingle_sets(pa.array([t for _, t in rows]), 3), strict=True))
+    nodes = sorted(sets)
+    batch = pa.RecordBatch.from_pydict({"lead": [0] * len(nodes), "chunk": [0] * len(nodes), "node": nodes, "size": [len(sets[i]) for i in nodes], "vector": [pack_vector(count_vector(sets[i])) for i in nodes]})
+    found = [r for out in _nearest(9, 10)(iter([batch.slice(0, 50), batch.slice(50)])) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    partners = {}
+    for a, b, like in found:
+        partners.setdefault(a, []).append((like, b))
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert like >= both / (len(sets[a]) + len(sets[b]) - both) - 1e-12
+    order = sorted(nodes, key=lambda i: (i != 0, len(sets[i]), i))
+    linked_ones = 0
+    for n, i in enumerate(order):
+        if any(10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j])) for j in order[:n]):
+            linked_ones += 1
+            assert partners[i]
+    assert linked_ones > 50
