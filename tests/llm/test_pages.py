@@ -1,12 +1,14 @@
 import collections
 import hashlib
 import io
+import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat, warc
-from ledgerloom.llm.site_style import blocks, extract, main_text, style_tree
+from ledgerloom.llm.site_style import blocks, content, extract, main_text, style_tree
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home"><header><div class="logo">Site</div></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="ad">Buy now</div><article><h1>Title &amp; more</h1><p>First   <b>bold</b>
@@ -69,6 +71,85 @@ def test_presentation_entropy_keeps_varied_nodes(spark):
     assert all(got[i] == ["Words that recur."] * (i + 1) + [f"Words of page {i}."] for i in range(30))
 
 
+def brute_tree(pages, prior=10, gamma=0.9):
+    """{(host, path): (importance, highest)} from (host, html), by plain recursion."""
+    hosts, bodies, seen = collections.defaultdict(list), set(), set()
+    for host, html in pages:
+        found, elements = content(html)
+        body = tuple(t for p, t, _ in found if not re.search(r"/h[1-6](?:\.[^/]*)?$", p)) or tuple(t for _, t, _ in found)
+        texts = {(p, t) for p, t, article in found if not article}
+        above = {p[:i] for p, _ in texts for i in range(2, len(p) + 1) if i == len(p) or p[i] == "/"}
+        styles = {(p, tuple(c for q, c in elements if q == p)) for p in above}
+        hosts[host].append((body, texts, styles))
+        bodies.add(body)
+        seen |= {(body, "t", x) for x in texts} | {(body, "s", x) for x in styles}
+
+    def entropy(counts):
+        m = sum(counts)
+        return 1 - sum(n * math.log(n) for n in counts) / m / math.log(m) if m > 1 else 1.0
+
+    out = {}
+    for host, rows in hosts.items():
+        own = {(body, kind, x) for body, texts, styles in rows for kind, xs in (("t", texts), ("s", styles)) for x in xs}
+        m = len({body for body, *_ in rows})
+        mix = lambda a, b: m / (m + prior) * a + prior / (m + prior) * b
+        count, wide = (collections.Counter((kind, x) for _, kind, x in s) for s in (own, seen))
+        text, nodes = collections.defaultdict(list), {x[0] for kind, x in count if kind == "s"}
+        for (kind, x), n in count.items():
+            if kind == "t":
+                text[x[0]].append(mix(1 - math.log(n) / math.log(m) if m > 1 else 1.0, 1 - math.log(wide[kind, x]) / math.log(len(bodies)) if len(bodies) > 1 else 1.0))
+
+        def judge(path):
+            a, b = ([n for (kind, x), n in c.items() if kind == "s" and x[0] == path] for c in (count, wide))
+            weight = mix(gamma ** len(a), gamma ** len(b))
+            inner = [judge(q) for q in nodes if q.rpartition("/")[0] == path]
+            parts = [i for i, _ in inner] + ([sum(text[path]) / len(text[path])] if text[path] else [])
+            own = (1 - weight) * mix(entropy(a), entropy(b)) + weight * sum(parts) / len(parts)
+            out[host, path] = own, max([own, *(h for _, h in inner)])
+            return out[host, path]
+
+        for root in (p for p in nodes if p.count("/") == 1):
+            judge(root)
+    return out
+
+
+def test_style_tree_against_recursion_and_its_branches_go(spark):
+    page = lambda i: f"<html><body><div class='head'><div><p>Site name</p></div><p>All about it</p></div><div class='w-1/2 post'>{f'<h2>Part {i}</h2>' * (i % 3)}<p>Words of {i}.</p></div><div class='low'><p>Made by us</p><p>Sold by us</p>{'<p>Only here</p>' if i == 5 else ''}</div></body></html>"
+    rows = [("a", page(i)) for i in range(25)] + [("b", page(i).replace("Site", "Other")) for i in range(9)] + [("c", page(100)), ("", "<p>x</p>")] + [("a", page(3))] * 4
+    want = brute_tree(rows)
+    got = {(r.host, r.path): (r.importance, r.highest) for r in style_tree(spark.createDataFrame(rows, "host string, html string")).collect()}
+    assert set(got) == set(want) and len(got) > 10
+    assert all(abs(got[k][i] - want[k][i]) < 1e-9 for k in want for i in (0, 1))
+    pages = spark.createDataFrame([(n, f"https://{h}.example/{n}" if h else None, html) for n, (h, html) in enumerate(rows)], "page_id bigint, url string, html string")
+    texts = {r.page_id: r.text.split("\n") for r in extract(pages).collect()}
+    # The branch goes with what stands in it on one page alone; the head of the site goes, the post stays whole.
+    assert texts[5] == ["Part 5", "Part 5", "Words of 5."] and texts[0] == ["Words of 0."]
+
+
+def test_hosts_of_nine_and_ten_pages_are_judged_alike(spark):
+    page = lambda h, i: f"<body><div><p>{h} says hello</p></div><section><p>Words of {h} {i}.</p></section></body>"
+    rows = [(h, page(h, i)) for h, n in (("nine", 9), ("ten", 10), ("big", 60)) for i in range(n)]
+    found = {(r.host, r.path): r.highest for r in style_tree(spark.createDataFrame(rows, "host string, html string")).collect()}
+    assert abs(found["nine", "/body/div"] - found["ten", "/body/div"]) < 0.05 and found["big", "/body/div"] < found["ten", "/body/div"]
+
+
+def test_words_of_class_within_an_article_and_teasers():
+    for name in ("related-work", "notice-board", "menu-list"):
+        assert main_text(f"<article><p>One.</p><div class='{name}'><p>Two.</p></div></article>") == "One.\nTwo."
+    assert main_text("<article><p>One.</p><div class='related-posts'><p>Two.</p></div></article>") == "One."
+    assert main_text(f"<article><p>Teaser</p></article><div class='content'><p>{'The long text of this page. ' * 9}</p></div>").endswith("of this page.")
+    assert main_text(f"<article><p>{'The long text of this page. ' * 9}</p></article><div class='content'><p>By the way</p></div>").endswith("of this page.")
+
+
+def test_extract_edges(spark):
+    rows = [(1, "http://a.example/", None), (1, "http://a.example/", ""), (2, None, "<p>a<p>b"), (2, None, "<p>a<p>b"), (None, "x", "<div>" * 3000 + "deep"), (3, "http://a.example", "<p>" + "long words " * 50_000 + "</p>")]
+    schema = "page_id bigint, url string, html string, host string, noisy string, text string"
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in extract(spark.createDataFrame([(*r, "h", "n", "t") for r in rows], schema)).collect()), key=repr)
+    long = ("long words " * 50_000).strip()
+    assert got == sorted([(1, "", 0), (1, "", 0), (2, "a\nb", 3), (2, "a\nb", 3), (None, "deep", 4), (3, long, len(long))], key=repr)
+    assert extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def conversation_rows():
     rows = []
     for c in range(6):
