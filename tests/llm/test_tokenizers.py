@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from ledgerloom.llm.chunked_bpe import ChunkCoder, cuts, decode, encode
+from ledgerloom.llm.chunked_bpe import ChunkCoder, chunks, cuts, decode, digest, encode, shared_chunks
 from ledgerloom.llm.packing import fullest, pack, plan_bins
 from ledgerloom.llm.unigram_counts import CountOnlyViterbi, pieces_of, token_counts
 from ledgerloom.llm.word_ids import WordIds
@@ -39,6 +40,37 @@ def test_chunked_ids_are_the_library_s(byte_coder, text):
     every = np.array([i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80], np.int64)  # a cut at every code point
     assert code.encode(raw, every) == want
     assert code.decode(want).decode() == library.decode(want, skip_special_tokens=False)
+    rng = random.Random(len(raw))
+    for step in (9, 30, 80):  # cuts that leave chunks of many pieces, and of few
+        assert code.encode(raw, every[[rng.random() < 1 / step for _ in every]] if len(every) else every) == want
+
+
+def test_joins_of_texts_without_ascii_or_spaces(byte_coder):
+    code, library = byte_coder
+    rng = random.Random(3)
+    words = ["при", "вет", "мир", "слово", "'s", "'", "д,", "漢字", "かな。", "٣٤", "—", "\u3000", "  ", "\n\n "]
+    for join in ("", " ", "\u00a0"):
+        text = join.join(rng.choice(words) for _ in range(12_000))
+        assert chunked(code, text) == library.encode(text, add_special_tokens=False).ids
+        used = sum(len(code.chunk(part)) > 1 for part in chunks(text.encode(), cuts(np.frombuffer(text.encode(), np.uint8))))
+        assert used > 20
+    text = "ab" * 20_000
+    assert chunked(code, text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_that_documents_share_are_encoded_once(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(3000))
+    texts = [" ".join(word() for _ in range(200)) + " " + passage + " " + " ".join(word() for _ in range(200)) for _ in range(6)] + ["alone " * 3, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    shared = shared_chunks(docs, BYTE)
+    count = collections.Counter(digest(c) for t in texts for c in chunks(t.encode(), cuts(np.frombuffer(t.encode(), np.uint8))))
+    assert set(shared) == {k for k, n in count.items() if n > 1} and len(shared) > 10
+    whole = sorted(tuple(r) for r in encode(docs, BYTE).collect())
+    monkeypatch.setattr("ledgerloom.llm.chunked_bpe.SHARED", 3)
+    assert len(shared_chunks(docs, BYTE)) == 3 and sorted(tuple(r) for r in encode(docs, BYTE).collect()) == whole
+    assert [tuple(r["ids"]) for r in sorted(encode(docs, BYTE).collect())] == [tuple(Tokenizer.from_file(BYTE).encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_encode_edges_and_decode(edge_docs, edge_rows, no_docs):
