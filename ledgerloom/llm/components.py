@@ -16,12 +16,12 @@ def _star(edges: DataFrame) -> DataFrame:
     """Large star: link each larger neighbour with the least of the neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    return join_apart(both.where("v > u"), materialize(least, "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return join_apart(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Small star: link each smaller neighbour, and the vertex, with the least of them. Edges have u > v."""
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     linked = join_apart(edges, least, "u")
     return linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 

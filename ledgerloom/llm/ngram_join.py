@@ -399,16 +399,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         texts = small(pairs).join(near.toDF("a", "x"), "a").join(heads, ["b", "salt"])
         return materialize(texts.select("a", "b", "x", "y").mapInArrow(_verify(k, num, den), "a bigint, b bigint"), "links")
 
-    links = verified(first).union(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    found = components(links, "a", "b")
+    found = components(verified(first).union(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "a", "b")
+
+    def joined(more: DataFrame) -> DataFrame:
+        """Components after more links, from those found so far."""
+        return found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
 
     def labelled(end: str) -> DataFrame:
         return found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
 
     apart = reach.join(first, ["a", "b"], "left_anti").join(labelled("a"), "a", "left").join(labelled("b"), "b", "left")
     apart = materialize(apart.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b"), "apart")
-    links = links.union(verified(apart))
-    found = components(links, "a", "b")
+    found = joined(verified(apart))
 
     every = members.union(sizes.select("lead", F.col("lead").alias("node")))
     named = every.join(labelled("node"), "node", "left").select("lead", "node", F.coalesce("node_component", "node").alias("component"))
@@ -418,7 +420,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE)
     tiles = materialize(tiles.mapInArrow(_reached(num, den), "lead bigint, i bigint, j bigint, within boolean, node bigint, component bigint, probe boolean"), "tiles")
     more = fetch(tiles.select("node").distinct()).join(small(tiles), "node").groupBy(*_TILE).applyInPandas(_search_tile(k, num, den), "a bigint, b bigint")
-    found = components(links.union(materialize(more, "links")), "a", "b")
+    found = joined(materialize(more, "links"))
     return signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
