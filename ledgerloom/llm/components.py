@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
-Every round is two group-bys with map-side minima and two joins with these minima, those of the vertices of most edges by a
-broadcast: a hot vertex is never gathered in one place. Each round's edges are a table in the shared folder.
+Every round is two group-bys with map-side minima and two joins with these. The edges of one vertex meet in one task of a join,
+as narrow rows of two ids; adaptive execution splits that where it is large. Each round's edges are a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -9,20 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_apart, materialize
+from .common import materialize
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """Large star: link each larger neighbour with the least of the neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    return join_apart(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Small star: link each smaller neighbour, and the vertex, with the least of them. Edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    linked = join_apart(edges, least, "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    linked = edges.join(least, "u")
     return linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -38,4 +38,4 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if state.n == 0 or state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         before = state
-        now = materialize(_small(materialize(_star(now), "edges")), "edges")
+        now = materialize(_small(_star(now)), "edges")
