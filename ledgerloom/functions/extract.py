@@ -38,10 +38,23 @@ def stable_id(docket_: Column, doc_type: Column, date: Column, url: Column, *con
     return F.when(docket_.isNotNull(), by_docket).when(url.isNotNull(), F.concat(F.lit("url::"), url)).otherwise(F.concat(F.lit("content::"), F.substring(F.sha2(F.concat_ws("::", *content), 256), 1, 16)))
 
 
+# Wording that decides a board outcome, in order of precedence.
+_BOARD = (
+    ("(?is)(?:VACAT|vacating).{0,200}?REMAND|REMAND.{0,200}?VACAT", "Remanded"),
+    ("(?i)certif\\w*\\s+(?:is\\s+)?GRANTED|HEREBY\\s+GRANT|IT\\s+IS\\s+(?:HEREBY\\s+)?ORDERED\\s+that\\s+(?:labor\\s+)?certif\\w+\\s+(?:is\\s+)?GRANT", "Reversed"),
+    ("(?i)\\bVACAT\\w+\\b", "Reversed"),
+    ("(?i)\\bREMAND\\w*\\b", "Remanded"),
+    ("(?i)\\bREVERS\\w*\\b", "Reversed"),
+    ("(?i)\\bAFFIRM\\w*\\b", "Affirmed"),
+    ("(?i)\\b(?:DISMISS\\w*|ADMINISTRATIVELY\\s+CLOS\\w*|WITHDRAWN)\\b", "Dismissed"),
+)
+# The same for appeals.
+_APPEALS = ("Sustained", "Dismissed", "Remanded", "Withdrawn")
+
+
 def _outcome(text: Column) -> Column:
-    rules = (("(?is)vacat.{0,200}remand", "Remanded"), ("(?i)granted", "Reversed"), ("(?i)vacated", "Reversed"), ("(?i)remand", "Remanded"), ("(?i)revers", "Reversed"), ("(?i)affirm", "Affirmed"), ("(?i)dismiss", "Dismissed"))
-    out = F.when(text.rlike(rules[0][0]), rules[0][1])
-    for pattern, label in rules[1:]:
+    out = F.when(text.rlike(_BOARD[0][0]), _BOARD[0][1])
+    for pattern, label in _BOARD[1:]:
         out = out.when(text.rlike(pattern), label)
     return out
 
@@ -53,8 +66,9 @@ def board_outcome(c: Column) -> Column:
 
 
 def appeals_outcome(c: Column) -> Column:
+    """The first of the outcomes, in their order, that the last 2000 characters have as a word."""
     tail = F.when(F.length(c) > 2000, F.substring(c, -2000, 2000)).otherwise(c)
-    return F.when(tail.rlike("(?i)sustain"), "Sustained").when(tail.rlike("(?i)dismiss"), "Dismissed").when(tail.rlike("(?i)remand"), "Remanded").when(tail.rlike("(?i)withdr"), "Withdrawn")
+    return F.coalesce(*(F.when(tail.rlike(f"(?i)\\b{label}\\b"), label) for label in _APPEALS))
 
 
 def text_quality(chars: Column, pages: Column) -> Column:
@@ -77,4 +91,17 @@ def priority_cell(c: Column) -> tuple[Column, Column, Column]:
 
 
 def form_number(name: Column) -> Column:
-    return F.concat_ws("-", _group(name, "(?i)(?:^|[^A-Za-z])([A-Z])[-_](\\d{2,4}[A-Z]?)"), _group(name, "(?i)(?:^|[^A-Za-z])[A-Z][-_](\\d{2,4}[A-Z]?)"))
+    """I-140 of i-140.pdf, N-400 of uscis_N_400_2024.pdf; other letters are no form; null without one."""
+    pattern = "(?i)(?:^|[^A-Za-z])(I|N)[-_](\\d+[A-Z]?)(?![A-Za-z0-9])"
+    return F.upper(F.concat(_group(name, pattern), F.lit("-"), _group(name, pattern, 2)))
+
+
+def fiscal_year(path: Column) -> Column:
+    """FY2024 of the folder that a file stands in; the folder's name where it begins otherwise; null without a folder."""
+    folder = _group(path, "([^/]+)/[^/]*$")
+    return F.coalesce(_group(folder, "^(FY\\d{4})"), folder)
+
+
+def safe_name(label: Column) -> Column:
+    """A label as a file name: runs of other characters than letters, digits, points and hyphens become one underscore."""
+    return F.nullif(F.btrim(F.regexp_replace(label, "[^A-Za-z0-9.-]+", "_"), F.lit("_")), F.lit(""))

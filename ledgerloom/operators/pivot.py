@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .filters import apply_filters, require_columns
 
 MAX_COLUMN_VALUES, DEFAULT_LIMIT, MAX_LIMIT = 50, 500, 5000
-#: Binary fractions of a decimal half lie on either side of it; this much lets a half always go up.
-HALF_UP = 1e-7
 AGGREGATES = ("count", "pct_of_total", "count_distinct", "sum", "avg", "min", "max")
 
 
@@ -51,6 +49,11 @@ def validate(df: DataFrame, spec: PivotSpec) -> None:
             raise ValueError(f"{m.agg} needs a field")
 
 
+def mean(value: Column | str) -> Column:
+    """Average to two places as a decimal, so that a half goes away from zero whatever its binary fraction."""
+    return F.round(F.avg(value).cast("decimal(38,10)"), 2).cast("double")
+
+
 def _aggregate(m: Metric, when: Column | None = None) -> Column:
     """The aggregate, over the rows for which ``when`` holds. Shares are counts here, see ``pivot``."""
     value = F.col(m.field) if m.field else F.lit(1)
@@ -60,7 +63,7 @@ def _aggregate(m: Metric, when: Column | None = None) -> Column:
     if m.agg == "count_distinct":
         return F.count_distinct(value)
     if m.agg == "avg":
-        return F.round(F.avg(value) + HALF_UP, 2)
+        return mean(value)
     return {"sum": F.sum, "min": F.min, "max": F.max}[m.agg](value)
 
 
@@ -95,14 +98,16 @@ def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
             if m.agg == "pct_of_total":
                 shares.append((f"__row_total__{label}", None))
     out = base.groupBy(*spec.rows).agg(*columns)
-    # A cell is a share of its row, a row's total a share of all rows.
-    everything = Window.partitionBy()
+    # A cell is a share of its row, a row's total a share of all rows, counted apart: one row.
+    if any(not of for _, of in shares):
+        out = out.join(F.broadcast(base.agg(F.count("*").alias("__all_rows"))))
     for name, of in shares:
-        total = F.col(of) if of else F.sum(name).over(everything)
+        total = F.col(of) if of else F.col("__all_rows")
         out = out.withColumn(name if of else f"{name}%", F.round(F.col(name) * 100.0 / F.nullif(total, F.lit(0)), 2))
     for name, of in shares:
         if not of:
             out = out.withColumn(name, F.col(f"{name}%")).drop(f"{name}%")
+    out = out.drop("__all_rows")
     first = F.col(spec.rows[0]).asc_nulls_last()
     rest = [F.col(r).asc_nulls_last() for r in spec.rows]
     if spec.order == "metric_desc":

@@ -70,39 +70,81 @@ def postings(docs: DataFrame, id_col: str, fields: dict[str, float], only: list[
     return reduce(DataFrame.unionByName, parts)
 
 
-def _has(words: Column, phrase: tuple[str, ...]) -> Column:
-    """A term, or the phrase's terms side by side."""
-    if len(phrase) == 1:
-        return F.array_contains(words, phrase[0])
-    spread = F.transform(F.sequence(F.lit(0), F.size(words) - len(phrase)), lambda i: reduce(lambda a, b: a & b, (F.get(words, i + j) == w for j, w in enumerate(phrase))))
-    return F.when(F.size(words) >= len(phrase), F.exists(spread, lambda x: x)).otherwise(F.lit(False))
+def _padded(text: Column) -> Column:
+    """The words of a text, each between blanks of its own, so that a term or phrase is a plain substring."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "  "), F.lit(" "))
+
+
+def _said(phrase: tuple[str, ...]) -> str:
+    return f" {'  '.join(phrase)} "
+
+
+def _satisfied(words: Column, q: Query) -> Column:
+    tests = [F.contains(words, F.lit(_said(p))) for p in q.all]
+    tests += [reduce(lambda a, b: a | b, (F.contains(words, F.lit(_said(p))) for p in group)) for group in q.any]
+    tests += [~F.contains(words, F.lit(_said(p))) for p in q.none]
+    return reduce(lambda a, b: a & b, tests) if tests else F.lit(False)
 
 
 def matches(words: Column, q: Query) -> Column:
     """Whether the analyzed words of a text satisfy the query; evaluated within the scan, no shuffle."""
-    tests = [_has(words, p) for p in q.all]
-    tests += [reduce(lambda a, b: a | b, (_has(words, p) for p in group)) for group in q.any]
-    tests += [~_has(words, p) for p in q.none]
-    return reduce(lambda a, b: a & b, tests) if tests else F.lit(False)
+    return F.exists(F.array(F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))), lambda w: _satisfied(w, q))
+
+
+def text_matches(text: Column, q: Query) -> Column:
+    """The same of the text itself, which is analysed once, whatever the query asks."""
+    return F.exists(F.array(_padded(text)), lambda w: _satisfied(w, q))
+
+
+def _times(words: Column, phrase: tuple[str, ...]) -> Column:
+    """How often padded words hold a term or, without overlaps, a phrase."""
+    said = _said(phrase)
+    return ((F.length(words) - F.length(F.replace(words, F.lit(said), F.lit("")))) / len(said)).cast("int")
+
+
+def text_score(text: Column, q: Query, weight: float = 1.0) -> Column:
+    """Weighted term frequency of the query's wanted terms, damped by the logarithm: a row's own score, without a pass over the corpus."""
+    wanted = dict.fromkeys([*q.all, *(p for g in q.any for p in g)])
+    total = lambda w: reduce(lambda a, c: a + c, (F.log1p(_times(w, p)) for p in wanted), F.lit(0.0))
+    return weight * F.element_at(F.transform(F.array(_padded(text)), total), 1)
+
+
+def weighted_score(fields: dict[str, float], q: Query) -> Column:
+    """The sum of the fields' scores, each by its weight: a hit in a title counts for more than one in the text."""
+    return reduce(lambda a, c: a + c, (text_score(F.col(name), q, weight) for name, weight in fields.items()))
+
+
+def composite_rank(score: Column, share: float, boosts: dict[str, tuple[Column, float]], degrees: dict[str, tuple[Column, float]]) -> Column:
+    """``share`` of a text score, what each boost that holds adds, and by weight the decimal logarithm of one and each degree."""
+    out = share * score
+    for holds, value in boosts.values():
+        out = out + F.when(holds, F.lit(value)).otherwise(F.lit(0.0))
+    for degree, weight in degrees.values():
+        out = out + weight * F.log10(1 + F.coalesce(degree, F.lit(0)))
+    return out
+
+
+def match_or_like(text: Column, q: Query, term: str, *fields: Column) -> Column:
+    """The text satisfies the query, or one of the other fields contains the term as it is."""
+    return reduce(lambda a, c: a | c, (F.coalesce(f.ilike(f"%{term}%"), F.lit(False)) for f in fields), text_matches(text, q))
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, q: Query, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score, tf) of matching texts. Collection statistics are one row of global aggregates."""
-    rows = docs.select(id_col, analyzed(F.col(text_col)).alias("words"))
-    wanted = [t for p in [*q.all, *(x for g in q.any for x in g)] for t in p]
+    terms = list(dict.fromkeys(t for p in [*q.all, *(x for g in q.any for x in g)] for t in p))
 
-    def occurrences(term: str) -> Column:
-        return F.size(F.filter("words", lambda w: w == term))
+    def facts(w: Column) -> Column:
+        words = F.length(F.replace(F.regexp_replace(w, "[a-z0-9]+", "x"), F.lit(" "), F.lit("")))
+        return F.struct(words.alias("len"), _satisfied(w, q).alias("hit"), *(_times(w, (t,)).alias(f"tf_{t}") for t in terms))
 
-    tf = {t: occurrences(t) for t in dict.fromkeys(wanted)}
-    rows = rows.select(id_col, F.size("words").alias("len"), matches(F.col("words"), q).alias("hit"), *(c.alias(f"tf_{t}") for t, c in tf.items()))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf_{t}") > 0).alias(f"df_{t}") for t in tf))
+    rows = docs.select(id_col, F.element_at(F.transform(F.array(_padded(F.col(text_col))), facts), 1).alias("f")).select(id_col, "f.*")
+    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf_{t}") > 0).alias(f"df_{t}") for t in terms))
     rows = rows.where("hit").join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
-    for t in tf:
+    for t in terms:
         idf = F.log(1 + (F.col("n") - F.col(f"df_{t}") + 0.5) / (F.col(f"df_{t}") + 0.5))
         score = score + idf * F.col(f"tf_{t}") * (k1 + 1) / (F.col(f"tf_{t}") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    total = reduce(lambda a, c: a + c, (F.col(f"tf_{t}") for t in tf), F.lit(0))
+    total = reduce(lambda a, c: a + c, (F.col(f"tf_{t}") for t in terms), F.lit(0))
     return rows.select(id_col, score.alias("score"), total.alias("tf"))
 
 

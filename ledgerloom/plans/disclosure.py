@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.filters import with_related
-from ..operators.pivot import HALF_UP, Metric, PivotSpec, grand_total, pivot, raw, raw_count, typeahead
+from ..operators.pivot import Metric, PivotSpec, grand_total, mean, pivot, raw, raw_count, typeahead
 from ..sources.tables import LCA_SQL, PERM_SQL, PROGRAMS, PW_SQL, lca, perm, pw, table
 from .registry import _QUERIES, _SQL, query
 from .templates import TEMPLATES, template_sql
@@ -39,7 +39,7 @@ def pivot_pct_total(spark, sf_dir):
 
 
 @query("""SELECT o_orderpriority, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS total,
-  round(avg(o_totalprice) + 1e-7, 2) AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1""")
+  round(avg(o_totalprice)::DECIMAL(38,10), 2)::DOUBLE AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1""")
 def pivot_all_aggs(spark, sf_dir):
     price = "o_totalprice"
     spec = PivotSpec(("o_orderpriority",), (_COUNT, Metric("pct_of_total", None, "pct"), Metric("count_distinct", "o_custkey", "customers"), Metric("sum", price, "total"), Metric("avg", price, "mean"), Metric("min", price, "low"), Metric("max", price, "high")))
@@ -53,7 +53,7 @@ def pivot_columns(spark, sf_dir):
     return pivot(table(spark, sf_dir, "orders"), PivotSpec(("o_orderpriority",), (_COUNT, Metric("pct_of_total", None, "pct")), column="o_orderstatus"))
 
 
-@query("""SELECT count(*) AS n, round(avg(o_totalprice) + 1e-7, 2) AS mean, count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderstatus <> 'P')) AS n_groups,
+@query("""SELECT count(*) AS n, round(avg(o_totalprice)::DECIMAL(38,10), 2)::DOUBLE AS mean, count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderstatus <> 'P')) AS n_groups,
   (SELECT count(*) FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderstatus <> 'P')) > 3 AS "limited" FROM orders WHERE o_orderstatus <> 'P'""")
 def pivot_grand_total(spark, sf_dir):
     return grand_total(table(spark, sf_dir, "orders"), PivotSpec(("o_orderpriority",), (_COUNT, Metric("avg", "o_totalprice", "mean")), filters=(("o_orderstatus", "!=", "P"),), limit=3))
@@ -91,9 +91,9 @@ def typeahead_values(spark, sf_dir):
     return typeahead(table(spark, sf_dir, "nation"), "n_name", "ia")
 
 
-@query(f"""SELECT soc_title, case_status, count(*) AS n, round(avg(wage_from) + 1e-7, 2) AS mean, round(quantile_cont(wage_from, 0.5), 4) AS median, min(wage_from) AS low, max(wage_from) AS high FROM ({PERM_SQL}) t GROUP BY 1, 2""")
+@query(f"""SELECT soc_title, case_status, count(*) AS n, round(avg(wage_from)::DECIMAL(38,10), 2)::DOUBLE AS mean, round(quantile_cont(wage_from, 0.5), 4) AS median, min(wage_from) AS low, max(wage_from) AS high FROM ({PERM_SQL}) t GROUP BY 1, 2""")
 def stats_median(spark, sf_dir):
-    return perm(spark, sf_dir).groupBy("soc_title", "case_status").agg(F.count("*").alias("n"), F.round(F.avg("wage_from") + HALF_UP, 2).alias("mean"), F.round(F.percentile("wage_from", 0.5), 4).alias("median"), F.min("wage_from").alias("low"), F.max("wage_from").alias("high"))
+    return perm(spark, sf_dir).groupBy("soc_title", "case_status").agg(F.count("*").alias("n"), mean("wage_from").alias("mean"), F.round(F.percentile("wage_from", 0.5), 4).alias("median"), F.min("wage_from").alias("low"), F.max("wage_from").alias("high"))
 
 
 @query(f"SELECT fiscal_year, count(DISTINCT employer_name) AS employers, count(DISTINCT law_firm) AS firms, count(DISTINCT soc_title) AS titles, count(*) AS n FROM ({PERM_SQL}) t GROUP BY 1")
@@ -152,12 +152,12 @@ def soc_drift_rate(spark, sf_dir):
     return pw(spark, sf_dir).groupBy("law_firm").agg(F.count("*").alias("n"), F.round(100.0 * F.avg(changed), 2).alias("drift"))
 
 
-@query("""SELECT event_type, user_id, count(*) AS n, round(avg(value) + 1e-7, 2) AS mean, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END)::BIGINT AS zero_results, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events
+@query("""SELECT event_type, user_id, count(*) AS n, round(avg(value)::DECIMAL(38,10), 2)::DOUBLE AS mean, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END)::BIGINT AS zero_results, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events
   WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1, 2 ORDER BY n DESC, event_type, user_id LIMIT 100""")
 def search_events_common(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     recent = events.join(F.broadcast(events.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("since"))), F.col("ts") >= F.col("since"))  # one row
-    found = recent.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.round(F.avg("value") + HALF_UP, 2).alias("mean"), F.count_if(F.col("value") < 10).alias("zero_results"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+    found = recent.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), mean("value").alias("mean"), F.count_if(F.col("value") < 10).alias("zero_results"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
     return found.orderBy(F.desc("n"), "event_type", "user_id").limit(100)
 
 

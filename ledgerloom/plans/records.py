@@ -176,11 +176,13 @@ def section_extract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_terms"), F.when(F.size(terms) > 0, F.array_join(terms, ",")).alias("terms"))
 
 
-_OUTCOME = "CASE o_orderkey % 7 WHEN 0 THEN 'The decision is vacated and the matter is remanded.' WHEN 1 THEN 'The labor certification is GRANTED.' WHEN 2 THEN 'The denial is vacated.' WHEN 3 THEN 'We remand.' WHEN 4 THEN 'The decision is affirmed.' WHEN 5 THEN 'The appeal is dismissed.' ELSE '' END"
+_OUTCOME = """CASE o_orderkey % 12 WHEN 0 THEN 'The decision is vacated and the matter is remanded.' WHEN 1 THEN 'The labor certification is GRANTED.' WHEN 2 THEN 'The denial is vacated.' WHEN 3 THEN 'We remand.' WHEN 4 THEN 'The decision is affirmed.'
+  WHEN 5 THEN 'The appeal is dismissed.' WHEN 6 THEN 'The motion for extension was not granted. The denial is affirmed.' WHEN 7 THEN 'We remand; the denial is vacated.' WHEN 8 THEN 'The case is administratively closed.' WHEN 9 THEN 'It was withdrawn.' WHEN 10 THEN 'Nothing is said.' ELSE '' END"""
+#: What each of these texts is, as read from the rules by hand.
+_LABEL = "CASE o_orderkey % 12 WHEN 0 THEN 'Remanded' WHEN 1 THEN 'Reversed' WHEN 2 THEN 'Reversed' WHEN 3 THEN 'Remanded' WHEN 4 THEN 'Affirmed' WHEN 5 THEN 'Dismissed' WHEN 6 THEN 'Affirmed' WHEN 7 THEN 'Remanded' WHEN 8 THEN 'Dismissed' WHEN 9 THEN 'Dismissed' WHEN 10 THEN 'Unknown' END"
 
 
-@query(f"""SELECT o_orderkey, CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '(?is)vacat.{{0,200}}remand') THEN 'Remanded' WHEN regexp_matches(t, '(?i)granted|vacated') THEN 'Reversed' WHEN regexp_matches(t, '(?i)remand') THEN 'Remanded'
-  WHEN regexp_matches(t, '(?i)affirm') THEN 'Affirmed' WHEN regexp_matches(t, '(?i)dismiss') THEN 'Dismissed' ELSE 'Unknown' END AS outcome FROM (SELECT o_orderkey, {_OUTCOME} AS t FROM orders)""")
+@query(f"SELECT o_orderkey, {_LABEL} AS outcome FROM orders")
 def outcome_label(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.board_outcome(F.expr(_OUTCOME)).alias("outcome"))
 

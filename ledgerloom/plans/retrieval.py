@@ -12,7 +12,7 @@ from ..functions.citations import citations
 from ..functions.diff import line_diff
 from ..functions.markup import article_text, links
 from ..operators import graph as G
-from ..operators.search import analyzed, bm25, headline, matches, parse_query, postings
+from ..operators.search import STOP_WORDS, analyzed, bm25, composite_rank, headline, match_or_like, parse_query, postings, text_matches, weighted_score
 from ..operators.vector import cosine, top_k
 from ..sources.tables import table
 from .registry import query
@@ -22,7 +22,7 @@ _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 def _found(spark, sf_dir, text: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.where(matches(analyzed(F.col("text")), parse_query(text))).select("doc_id", "lang")
+    return docs.where(text_matches(F.col("text"), parse_query(text))).select("doc_id", "lang")
 
 
 @query(f"SELECT doc_id, lang FROM documents WHERE list_contains({_WORDS}, 'ntly') AND list_contains({_WORDS}, 'ering')")
@@ -63,13 +63,35 @@ def search_boosted(spark, sf_dir):
     """Text score, field boosts and citation authority; the degree is aggregated before the join."""
     cited = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("cited"))
     hits = F.size(F.filter(analyzed(F.col("p_type")), lambda w: w == "steel"))
-    score = 0.55 * hits + 1.5 * F.col("p_brand").ilike("%12%").cast("int") + 2.0 * F.col("p_name").ilike("%part%").cast("int") + 0.30 * F.log10(1 + F.coalesce("cited", F.lit(0)))
+    boosts = {"brand": (F.col("p_brand").ilike("%12%"), 1.5), "name": (F.col("p_name").ilike("%part%"), 2.0)}
+    score = composite_rank(hits, 0.55, boosts, {"cited": (F.col("cited"), 0.30)})
     return table(spark, sf_dir, "part").join(cited, "p_partkey", "left").select("p_partkey", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(100)
 
 
+_COUNT = "len(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: x = '{}'))"
+
+
+@query(f"""SELECT p_partkey, round(1.0 * ln(1 + {_COUNT.format("p_name", "part")}) + 0.4 * ln(1 + {_COUNT.format("p_type", "steel")}) + 1.0 * ln(1 + {_COUNT.format("p_name", "steel")}) + 0.4 * ln(1 + {_COUNT.format("p_type", "part")}), 6) AS score FROM part""")
+def search_weighted_fields(spark, sf_dir):
+    score = weighted_score({"p_name": 1.0, "p_type": 0.4}, parse_query("part OR steel"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("score"))
+
+
+@query("""SELECT p_partkey FROM part WHERE list_contains(regexp_extract_all(lower(p_type), '[a-z0-9]+'), 'steel') OR p_brand ILIKE '%13%' OR p_name ILIKE '%13%'""")
+def search_match_or_like(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(match_or_like(F.col("p_type"), parse_query("steel"), "13", F.col("p_brand"), F.col("p_name"))).select("p_partkey")
+
+
+@query("""SELECT p_partkey, rank FROM (SELECT p_partkey, CASE WHEN p_name ILIKE '%part%1%' THEN 0 WHEN p_brand ILIKE '%1%' THEN 1 ELSE 2 END AS rank FROM part) WHERE rank < 2 ORDER BY rank, p_partkey LIMIT 1""")
+def search_priority_lookup(spark, sf_dir):
+    """A name match goes before a match of the other field; one row."""
+    rank = F.when(F.col("p_name").ilike("%part%1%"), 0).when(F.col("p_brand").ilike("%1%"), 1).otherwise(2)
+    return table(spark, sf_dir, "part").select("p_partkey", rank.alias("rank")).where("rank < 2").orderBy("rank", "p_partkey").limit(1)
+
+
 @query(f"SELECT doc_id, n_chars FROM documents WHERE list_contains({_WORDS}, 'ntly') ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20")
 def search_page(spark, sf_dir):
-    hit = matches(analyzed(F.col("text")), parse_query("ntly"))
+    hit = text_matches(F.col("text"), parse_query("ntly"))
     return table(spark, sf_dir, "documents").where(hit).select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").offset(20).limit(20)
 
 
@@ -112,18 +134,26 @@ def posting_statistics(spark, sf_dir):
     return rows.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
-@query("""SELECT item_id, count(*) AS keywords, count(*) FILTER (WHERE contains(lower(text), word)) AS covered FROM (SELECT item_id, text, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9.+#-]{2,}'))) AS word FROM benchmark) GROUP BY 1""")
+_NO_KEYWORD = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, text, lead(lower(text)) OVER (PARTITION BY conv_id ORDER BY turn, text) AS answer FROM conversations),
+  k AS (SELECT conv_id, turn, answer, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9.+#-]{{2,}}'))) AS word FROM t WHERE answer IS NOT NULL)
+  SELECT conv_id, turn, count(*) AS keywords, count(*) FILTER (WHERE contains(answer, lower(word))) AS covered FROM k WHERE lower(word) NOT IN ({_NO_KEYWORD}) GROUP BY 1, 2""")
 def keyword_coverage(spark, sf_dir):
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9.+#-]{2,}"), F.lit(0)))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(words).alias("word"))
-    return rows.groupBy("item_id").agg(F.count("*").alias("keywords"), F.count_if(F.contains(F.lower("text"), F.col("word"))).alias("covered"))
+    """Keywords of a turn, each casing for itself and without stop words, that the next turn holds."""
+    after = F.lead(F.lower("text")).over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", after.alias("answer")).where("answer IS NOT NULL")
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9.+#-]{2,}"), F.lit(0)))
+    rows = turns.select("conv_id", "turn", "answer", F.explode(words).alias("word")).where(~F.lower("word").isin(*sorted(STOP_WORDS)))
+    return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("keywords"), F.count_if(F.contains("answer", F.lower("word"))).alias("covered"))
 
 
 @query()
 def search_headlines(spark, sf_dir):
     q = parse_query('ntly "on thing" OR ering')
     docs = table(spark, sf_dir, "documents")
-    return docs.where(matches(analyzed(F.col("text")), q)).select("doc_id", headline(F.col("text"), q).alias("snippet"))
+    return docs.where(text_matches(F.col("text"), q)).select("doc_id", headline(F.col("text"), q).alias("snippet"))
 
 
 # --- graph ---

@@ -9,7 +9,7 @@ from ..streaming.events import sessions, windowed_counts
 from .registry import query
 
 
-@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value) + 1e-7, 2) AS mean FROM events GROUP BY 1, 2")
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value)::DECIMAL(38,10), 2)::DOUBLE AS mean FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean")
 

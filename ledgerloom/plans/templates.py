@@ -30,7 +30,7 @@ TEMPLATES: dict[str, tuple[str, PivotSpec]] = {
     "lca_firm_by_year": ("lca", PivotSpec(("law_firm", "fiscal_year"), (COUNT,))),
 }
 
-_AGG = {"count": "count(*)", "sum": "sum({f})", "avg": "round(avg({f}) + 1e-7, 2)", "min": "min({f})", "max": "max({f})", "count_distinct": "count(DISTINCT {f})", "pct_of_total": "round(count(*) * 100.0 / sum(count(*)) OVER (), 2)"}
+_AGG = {"count": "count(*)", "sum": "sum({f})", "avg": "round(avg({f})::DECIMAL(38,10), 2)::DOUBLE", "min": "min({f})", "max": "max({f})", "count_distinct": "count(DISTINCT {f})", "pct_of_total": "round(count(*) * 100.0 / sum(count(*)) OVER (), 2)"}
 
 
 def template_sql(program_sql: str, spec: PivotSpec) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.pivot import HALF_UP
+from ..operators.pivot import mean
 
 
 def _watermarked(events: DataFrame, late: str | None) -> DataFrame:
@@ -17,7 +17,7 @@ def _watermarked(events: DataFrame, late: str | None) -> DataFrame:
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str | None = "2 days") -> DataFrame:
     """Counts and means by window and type; rows later than the watermark are let go."""
-    out = _watermarked(events, late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value") + HALF_UP, 2).alias("mean"))
+    out = _watermarked(events, late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), mean("value").alias("mean"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "mean")
 
 

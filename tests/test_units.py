@@ -9,7 +9,7 @@ from ledgerloom.functions import citations, coerce, diff, extract, markup
 from ledgerloom.functions.chunk import chunk, chunk_sections, tokens
 from ledgerloom.operators.filters import apply_filters, not_true
 from ledgerloom.operators.pivot import Metric, PivotSpec, column_values, grand_total, pivot
-from ledgerloom.operators.search import matches, analyzed, parse_query
+from ledgerloom.operators.search import analyzed, matches, parse_query
 from ledgerloom.operators.series import backlog, movement
 from ledgerloom.operators.upsert import partial_upsert
 from ledgerloom.streaming.events import once, sessions, windowed_counts
@@ -36,6 +36,13 @@ def test_extraction(spark):
     outcome = lambda t: one(spark, extract.board_outcome(F.lit(t)))
     assert outcome("vacated and remanded") == "Remanded" and outcome("vacated " + "x " * 200 + "remanded") == "Reversed"
     assert outcome(" ") is None and outcome("affirmed. " + "y" * 2600) == "Affirmed" and outcome("nothing") == "Unknown"
+    assert outcome("The motion for extension was not granted. The denial is affirmed.") == "Affirmed" and outcome("we remand; the denial is vacated") == "Remanded"
+    assert outcome("administratively closed") == outcome("withdrawn") == "Dismissed" and outcome("It is ordered that labor certification is granted") == "Reversed"
+    appeal = lambda t: one(spark, extract.appeals_outcome(F.lit(t)))
+    assert appeal("this is unsustainable; the appeal is dismissed") == "Dismissed" and appeal("Dismissed, then SUSTAINED") == "Sustained" and appeal("none") is None
+    assert one(spark, extract.form_number(F.lit("i-140.pdf"))) == "I-140" and one(spark, extract.form_number(F.lit("X-12.pdf"))) is None
+    assert one(spark, extract.fiscal_year(F.lit("/d/FY2024_Q4/f.csv"))) == "FY2024" and one(spark, extract.fiscal_year(F.lit("/d/old/f.csv"))) == "old" and one(spark, extract.fiscal_year(F.lit("f.csv"))) is None
+    assert one(spark, extract.safe_name(F.lit("PERM data: FY 2025/Q4"))) == "PERM_data_FY_2025_Q4"
     cell = lambda t: tuple(one(spark, c) for c in extract.priority_cell(F.lit(t)))
     assert cell("01JAN22") == (datetime.date(2022, 1, 1), False, False) and cell("01JAN85")[0].year == 1985
     assert cell("C") == (None, True, False) and cell("Unavailable") == (None, False, True) and cell("31FEB20")[0] is None and cell("-") == (None, False, False)
@@ -47,10 +54,34 @@ def test_extraction(spark):
 
 def test_citations():
     found = citations.find("See 25 l&N Dec. 369 and 25 I&N Dec. 369; 2006-per-20. Matter ofChawathe, 25 I&N Dec. 369\nend")
-    assert [(k, c) for k, c, _ in found] == [("precedent", "25 I&N Dec. 369"), ("board", "2006-PER-20"), ("matter_of", "Chawathe")]
+    assert [(k, c) for k, c, _ in found] == [("precedent", "25 I&N Dec. 369"), ("board", "2006-PER-20"), ("matter_of", "Matter of Chawathe")]
+    assert [c for _, c, _ in citations.find("Matter oJSmith/Jones & Co., 3 I&N Dec. 4; MAR262026_01B6203; 25 1&N Dec. 3; Matter of Acme Corp.")] == ["3 I&N Dec. 4", "MAR262026_01B6203", "Matter of Smith/Jones & Co"]
     assert citations.find(None) == [] and "\n" not in found[0][2]
 
 
+def test_citations_resolve(spark):
+    found = spark.createDataFrame([(1, "board", "2006-PER-20"), (1, "appeals", "MAR262026_01B6203"), (2, "appeals", "MAR262026_01B6203"), (1, "appeals", "JAN012020_01B62030"), (1, "matter_of", "Matter of X Y")], "citing_id bigint, citation_type string, cited_raw string")
+    known = spark.createDataFrame([("board", "2006-per-00020", 7), ("appeals", "MAR262026_01B6203", 1), ("appeals", "JAN012020_01B62030", 5), ("appeals", "JAN012020_01B62030", 6)], "citation_type string, key string, id bigint")
+    got = {(r.citing_id, r.cited_raw): r.resolved_id for r in citations.resolve(found, known).collect()}
+    assert got == {(1, "2006-PER-20"): None, (2, "MAR262026_01B6203"): 1, (1, "JAN012020_01B62030"): 6, (1, "Matter of X Y"): None}
+    assert {r.resolved_id for r in citations.resolve(found, known, canonical=True).where("citation_type = 'board'").collect()} == {7}
+
+
+def test_search_matches_against_words(spark):
+    from ledgerloom.operators.search import analyzed, matches, parse_query, text_matches, tokens
+
+    texts = ["er er", "Er, er", "erer", "from  ERING\n", "the catering from", "er x er", "", None, "der er er"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for text in ('"er er" OR "from ering"', "er -from", "catering OR der", "from ering", '"er er er"'):
+        q = parse_query(text)
+
+        def has(words, p):
+            return any(tuple(words[i : i + len(p)]) == p for i in range(len(words)))
+
+        want = {i for i, t in enumerate(texts) if all(has(tokens(t or ""), p) for p in q.all) and all(any(has(tokens(t or ""), p) for p in g) for g in q.any) and not any(has(tokens(t or ""), p) for p in q.none)}
+        assert {r.i for r in rows.where(text_matches(F.col("t"), q)).collect()} == {r.i for r in rows.where(matches(analyzed(F.col("t")), q)).collect()} == want
+
+
 def test_chunks():
     text = "\n\n".join(f"Paragraph {i} " + "word " * 60 for i in range(30))
     parts = chunk(text, 200, 20)
