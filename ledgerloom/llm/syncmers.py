@@ -22,7 +22,7 @@ K, S = 5, 2
 #: Bits of a position in a packed anchor; words beyond 2 ** 23 share the last position in likeness (not in fingerprints' order).
 POSITION = 23
 #: Rows of one bucket of neighbours, and the quantiles of the ids that the buckets subdivide.
-BUCKET_ROWS, QUANTILES = 2_000, 256
+BUCKET_ROWS, QUANTILES = 1_000, 256
 BROADCAST_HEADS = 100_000
 _LAST = (1 << POSITION) - 1
 
@@ -121,7 +121,8 @@ def _with_next(rows: DataFrame) -> DataFrame:
     first = F.broadcast(first) if first.count() <= BROADCAST_HEADS else first
     extra = rows.join(first, (F.col("bucket") == F.col("b")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("k")) & (-F.col("tie") == F.col("t")))
     both = rows.withColumn("extra", F.lit(0)).unionByName(extra.select(*(F.col("above").alias(c) if c == "bucket" else F.col(c) for c in rows.columns), F.lit(1).alias("extra")))
-    both = both.withColumn("sketch", sketch(F.col("text")))
+    # Texts travel, anchors don't: they are found after the shuffle that the window needs anyway.
+    both = both.repartition("bucket").withColumn("sketch", sketch(F.col("text")))
     falling = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), "tie")
     return both.withColumn("next_text", F.lead("text").over(falling)).withColumn("next_sketch", F.lead("sketch").over(falling)).where("extra = 0")
 
