@@ -46,6 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written to the shared folder and read again by the next; the last returns pieces of sequences.
+
+    Null texts score as empty ones and go with the quality rules, as short texts do. Rows that repeat an id are judged each in the first
+    two stages and are one document in the third; rows with a null id go through all of them, and none is their copy. Texts of any
+    length are read whole. Extra columns are carried to the last stage, whatever their names. Empty tables give no rows.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
