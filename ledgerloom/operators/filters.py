@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 from typing import Any
@@ -66,3 +67,37 @@ def with_related(df: DataFrame, other: DataFrame, on: str | list[str], wanted: b
 def not_true(column: Column) -> Column:
     """``IS NOT TRUE``: false or null."""
     return ~column.eqNullSafe(F.lit(True))
+
+
+def without_notices(doc_type: Column, include: bool = False) -> Column:
+    """Documents but for docketing notices, unless asked for; a null type drops out with them."""
+    return F.lit(True) if include else doc_type != "docketing_notice"
+
+
+def like_any(text: str, *columns: Column) -> Column:
+    """Whether one of the columns contains the text, in any case; its own wildcards count as characters."""
+    escaped = re.sub(r"([\\%_])", r"\\\1", text)
+    return reduce(lambda a, b: a | b, (F.coalesce(c.ilike(f"%{escaped}%"), F.lit(False)) for c in columns))
+
+
+def is_form_query(text: str) -> bool:
+    """Whether a query is a form's number, as I-140 or n-400a, and so looked up rather than searched."""
+    return re.fullmatch(r"[A-Z]{1,3}-\d{2,5}[A-Z]?", text.strip(), flags=re.IGNORECASE) is not None
+
+
+def form_lookup(text: str, form_type: Column, *prefixed: Column) -> Column:
+    """Rows of that form, or with a column that begins with its number in any case."""
+    return reduce(lambda a, b: a | b, (F.coalesce(c.ilike(f"{text}%"), F.lit(False)) for c in prefixed), F.coalesce(form_type == text.upper(), F.lit(False)))
+
+
+def incremental(df: DataFrame, done: DataFrame, key: str, since: Column | None = None) -> DataFrame:
+    """Rows whose key isn't done yet, or only those since a time."""
+    fresh = df.join(done.select(key), key, "left_anti")
+    return fresh if since is None else fresh.where(since)
+
+
+def first_by_priority(df: DataFrame, tests: Iterable[Column], *ties: Column) -> DataFrame:
+    """The one row that passes the earliest of the tests, then by ``ties``; none if none passes."""
+    tests = list(tests)
+    rank = F.coalesce(*(F.when(t, i) for i, t in enumerate(tests)))
+    return df.where(rank.isNotNull()).orderBy(rank, *ties).limit(1)

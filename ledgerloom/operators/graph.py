@@ -41,3 +41,12 @@ def degrees(edges: DataFrame) -> DataFrame:
 def top_per_source(edges: DataFrame, n: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
     return edges.distinct().withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")
+
+
+def drawn(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id) with their in-degree over all edges and a radius of 10 to 38, and the edges with both ends among them."""
+    degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
+    sized = nodes.join(degree, "id", "left").fillna(0, ["in_degree"])
+    most = sized.agg(F.greatest(F.max("in_degree"), F.lit(1)).alias("most"))
+    radius = F.lit(10.0) + F.lit(28.0) * F.col("in_degree") / F.col("most")
+    return sized.join(F.broadcast(most)).withColumn("radius", radius).drop("most"), inside(edges, nodes)  # one row

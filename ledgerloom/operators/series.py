@@ -25,3 +25,9 @@ def backlog(series: DataFrame, as_of, last: int = 13) -> DataFrame:
     out = out.withColumn("days_behind", days).withColumn("years_behind", F.round(days / 365.25, 1)).withColumn("avg_advance", F.round("advance", 1))
     months = F.col("days_behind") / F.col("advance")
     return out.withColumn("est_years", F.when(F.col("advance") > 0, F.round(months / 12, 1))).drop("advance")
+
+
+def forward_fill(df: DataFrame, key: list[str], order: list[str], column: str) -> DataFrame:
+    """Nulls of a column take the last value before them within the key."""
+    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(column, F.last(column, ignorenulls=True).over(before))
