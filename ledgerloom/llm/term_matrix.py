@@ -139,14 +139,21 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return materialize(joined.mapInArrow(_recode, _CSR), "csr"), codes
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            get = {name: batch.column(k).slice(i, 1).flatten() for k, name in enumerate(batch.schema.names)}
+            starts, counts = (get[n].to_numpy(zero_copy_only=False) for n in ("starts", "counts"))
+            total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([*(get[n] for n in ("ids", "parts", "points", "capitals", "signs", "digests")), pa.array(total[starts[1:]] - total[starts[:-1]]), pa.array(np.diff(starts))], names=[x.split()[0] for x in _SUMS.split(", ")])
+
+
+_SUMS = "doc_id bigint, part string, points bigint, capitals bigint, signs boolean, digest binary, n_words bigint, n_distinct bigint"
+
+
 def row_sums(matrix: DataFrame) -> DataFrame:
     """One row for each document of the matrix: doc_id, part, points, capitals, signs, digest, n_words (row sum), n_distinct (entries)."""
-    columns = ["ids", "parts", "points", "capitals", "signs", "digests"]
-    at = matrix.select(*columns, "starts", "counts", F.posexplode("ids").alias("row", "doc_id"))
-    begin, end = (F.element_at("starts", F.col("row") + i) for i in (1, 2))
-    cells = F.slice("counts", (begin + 1).cast("int"), (end - begin).cast("int"))
-    taken = {name: F.element_at(column, F.col("row") + 1) for name, column in (("part", "parts"), ("points", "points"), ("capitals", "capitals"), ("signs", "signs"), ("digest", "digests"))}
-    return at.select("doc_id", *(c.alias(n) for n, c in taken.items()), F.aggregate(cells, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n_words"), (end - begin).alias("n_distinct"))
+    return matrix.select("ids", "parts", "points", "capitals", "signs", "digests", "starts", "counts").mapInArrow(_sums, _SUMS)
 
 
 def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
