@@ -29,7 +29,7 @@ SAMPLE, LOWERED = 0.2, 0.5
 #: Bits of a bitmap of phrases (8 MB), two for each phrase.
 BITS = 1 << 26
 #: Bytes of text whose counts are taken together.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Parts in which the phrases of one language are ranked before their best meet.
 RANK_SALTS = 64
 
@@ -59,8 +59,7 @@ class Words:
         after = np.concatenate([inside[1:] & ~first[1:-1], [False]]) if len(data) else inside
         ends = np.flatnonzero(inside & ~after) + 1
         self.n = len(starts)
-        breaks = np.concatenate([[0], np.cumsum((kind == 2) | first[:-1], dtype=np.int64)])
-        piece = breaks[starts + 1] if self.n else np.zeros(0, np.int64)
+        piece = np.searchsorted(np.flatnonzero((kind == 2) | first[:-1]), starts, side="right")
         self.follows = np.zeros(self.n, bool)
         self.follows[:-1] = piece[1:] == piece[:-1]
         # Words one after the other, each with a space behind it.
@@ -71,6 +70,7 @@ class Words:
         self.text[keep] = data[inside]
         self.at = at
         row = np.searchsorted(offsets, starts, side="right") - 1
+        del data, kind, inside, first, before, after, keep, starts, ends, piece
         lang = langs.dictionary_encode()
         self.langs = lang.dictionary
         lang_of = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] if self.n else np.zeros(0, np.int64)
@@ -78,8 +78,10 @@ class Words:
         held = whole.dictionary_encode()
         words = held.indices.to_numpy(zero_copy_only=False).astype(np.int64) if self.n else np.zeros(0, np.int64)
         width = max(1, len(held.dictionary))
+        del whole, row
         self.firsts, self.codes, self.counts = number(lang_of * width + words)
         self.lang = lang_of[self.firsts]
+        del lang_of, words, held
         seeds = np.array([int.from_bytes(hashlib.blake2b(x.as_py().encode(), digest_size=8).digest(), "little") for x in self.langs], np.uint64)
         self.hashes = mix(self._word_hash() ^ seeds[self.lang]) if len(self.firsts) else np.zeros(0, np.uint64)
 
@@ -99,9 +101,9 @@ class Words:
 def number(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each distinct key its first place and its count; and the number of each key among the distinct."""
     if not len(keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
     _, firsts, codes, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return firsts, codes, counts
+    return firsts, codes.astype(np.int32), counts
 
 
 def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +134,7 @@ def count_block(words: Words, most: int, inside: np.ndarray | None, done: list[n
         places, left, right = places[open_], left[open_], right[open_]
         if not len(places):
             return
-        firsts, codes, counts = number(left * len(hashes) + right)
+        firsts, codes, counts = number(left.astype(np.int64) * len(hashes) + right)
         left, right = left[firsts], right[firsts]
         new = np.ones(len(firsts), bool)
         for x in old:
@@ -142,7 +144,7 @@ def count_block(words: Words, most: int, inside: np.ndarray | None, done: list[n
             return
         # The hash of a phrase is that of its first part and its last word, so it is the same in every block.
         hashes = mix(hashes[left] * _STEP + words.hashes[words.codes[places[firsts] + n - 1]])
-        at = np.full(words.n, -1, np.int64)
+        at = np.full(words.n, -1, np.int32)
         at[places] = codes
 
 
