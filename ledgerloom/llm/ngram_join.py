@@ -10,9 +10,8 @@ and the sum of coordinate minima of two points bounds the overlap of their sets.
   the node's least text. A branch is skipped if even its largest coordinates can't reach the overlap needed. Every candidate comes
   from a search of such a tree; none is tested otherwise.
 
-Candidates are verified on the exact sets in three rounds: for each text the nearest that the trees hold before it; then what else they
-reach, if that leaves both in different components; then, for nodes still in several components, whatever trees over
-every pair of their tiles reach across these. Texts travel only for pairs that the trees reach. Pairs inside one component
+Candidates are verified on the exact sets in two rounds: for each text the nearest that each tree holds before it, and its lead; then, for
+nodes still in several components, whatever trees over every pair of their tiles reach across these. Texts travel only for pairs that the trees reach. Pairs inside one component
 aren't expanded, so a group of copies costs rows in proportion to its size.
 """
 
@@ -23,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +34,6 @@ from .shingles import mix, shingle_sets
 LEAST_GROUPS, MOST_GROUPS = 64, 8192
 #: Texts in one tile of a node.
 TILE = 512
-#: Up to this many candidates (25 MB) are broadcast to the scan that fetches their texts, and up to this many pairs or rows of
-#: tiles (10 MB) to the texts fetched; more are joined by a shuffle.
-BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 200_000
 #: Pairs of one partner that meet in one task; the text of a partner of more is sent to several.
 PARTNER_PAIRS = 64
 
@@ -107,7 +104,10 @@ def _sign(k: int, num: int, den: int):
                 keys.append(router.keys(s).view(np.int64))
             sizes = np.array([len(s) for s in sets], np.int64)
             at = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys)))], names=["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+            # Only a row that sends keys can be asked for its text.
+            asked = pa.array([len(x) > 0 for x in keys], pa.bool_())
+            text = pc.if_else(asked, batch.column(1), pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys))), text], names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "text"])
 
     return run
 
@@ -116,7 +116,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key those whose key repeats, and those at the ends of the partition, whose key may go on elsewhere."""
 
     def out(keys, ids, keep):
-        return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep])], names=["key", "doc_id"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep])], names=["key", "node"])
 
     last_key, last_id, sent, first = None, None, True, True
     for batch in batches:
@@ -210,7 +210,7 @@ def _vectors(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column(1), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([pack_vector(count_vector(s)) for s in sets], pa.binary())], names=["node", "size", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([pack_vector(count_vector(s)) for s in sets], pa.binary()), batch.column(1)], names=["node", "size", "vector", "text"])
 
     return run
 
@@ -354,74 +354,70 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     texts = id_text(docs, id_col, text_col)
-    signed = materialize(texts.mapInArrow(_sign(k, num, den), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>"), "signed")
-    # Equal sets are one node of the graph: its least id.
+    # Rows get a number of their own, so an id with several texts is several nodes of the graph. Numbers rise within a task: of equal sets the least
+    # number has sent keys.
+    signed = texts.mapInArrow(_sign(k, num, den), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>, text string")
+    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    # Equal sets are one node: its least row.
     same = ["set_a", "set_b", "n_shingles"]
-    rows = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *same)
-    classes = materialize(rows.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1"), "classes")
-    copies = materialize(join_apart(rows, classes, *same).where("doc_id <> node").select("doc_id", "node"), "copies")
-
-    routed = signed.select(F.explode("keys").alias("key"), "doc_id").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    members = routed.mapInArrow(_repeated, "key bigint, doc_id bigint")
-    first = copies.groupBy("doc_id").agg(F.min("node").alias("node"))
-    members = materialize(members.join(first, "doc_id", "left").select("key", F.coalesce("node", "doc_id").alias("node")).distinct(), "keys")
+    live = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("row", "doc_id", *same)
+    classes = materialize(live.groupBy(*same).agg(F.min("row").alias("node"), F.count("*").alias("n")).where("n > 1"), "classes")
+    copies = materialize(join_apart(live, classes, *same).select("row", "doc_id", "node"), "copies")
+
+    routed = signed.select(F.explode("keys").alias("key"), "row").repartitionByRange("key", "row").sortWithinPartitions("key", "row")
+    members = routed.mapInArrow(_repeated, "key bigint, node bigint").join(copies.select(F.col("row").alias("node"), F.col("node").alias("first")), "node", "left")
+    members = materialize(members.select("key", F.coalesce("first", "node").alias("node")).distinct(), "keys")
     leads = materialize(members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
     members = materialize(join_apart(members, leads, "key").where("node <> lead").select("lead", "node").distinct(), "members")
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        """(node, text and the columns of ``ids``) of some documents, by one scan."""
-        few = ids.count() <= BROADCAST_IDS
-        return texts.withColumnRenamed("doc_id", "node").join(F.broadcast(ids) if few else ids, "node")
-
-    def small(rows: DataFrame) -> DataFrame:
-        return F.broadcast(rows) if rows.count() <= BROADCAST_PAIRS else rows
-
-    nodes = materialize(members.select("node").union(members.select("lead")).distinct(), "nodes")
-    vectors = materialize(fetch(nodes).select("node", "text").mapInArrow(_vectors(k), "node bigint, size int, vector binary"), "vectors")
+    nodes = members.select("node").union(members.select("lead")).distinct()
+    points = signed.where("text IS NOT NULL").select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
+    points = materialize(points.mapInArrow(_vectors(k), "node bigint, size int, vector binary, text string"), "points")
+    vectors, near = points.select("node", "size", "vector"), points.select("node", "text")
     # The texts of a node are dealt to tiles; its lead stands in each.
     sizes = materialize(members.groupBy("lead").agg(F.count("*").alias("n")).select("lead", "n", F.ceil(F.col("n") / TILE).alias("chunks")), "sizes")
     dealt = join_apart(members, sizes, "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
     heads = sizes.select("lead", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.col("lead").alias("node"))
     tiles = dealt.unionByName(heads).join(vectors, "node").select("lead", "chunk", "node", "size", "vector").repartition("lead", "chunk").sortWithinPartitions("lead", "chunk")
-    reach = tiles.mapInArrow(_nearest(num, den), "a bigint, b bigint, likeness double").groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
-    reach = materialize(reach, "reach")
+    reach = materialize(tiles.mapInArrow(_nearest(num, den), "a bigint, b bigint, likeness double").select("a", "b").distinct(), "reach")
 
-    # Each text is tested with its likest partner first; the others are, if that leaves the two apart.
-    first = materialize(reach.groupBy("a").agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("b")), "first")
-    near = materialize(fetch(materialize(reach.select(F.col("a").alias("node")).union(reach.select("b")).distinct(), "wanted")).select("node", "text"), "texts")
+    # Every pair that a tree reaches is tested. The text of a partner of many is sent to as many tasks as it has pairs by PARTNER_PAIRS.
     salts = reach.groupBy("b").agg(F.ceil(F.count("*") / PARTNER_PAIRS).alias("salts")).where("salts > 1")
-    salts = small(materialize(salts, "salts"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose sets link. The text of a partner of many is sent to as many tasks as it has pairs by PARTNER_PAIRS."""
-        pairs = pairs.join(salts, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).alias("salt"))
-        heads = near.toDF("b", "y").join(salts, "b", "left").select("b", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-        texts = small(pairs).join(near.toDF("a", "x"), "a").join(heads, ["b", "salt"])
-        return materialize(texts.select("a", "b", "x", "y").mapInArrow(_verify(k, num, den), "a bigint, b bigint"), "links")
-
-    found = components(verified(first).union(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "a", "b")
-
-    def joined(more: DataFrame) -> DataFrame:
-        """Components after more links, from those found so far."""
-        return found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
-
-    def labelled(end: str) -> DataFrame:
-        return found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
-
-    apart = reach.join(first, ["a", "b"], "left_anti").join(labelled("a"), "a", "left").join(labelled("b"), "b", "left")
-    apart = materialize(apart.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b"), "apart")
-    found = joined(verified(apart))
+    pairs = reach.join(salts, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).alias("salt"))
+    heads = near.toDF("b", "y").join(salts, "b", "left").select("b", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    tested = pairs.join(near.toDF("a", "x"), "a").join(heads, ["b", "salt"]).select("a", "b", "x", "y")
+    links = tested.mapInArrow(_verify(k, num, den), "a bigint, b bigint")
+    found = components(links.unionByName(_same_id(live, copies)), "a", "b")
 
+    # What is left are nodes of the index whose texts are in several components.
     every = members.union(sizes.select("lead", F.col("lead").alias("node")))
-    named = every.join(labelled("node"), "node", "left").select("lead", "node", F.coalesce("node_component", "node").alias("component"))
-    named = materialize(named, "named")
+    named = materialize(every.join(found, "node", "left").select("lead", "node", F.coalesce("component", "node").alias("component")), "named")
     open_ = named.groupBy("lead").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("lead", "n")
-    tiles = _tiles(join_apart(named, materialize(open_, "open"), "lead").select("lead", "node", "component")).join(vectors, "node").select(*_TILE, "node", "component", "probe", "size", "vector")
-    tiles = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE)
-    tiles = materialize(tiles.mapInArrow(_reached(num, den), "lead bigint, i bigint, j bigint, within boolean, node bigint, component bigint, probe boolean"), "tiles")
-    more = fetch(tiles.select("node").distinct()).join(small(tiles), "node").groupBy(*_TILE).applyInPandas(_search_tile(k, num, den), "a bigint, b bigint")
-    found = joined(materialize(more, "links"))
-    return signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    open_ = materialize(open_, "open")
+    if not open_.isEmpty():
+        tiles = _tiles(join_apart(named, open_, "lead").select("lead", "node", "component")).join(vectors, "node").select(*_TILE, "node", "component", "probe", "size", "vector")
+        tiles = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE)
+        tiles = materialize(tiles.mapInArrow(_reached(num, den), "lead bigint, i bigint, j bigint, within boolean, node bigint, component bigint, probe boolean"), "tiles")
+        more = materialize(tiles.join(near, "node").groupBy(*_TILE).applyInPandas(_search_tile(k, num, den), "a bigint, b bigint"), "links")
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
+
+    # From rows to nodes, from nodes to components, which are named by their least id.
+    rows = live.select("row", "doc_id").join(copies.select("row", "node"), "row", "left").select("doc_id", F.coalesce("node", "row").alias("node"), F.col("node").isNotNull().alias("copied"))
+    rows = rows.join(found, "node", "left").where("copied OR component IS NOT NULL").select("doc_id", F.coalesce("component", "node").alias("root"))
+    rows = materialize(rows, "rooted")
+    least = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
+    named = join_apart(rows, least, "root").where("doc_id <> component_id").select("doc_id", "component_id").distinct()
+    return signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _same_id(live: DataFrame, copies: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of ids that have several: with the least of the id."""
+    again = live.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    rows = join_apart(live.select("row", "doc_id"), materialize(again, "again"), "doc_id")
+    rows = materialize(rows.join(copies.select("row", "node"), "row", "left").select("doc_id", F.coalesce("node", "row").alias("a"), "n").distinct(), "nodes")
+    first = rows.groupBy("doc_id").agg(F.min("a").alias("b"), F.count("*").alias("n"))
+    return join_apart(rows.select("doc_id", "a"), first, "doc_id").where("a <> b").select("a", "b")
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:

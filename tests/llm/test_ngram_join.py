@@ -6,7 +6,7 @@ import pytest
 
 from ledgerloom.llm import shingles as module
 from ledgerloom.llm.common import join_apart, slices, text_bytes
-from ledgerloom.llm.components import components
+from ledgerloom.llm.components import components, stars
 from ledgerloom.llm.ngram_join import CountTree, Router, _nearest, bound, count_vector, jaccard_components, keep_one_of_each_group, overlap_needed, pack_vector, unpack_vector
 from ledgerloom.llm.shingles import shingle_sets, word_hashes
 
@@ -177,3 +177,35 @@ def test_trees_reach_a_linked_partner_of_every_text(tmp_path):
             linked_ones += 1
             assert partners[i]
     assert linked_ones > 50
+
+
+def test_an_id_with_several_texts_links_by_each(spark):
+    rng = random.Random(8)
+    w, v = ([f"{tag}{rng.randrange(10**6)}" for _ in range(201)] for tag in "wv")
+    near = [*v[:100], "other", *v[101:]]
+    rows = [(2, " ".join(w)), (7, " ".join(w)), (7, " ".join(v)), (9, " ".join(near)), (11, "alone here now"), (7, ""), (4, "  "), (4, "x y z"), (5, "x y z"), (5, "one two three four")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard_components(docs, k=3, num=9, den=10).collect()), key=repr)
+    assert got == brute(rows, 3, 9, 10)
+    assert {i: c for i, _, c in got} == {2: 2, 7: 2, 9: 2, 11: 11, 4: 4, 5: 4}
+
+
+def test_a_hot_id_with_many_texts(spark):
+    """A third of all rows share one id, each with a text of its own."""
+    rng = random.Random(9)
+    texts = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(40)) for _ in range(400)]
+    rows = [(50, t) for t in texts] + [(1000 + i, texts[i % 400]) for i in range(0, 800, 3)] + [(3, texts[0]), (2000, "far away from all")]
+    got = {i: c for i, _, c in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), k=3, num=9, den=10).collect()}
+    assert {c for i, c in got.items() if i != 2000} == {3} and got[2000] == 2000
+
+
+def test_stars_keep_components():
+    rng = random.Random(4)
+    for _ in range(50):
+        edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(rng.randrange(1, 40))]
+        u, v = stars(*(np.array(x, np.int64) for x in zip(*edges)))
+        root = {x: x for e in edges for x in e}
+        for _ in range(40):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        assert dict(zip(u.tolist(), v.tolist())) == {x: r for x, r in root.items() if x != r}
