@@ -4,7 +4,7 @@
    word codes and counts, and beside them what the other filters need of a text. A text is never split.
 2. The shards' dictionaries, not the words of texts, are exchanged: their distinct words get dense global codes by range (a code is
    the number of words before it), and each shard gets the global code of each of its words.
-3. The blocks are written again over global codes, sorted within rows. Row sums and the number of nonzero entries of a row
+3. The blocks are turned to global codes, sorted within rows. Row sums and the number of nonzero entries of a row
    decide the filters on lengths and distinct words.
 4. Rows of documents meet the least id of an equal text and their labels, and are summed to one row for each part and
    combination of failures. All orders of the filters are then read from these few sums.
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from .common import join_apart, materialize, small_batches, text_bytes
 
 #: Bytes of text in a shard, unless one text is longer.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 12 << 20
 LETTERS = "ABCDE"
 SIGNS = b"#$%&*|"
 
-_SHARD = "shard string, ids array<bigint>, parts array<string>, points array<bigint>, capitals array<bigint>, signs array<boolean>, digests array<binary>, words array<string>, starts array<bigint>, codes array<int>, counts array<int>"
-_CSR = "shard string, ids array<bigint>, parts array<string>, points array<bigint>, capitals array<bigint>, signs array<boolean>, digests array<binary>, starts array<bigint>, codes array<bigint>, counts array<int>"
+_SHARD = "ids array<bigint>, parts array<string>, points array<bigint>, capitals array<bigint>, signs array<boolean>, digests array<binary>, words array<string>, starts array<bigint>, codes array<int>, counts array<int>"
+_CSR = "shard bigint, ids array<bigint>, parts array<string>, points array<bigint>, capitals array<bigint>, signs array<boolean>, digests array<binary>, starts array<bigint>, codes array<bigint>, counts array<int>"
 
 
 def csr(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,9 +44,10 @@ def csr(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     held = words.filter(pa.array(filled)).dictionary_encode()
     if not len(held):
         return pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    codes = held.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     width = len(held.dictionary)
-    cells, counts = np.unique(rows * width + codes, return_counts=True)
+    cells = rows * width
+    cells += held.indices.to_numpy(zero_copy_only=False)
+    cells, counts = np.unique(cells, return_counts=True)
     starts = np.searchsorted(cells, np.arange(len(texts) + 1) * width)
     return held.dictionary.cast(pa.string()), starts.astype(np.int64), (cells % width).astype(np.int32), counts.astype(np.int32)
 
@@ -62,33 +63,32 @@ _SIGN[list(SIGNS)] = True
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, part, text) of a task as shards. A shard's name is made of what it holds and its place in the task, so that a task run again gives the same names."""
+    """Rows (doc_id, part, text) of a task as shards, one row each."""
 
-    def shard(at: int, rows: pa.Table) -> pa.RecordBatch:
+    def shard(rows: pa.Table) -> pa.RecordBatch:
         ids, parts, texts = (rows.column(i).combine_chunks() for i in range(3))
         data, offsets = text_bytes(texts)
         words, starts, codes, counts = csr(texts)
         view = memoryview(data.tobytes())
         digests = [hashlib.sha256(view[a:b]).digest() for a, b in itertools.pairwise(offsets.tolist())]
-        name = hashlib.sha256(b"".join([str(at).encode(), *digests, str(ids.to_pylist()).encode()])).hexdigest()
         points = _count_per_row((data & 0xC0) != 0x80, offsets)
         whole = [ids, parts, pa.array(points), pa.array(_count_per_row(_CAPITAL[data], offsets)), pa.array(_count_per_row(_SIGN[data], offsets) > 0), pa.array(digests, pa.binary()), words, pa.array(starts), pa.array(codes), pa.array(counts)]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in whole]
-        return pa.RecordBatch.from_arrays([pa.array([name]), *lists], names=[x.split()[0] for x in _SHARD.split(", ")])
+        return pa.RecordBatch.from_arrays(lists, names=[x.split()[0] for x in _SHARD.split(", ")])
 
-    held, size, at = [], 0, 0
+    held, size = [], 0
     for batch in batches:
         _, offsets = text_bytes(batch.column(2))
         start = 0
         for i, n in enumerate(np.diff(offsets).tolist()):
             if size and size + n > SHARD_BYTES:
                 held.append(batch.slice(start, i - start))
-                yield shard(at, pa.Table.from_batches(held))
-                held, size, start, at = [], 0, i, at + 1
+                yield shard(pa.Table.from_batches(held))
+                held, size, start = [], 0, i
             size += n + 16
         held.append(batch.slice(start))
     if held and sum(b.num_rows for b in held):
-        yield shard(at, pa.Table.from_batches(held))
+        yield shard(pa.Table.from_batches(held))
 
 
 def global_codes(words: DataFrame) -> DataFrame:
@@ -131,21 +131,24 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shards = materialize(rows.mapInArrow(_shards, _SHARD), "shards")
+    shards = materialize(rows.mapInArrow(_shards, _SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards")
     words = shards.select("shard", F.posexplode("words").alias("local", "word"))
     codes = materialize(global_codes(words), "dictionary")
     found = words.join(codes, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("local", "code"))).getField("code").alias("global"))
     joined = shards.drop("words").join(found, "shard", "left").withColumn("global", F.coalesce("global", F.array().cast("array<bigint>")))
-    return materialize(joined.mapInArrow(_recode, _CSR), "csr"), codes
+    return joined.mapInArrow(_recode, _CSR), codes
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             get = {name: batch.column(k).slice(i, 1).flatten() for k, name in enumerate(batch.schema.names)}
-            starts, counts = (get[n].to_numpy(zero_copy_only=False) for n in ("starts", "counts"))
-            total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-            yield pa.RecordBatch.from_arrays([*(get[n] for n in ("ids", "parts", "points", "capitals", "signs", "digests")), pa.array(total[starts[1:]] - total[starts[:-1]]), pa.array(np.diff(starts))], names=[x.split()[0] for x in _SUMS.split(", ")])
+            starts, codes, counts = (get[n].to_numpy(zero_copy_only=False) for n in ("starts", "codes", "counts"))
+            first = np.zeros(len(codes) + 1, bool)
+            first[1:-1] = codes[1:] != codes[:-1]
+            first[starts] = True
+            sums = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (counts, first[:-1])]
+            yield pa.RecordBatch.from_arrays([*(get[n] for n in ("ids", "parts", "points", "capitals", "signs", "digests")), *(pa.array(x[starts[1:]] - x[starts[:-1]]) for x in sums)], names=[x.split()[0] for x in _SUMS.split(", ")])
 
 
 _SUMS = "doc_id bigint, part string, points bigint, capitals bigint, signs boolean, digest binary, n_words bigint, n_distinct bigint"
@@ -153,7 +156,7 @@ _SUMS = "doc_id bigint, part string, points bigint, capitals bigint, signs boole
 
 def row_sums(matrix: DataFrame) -> DataFrame:
     """One row for each document of the matrix: doc_id, part, points, capitals, signs, digest, n_words (row sum), n_distinct (entries)."""
-    return matrix.select("ids", "parts", "points", "capitals", "signs", "digests", "starts", "counts").mapInArrow(_sums, _SUMS)
+    return matrix.select("ids", "parts", "points", "capitals", "signs", "digests", "starts", "codes", "counts").mapInArrow(_sums, _SUMS)
 
 
 def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
