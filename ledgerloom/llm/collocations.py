@@ -1,14 +1,14 @@
 """Operator 11: phrase collocations by Toivonen's sampling.
 
-A sample of the documents is mined at a lowered threshold and proposes phrases. One full pass then counts, exactly and at once, the
-proposed phrases and their negative border: all phrases that aren't proposed but whose first and last parts (all words but one) are. A border
-phrase that turns out frequent is a *failure*: its extensions weren't counted. Further passes count what the failures open, until
-a pass finds none; then no frequent phrase can be missing, as no phrase is more frequent than its parts.
-
-What is proposed is known to the tasks as a bitmap of a fixed size. A false hit in it only has more phrases counted, never fewer: the
-border is taken to be that of the phrases the bitmap holds, in counting and in the search for failures alike. Counts are of
-the phrases themselves, never of hashes: words are dictionary-encoded within a block, phrases are numbered from pairs of
-shorter phrases, and strings are summed.
+A sample of the documents is mined level by level at a lowered threshold and proposes phrases. One full pass then counts the proposed phrases and
+their negative border: all phrases that aren't proposed but whose first and last parts (all words but one) are, and all other words. A
+border phrase that turns out frequent is a *failure*: its extensions weren't counted. An expansion pass counts the failures and what they
+open; a phrase that it opens may itself be extended at once, so the phrases are closed after it: both parts of a
+frequent phrase are frequent, so each was counted in the full pass or is opened here, and so is the phrase.
+
+What is proposed is known to the tasks as a bitmap of a fixed size; a false hit in it only has more phrases counted, never fewer. Proposed
+phrases are summed by their strings. The border, by far the largest part, is summed by 64-bit hashes, which can only raise a sum; what
+reaches the threshold there is counted by its string in the expansion pass. So every count that is used is of a phrase, not of a hash.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ class Words:
         words = held.indices.to_numpy(zero_copy_only=False).astype(np.int64) if self.n else np.zeros(0, np.int64)
         width = max(1, len(held.dictionary))
         del whole, row
-        self.firsts, self.codes, self.counts = number(lang_of * width + words)
+        self.firsts, self.codes, self.counts = number_dense(lang_of * width + words, width * max(1, len(self.langs)))
         self.lang = lang_of[self.firsts]
         del lang_of, words, held
         seeds = np.array([int.from_bytes(hashlib.blake2b(x.as_py().encode(), digest_size=8).digest(), "little") for x in self.langs], np.uint64)
@@ -106,6 +106,18 @@ def number(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return firsts, codes.astype(np.int32), counts
 
 
+def number_dense(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of keys from 0 to ``width``, without sorting them where a table of ``width`` is no larger than a few times the keys."""
+    if width > 8 * len(keys) + 1024:
+        return number(keys)
+    counts = np.bincount(keys, minlength=width)
+    present = np.flatnonzero(counts)
+    codes, firsts = np.zeros(width, np.int32), np.zeros(width, np.int64)
+    codes[present] = np.arange(len(present), dtype=np.int32)
+    firsts[keys[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return firsts[present], codes[keys], counts[present]
+
+
 def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     again = mix(hashes ^ _SEED)
     return (hashes % np.uint64(BITS)).astype(np.int64), (again % np.uint64(BITS)).astype(np.int64)
@@ -116,52 +128,102 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bitmap[a >> 3] >> (a & 7).astype(np.uint8)) & (bitmap[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def count_block(words: Words, most: int, inside: np.ndarray | None, done: list[np.ndarray], singles: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, first places, counts) of the phrases of a block whose first and last parts are ``inside`` and weren't together in any of ``done``."""
-    if singles:
-        yield 1, words.firsts, words.counts
-    if inside is None or not words.n:
-        return
-    # Per place: the number of the phrase of n words that begins there (-1: none that counts), and what is known of each number.
-    at, hashes = words.codes, words.hashes
-    for n in range(2, most + 1):
-        held, old = holds(inside, hashes), [holds(x, hashes) for x in done]
+def phrases(words: Words, most: int, held: Callable) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, first places, counts, hashes) of the distinct phrases of a block, level by level: words, then phrases whose both parts are held.
+
+    ``held`` is asked once for each level, with the hashes of its phrases and the numbers of their parts in the level before (none for words), which
+    of them may be part of longer ones. Phrases are numbered from pairs of shorter ones, never by hashes.
+    """
+    n, at, hashes, firsts, counts, parts = 1, words.codes, words.hashes, words.firsts, words.counts, None
+    while len(firsts):
+        open_ = held(n, hashes, parts)
+        yield n, firsts, counts, hashes
+        if n == most:
+            return
         left, right = at[:-1], at[1:]
         # Two phrases of two words and more that begin at neighbours overlap, so they stand in one piece.
-        places = np.flatnonzero(words.follows[:-1] if n == 2 else (left >= 0) & (right >= 0))
+        places = np.flatnonzero(words.follows[:-1] if n == 1 else (left >= 0) & (right >= 0))
+        places = places[open_[left[places]] & open_[right[places]]]
         left, right = left[places], right[places]
-        open_ = held[left] & held[right]
-        places, left, right = places[open_], left[open_], right[open_]
-        if not len(places):
-            return
         firsts, codes, counts = number(left.astype(np.int64) * len(hashes) + right)
-        left, right = left[firsts], right[firsts]
-        new = np.ones(len(firsts), bool)
-        for x in old:
-            new &= ~(x[left] & x[right])
-        yield n, places[firsts[new]], counts[new]
-        if n == most:
-            return
-        # The hash of a phrase is that of its first part and its last word, so it is the same in every block.
-        hashes = mix(hashes[left] * _STEP + words.hashes[words.codes[places[firsts] + n - 1]])
+        parts = left[firsts], right[firsts]
         at = np.full(words.n, -1, np.int32)
         at[places] = codes
+        firsts, n = places[firsts], n + 1
+        # The hash of a phrase is that of its first part and its last word, so it is the same in every block.
+        hashes = mix(hashes[parts[0]] * _STEP + words.hashes[words.codes[firsts + n - 1]])
+
 
+_COUNTED = "lang string, words int, phrase string, hash bigint, f bigint"
+
+
+def _rows(words: Words, n: int, firsts: np.ndarray, counts: np.ndarray, hashes: np.ndarray, named: bool) -> Iterator[pa.RecordBatch]:
+    """Counts as rows of _COUNTED; phrases that aren't named have their hash alone."""
+    langs = words.langs.cast(pa.string())
+    for a in range(0, len(firsts), 200_000):
+        part, size = firsts[a : a + 200_000], len(firsts[a : a + 200_000])
+        if named:
+            text, at = words.strings(part, n)
+            phrase = pa.Array.from_buffers(pa.string(), size, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(text)])
+            lang, length = langs.take(pa.array(words.lang[words.codes[part]])), pa.array(np.full(size, n, np.int32))
+        else:
+            lang, length, phrase = pa.nulls(size, pa.string()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.string())
+        yield pa.RecordBatch.from_arrays([lang, length, phrase, pa.array(hashes[a : a + 200_000].view(np.int64)), pa.array(counts[a : a + 200_000])], names=["lang", "words", "phrase", "hash", "f"])
+
+
+def _level(level: int, inside) -> Callable:
+    """(hash, f) of the phrases of ``level`` words whose parts are inside; of all words at level 1."""
 
-def _counted(most: int, inside, done: list, singles: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = None if inside is None else np.frombuffer(inside.value, np.uint8)
-        before = [np.frombuffer(d.value, np.uint8) for d in done]
         for block in _blocks(batches):
-            words = Words(block.column(1), block.column(0))
-            langs = words.langs.cast(pa.string())
-            for n, firsts, counts in count_block(words, most, bitmap, before, singles):
-                for a in range(0, len(firsts), 200_000):
-                    part = firsts[a : a + 200_000]
-                    text, at = words.strings(part, n)
-                    phrases = pa.Array.from_buffers(pa.string(), len(part), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(text)])
-                    lang = langs.take(pa.array(words.lang[words.codes[part]]))
-                    yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(part), n, np.int32)), phrases, pa.array(counts[a : a + 200_000])], names=["lang", "words", "phrase", "f"])
+            for n, _, counts, hashes in phrases(Words(block.column(1), block.column(0)), level, lambda n, hashes, _: holds(bitmap, hashes) if n < level else None):
+                if n == level:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["hash", "f"])
+
+    return run
+
+
+def _full(most: int, proposed) -> Callable:
+    """The full pass: proposed phrases by name, their negative border by hash, and the number of words of each language (of length 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(proposed.value, np.uint8)
+        for block in _blocks(batches):
+            words, known = Words(block.column(1), block.column(0)), {}
+
+            def held(n: int, hashes: np.ndarray, parts) -> np.ndarray:
+                known[n] = holds(bitmap, hashes)  # noqa: B023
+                return known[n]  # noqa: B023
+
+            for n, firsts, counts, hashes in phrases(words, most, held):
+                if n == 1:
+                    totals = np.bincount(words.lang, weights=counts, minlength=len(words.langs)).astype(np.int64)
+                    size = len(totals)
+                    yield pa.RecordBatch.from_arrays([words.langs.cast(pa.string()), pa.array(np.zeros(size, np.int32)), pa.array([""] * size), pa.array(np.zeros(size, np.int64)), pa.array(totals)], names=["lang", "words", "phrase", "hash", "f"])
+                for named, of in ((True, known[n]), (False, ~known[n])):
+                    yield from _rows(words, n, firsts[of], counts[of], hashes[of], named)
+
+    return run
+
+
+def _expansion(most: int, proposed, frequent) -> Callable:
+    """The expansion pass: failures of the border, and the phrases that the full pass didn't visit and whose parts are frequent or such themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, now = (np.frombuffer(x.value, np.uint8) for x in (proposed, frequent))
+        for block in _blocks(batches):
+            words, was, counted = Words(block.column(1), block.column(0)), {}, {}
+
+            def held(n: int, hashes: np.ndarray, parts) -> np.ndarray:
+                visited = np.ones(len(hashes), bool) if n == 1 else was[n - 1][parts[0]] & was[n - 1][parts[1]]  # noqa: B023
+                was[n], inside = holds(before, hashes), holds(now, hashes)  # noqa: B023
+                counted[n] = ~visited | (~was[n] & inside)  # noqa: B023
+                return inside | ~visited
+
+            for n, firsts, counts, hashes in phrases(words, most, held):
+                of = counted[n]
+                yield from _rows(words, n, firsts[of], counts[of], hashes[of], True)
 
     return run
 
@@ -185,32 +247,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield joined(held)
 
 
-def phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
-    """The hashes of whole phrases that count_block gives them."""
-    block = Words(phrases, langs)
-    out = np.zeros(len(phrases), np.uint64)
-    if not block.n:
-        return out
-    _, offsets = text_bytes(phrases)
-    starts = np.concatenate([[True], ~block.follows[:-1]])
-    row = np.cumsum(starts) - 1  # a phrase is one piece
-    order = np.arange(block.n) - np.flatnonzero(starts)[row]
-    every = block.hashes[block.codes]
-    for k in range(int(order.max()) + 1):
-        at = order == k
-        out[row[at]] = every[at] if k == 0 else mix(out[row[at]] * _STEP + every[at])
-    return out
-
-
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(phrase_hashes(batch.column(0), batch.column(1)))) + 1)], names=["bit"])
+            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(hashes)) + 1)], names=["bit"])
 
 
-def bitmap_of(phrases: DataFrame) -> bytes:
-    """A bitmap of BITS bits over (lang, phrase). The driver sees one row of 4 KB for each 32,768 bits, however many phrases there are."""
-    bits = phrases.select("lang", "phrase").mapInArrow(_positions, "bit bigint")
+def bitmap_of(hashes: DataFrame) -> bytes:
+    """A bitmap of BITS bits over the column ``hash``. The driver sees one row of 4 KB for each 32,768 bits, however many phrases there are."""
+    bits = hashes.select("hash").mapInArrow(_positions, "bit bigint")
     buckets = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     out = bytearray(BITS // 8)
     for row in buckets.collect():  # BITS / 32,768 rows at most
@@ -218,47 +264,33 @@ def bitmap_of(phrases: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _outside(bitmap) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bitmap.value, np.uint8)
-        for batch in batches:
-            if batch.num_rows:
-                out = ~holds(held, phrase_hashes(batch.column(0), batch.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array([int(out.sum())], pa.int64())], names=["n"])
-
-    return run
-
-
-def close_under(texts: DataFrame, min_count: int, most: int, proposed: bytes | None = None, tag: str = "phrases") -> tuple[DataFrame, DataFrame, int]:
-    """All (lang, words, phrase, f) with f >= ``min_count``, of up to ``most`` words; (lang, n) of all words; and the number of passes.
-
-    The first pass counts the words and, given a bitmap of proposed phrases, these and their negative border. Every further pass counts what
-    the frequent phrases found so far open and no pass before has counted, until no frequent phrase that can be extended is new.
-    """
-    spark = texts.sparkSession
-    empty = bytes(BITS // 8)
-    inside, done, found, totals, passes = proposed, [], None, None, 0
-    sent: list = []
-    while True:
-        here = None if inside is None else spark.sparkContext.broadcast(inside)
-        counted = texts.mapInArrow(_counted(most, here, list(sent), found is None), "lang string, words int, phrase string, f bigint")
-        counted = counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-        passes += 1
-        if found is None:
-            # The words' counts are needed whole for n, all others only where frequent.
-            counted = materialize(counted.where(f"f >= {min_count} OR words = 1").groupBy("lang", "words", F.when(F.col("f") >= min_count, F.col("phrase")).alias("phrase")).agg(F.sum("f").alias("f")), tag)
-            totals = materialize(counted.where("words = 1").groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-            new = counted.where("phrase IS NOT NULL")
-        else:
-            new = materialize(counted.where(f"f >= {min_count}"), tag)
+def proposals(texts: DataFrame, low: int, most: int) -> bytes:
+    """The bitmap of the phrases of up to ``most`` words that stand ``low`` times in a sample and whose parts do: one small pass for each length."""
+    found, inside = None, None
+    for level in range(1, most + 1):
+        sent = None if inside is None else texts.sparkSession.sparkContext.broadcast(inside)
+        new = texts.mapInArrow(_level(level, sent), "hash bigint, f bigint").groupBy("hash").agg(F.sum("f").alias("f")).where(f"f >= {low}").select("hash")
+        new = materialize(new, "proposed")
         found = new if found is None else found.unionByName(new)
-        if here is not None:
-            sent.append(here)
-        last = here if here is not None else spark.sparkContext.broadcast(empty)
-        failures = new.where(f"words < {most}").select("lang", "phrase").mapInArrow(_outside(last), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if not failures:
-            return found, totals, passes
-        inside = bitmap_of(found.where(f"words < {most}"))
+        inside = bitmap_of(found)
+    return inside
+
+
+def frequent_phrases(texts: DataFrame, min_count: int, most: int, proposed: bytes) -> tuple[DataFrame, DataFrame]:
+    """All (lang, words, phrase, f) of up to ``most`` words with f >= ``min_count``, and (lang, n) of all words, whatever is ``proposed``."""
+    context = texts.sparkSession.sparkContext
+    sent = context.broadcast(proposed)
+    keys = ["lang", "words", "phrase", "hash"]
+    full = texts.mapInArrow(_full(most, sent), _COUNTED).groupBy(*keys).agg(F.sum("f").alias("f"))
+    full = materialize(full.where(f"f >= {min_count} OR words = 0"), "full")
+    totals = full.where("words = 0").select("lang", F.col("f").alias("n"))
+    found, border = full.where("words > 0 AND phrase IS NOT NULL"), full.where("phrase IS NULL")
+    found = found.select("lang", "words", "phrase", "f")
+    if border.isEmpty():
+        return found, totals
+    frequent = context.broadcast(bitmap_of(full.where("words IS NULL OR words > 0")))
+    more = texts.mapInArrow(_expansion(most, sent, frequent), _COUNTED).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    return found.unionByName(materialize(more.where(f"f >= {min_count}"), "expanded")), totals
 
 
 def scored(found: DataFrame, totals: DataFrame) -> DataFrame:
@@ -304,8 +336,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     drawn = materialize(texts.sample(sample, 17), "sample")
-    hint, _, _ = close_under(drawn, lowered(min_count, sample), most - 1, tag="sampled")
-    found, totals, _ = close_under(texts, min_count, most, bitmap_of(hint.where(f"words < {most}")))
+    found, totals = frequent_phrases(texts, min_count, most, proposals(drawn, lowered(min_count, sample), most - 1))
     rows = scored(found, totals)
     rows = rows.join(not_inside(found, num, den), ["lang", "phrase"], "left_anti")
     return best_of_each(rows, top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
