@@ -28,8 +28,10 @@ def decision_date(c: Column) -> Column:
         plain = F.regexp_replace(F.regexp_replace(text, "\\.", ""), "(?i)\\bSept\\b", "Sep")
         return F.coalesce(*(F.try_to_timestamp(plain, F.lit(f)) for f in ("MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "M-d-yyyy", "yyyy-MM-dd")))
 
-    inside = F.coalesce(_group(c, "(\\d{4}-\\d{2}-\\d{2})"), _group(c, "(\\d{1,2}[/-]\\d{1,2}[/-]\\d{4})"), _group(c, "([A-Z][a-z]{2,8}\\.? \\d{1,2}, \\d{4})"))
-    return F.to_date(F.coalesce(F.try_to_timestamp(_group(c, "^(\\d{4}-\\d{2}-\\d{2})T"), F.lit("yyyy-MM-dd")), parse(F.trim(c)), parse(inside)))
+    # Candidates of each form in their order in the text; one that is no date doesn't end the search.
+    said = F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in ("\\d{4}-\\d{2}-\\d{2}", "\\d{1,2}[/-]\\d{1,2}[/-]\\d{4}", "[A-Z][a-z]{2,8}\\.? \\d{1,2}, \\d{4}"))))
+    inside = F.get(F.filter(F.transform(said, parse), lambda d: d.isNotNull()), F.lit(0))
+    return F.to_date(F.coalesce(F.try_to_timestamp(_group(c, "^(\\d{4}-\\d{2}-\\d{2})T"), F.lit("yyyy-MM-dd")), parse(F.trim(c)), inside))
 
 
 def stable_id(docket_: Column, doc_type: Column, date: Column, url: Column, *content: Column) -> Column:
@@ -42,11 +44,11 @@ def stable_id(docket_: Column, doc_type: Column, date: Column, url: Column, *con
 _BOARD = (
     ("(?is)(?:VACAT|vacating).{0,200}?REMAND|REMAND.{0,200}?VACAT", "Remanded"),
     ("(?i)certif\\w*\\s+(?:is\\s+)?GRANTED|HEREBY\\s+GRANT|IT\\s+IS\\s+(?:HEREBY\\s+)?ORDERED\\s+that\\s+(?:labor\\s+)?certif\\w+\\s+(?:is\\s+)?GRANT", "Reversed"),
-    ("(?i)\\bVACAT\\w+\\b", "Reversed"),
+    ("(?i)\\b(?:VACAT\\w+|vacating\\s+the\\s+denial)\\b", "Reversed"),
     ("(?i)\\bREMAND\\w*\\b", "Remanded"),
     ("(?i)\\bREVERS\\w*\\b", "Reversed"),
     ("(?i)\\bAFFIRM\\w*\\b", "Affirmed"),
-    ("(?i)\\b(?:DISMISS\\w*|ADMINISTRATIVELY\\s+CLOS\\w*|WITHDRAWN)\\b", "Dismissed"),
+    ("(?i)\\b(?:DISMISS\\w*|HEREBY\\s*DISMISS\\w*|ADMINISTRATIVELY\\s+CLOS\\w*|WITHDRAWN)\\b", "Dismissed"),
 )
 # The same for appeals.
 _APPEALS = ("Sustained", "Dismissed", "Remanded", "Withdrawn")

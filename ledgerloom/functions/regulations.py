@@ -9,40 +9,40 @@ from .extract import collapse
 
 # Who issues a title, and what its parts are called.
 AGENCIES = ((8, "DHS / USCIS"), (20, "DOL / ETA"), (22, "State Department"), (29, "DOL / WHD"))
-PARTS = """
-    103 Fees, Waivers, and Guarantors
-    204 Immigrant Petitions
-    205 Revocation of Approval
-    207 Admission of Refugees
-    208 Asylum and Withholding
-    209 Adjustment of Status of Refugees
-    210 Special Agricultural Workers
-    211 Reentry Permits
-    212 Documentary Requirements / Grounds of Inadmissibility
-    213 Bonding Requirements
-    214 Nonimmigrant Classes
-    215 Controls of Aliens Departing
-    216 Conditional Permanent Residence
-    235 Inspection of Persons Applying for Admission
-    240 Removal Proceedings
-    241 Apprehension and Detention
-    244 Temporary Protected Status
-    245 Adjustment of Status
-    245a Legalization of Undocumented Aliens
-    248 Change of Nonimmigrant Classification
-    264 Registration
-    270 Penalties for Unlawful Employment
-    274a Control of Employment of Aliens
-    292 Representation and Appearances
-    316 General Requirements for Naturalization
-    319 Special Classes of Persons — Naturalization
-    655 H-2A / H-2B Temporary Worker Certifications
-    656 PERM Labor Certification
-    40 Visas: Grounds of Inadmissibility
-    41 Visas: Nonimmigrant Visas
-    42 Visas: Immigrant Visas
-    62 Exchange Visitor Program
-"""
+PARTS = {
+    "103": "Fees, Waivers, and Guarantors",
+    "204": "Immigrant Petitions",
+    "205": "Revocation of Approval",
+    "207": "Admission of Refugees",
+    "208": "Asylum and Withholding",
+    "209": "Adjustment of Status of Refugees",
+    "210": "Special Agricultural Workers",
+    "211": "Reentry Permits",
+    "212": "Documentary Requirements / Grounds of Inadmissibility",
+    "213": "Bonding Requirements",
+    "214": "Nonimmigrant Classes",
+    "215": "Controls of Aliens Departing",
+    "216": "Conditional Permanent Residence",
+    "235": "Inspection of Persons Applying for Admission",
+    "240": "Removal Proceedings",
+    "241": "Apprehension and Detention",
+    "244": "Temporary Protected Status",
+    "245": "Adjustment of Status",
+    "245a": "Legalization of Undocumented Aliens",
+    "248": "Change of Nonimmigrant Classification",
+    "264": "Registration",
+    "270": "Penalties for Unlawful Employment",
+    "274a": "Control of Employment of Aliens",
+    "292": "Representation and Appearances",
+    "316": "General Requirements for Naturalization",
+    "319": "Special Classes of Persons — Naturalization",
+    "655": "H-2A / H-2B Temporary Worker Certifications",
+    "656": "PERM Labor Certification",
+    "40": "Visas: Grounds of Inadmissibility",
+    "41": "Visas: Nonimmigrant Visas",
+    "42": "Visas: Immigrant Visas",
+    "62": "Exchange Visitor Program",
+}
 _FILE = "(?iU)^(\\d+)\\s+CFR\\s+Part\\s+(\\w+).*?(\\d{1,2}[-/]\\d{1,2}[-/]\\d{4})"
 _SECTION = "(?U)§\\s*(\\d+\\w*\\.\\d+\\w*)\\s+(.+?)(?:\\n|$)"
 _MONTH = "(January|February|March|April|May|June|July|August|September|October|November|December)\\s+\\d{1,2},\\s+(\\d{4})"
@@ -55,7 +55,7 @@ def _group(c: Column, pattern: str, group: int = 1) -> Column:
 def regulation_file(name: Column) -> Column:
     """Struct (cfr_title, cfr_part, as_of_date, agency, part_name, title) of a file name; other names give a title alone."""
     number, part = _group(name, _FILE).cast("int"), F.lower(_group(name, _FILE, 2))
-    names = F.create_map(*(F.lit(x) for line in PARTS.strip().splitlines() for x in line.strip().split(" ", 1)))
+    names = F.create_map(*(F.lit(x) for entry in PARTS.items() for x in entry))
     agency = F.when(number.isNotNull(), F.coalesce(*(F.when(number == n, a) for n, a in AGENCIES), F.lit("Federal")))
     date = F.to_date(F.try_to_timestamp(F.replace(_group(name, _FILE, 3), F.lit("/"), F.lit("-")), F.lit("M-d-yyyy")))
     title = F.coalesce(F.concat(number.cast("string"), F.lit(" CFR Part "), _group(name, _FILE, 2)), F.regexp_replace(name, "\\.[^.]*$", ""))

@@ -117,11 +117,22 @@ def pivot(df: DataFrame, spec: PivotSpec) -> DataFrame:
 
 
 def grand_total(df: DataFrame, spec: PivotSpec) -> DataFrame:
-    """One row: every metric over all filtered rows, the number of groups, and whether the limit cut any."""
+    """One row: every metric over all filtered rows, the number of groups, and whether the limit cut any.
+
+    With a column field also the rows of each of its values under each metric's label, and the metrics as the row totals: totals of
+    cells count rows, whatever the metric.
+    """
     validate(df, spec)
     base = apply_filters(df, spec.filters)
     groups = base.groupBy(*spec.rows).agg(F.count("*").alias("n")).agg(F.count("*").alias("n_groups"))
-    metrics = [(F.lit(100.0) if m.agg == "pct_of_total" else _aggregate(m)).alias(label) for m, label in zip(spec.metrics, spec.labels, strict=True)]
+    metrics = [F.lit(100.0) if m.agg == "pct_of_total" else _aggregate(m) for m in spec.metrics]
+    if spec.column is None:
+        metrics = [m.alias(label) for m, label in zip(metrics, spec.labels, strict=True)]
+    else:
+        metrics = [m.alias(f"__row_total__{label}") for m, label in zip(metrics, spec.labels, strict=True)]
+        for value in column_values(base, spec.column):
+            held = F.col(spec.column).isNull() if value is None else F.col(spec.column) == F.lit(value)
+            metrics += [F.count_if(held).alias(f"{value}__{label}") for label in spec.labels]
     total = base.agg(*metrics, F.count("*").alias("n_rows"))
     return total.join(F.broadcast(groups)).withColumn("limited", F.col("n_groups") > _limit(spec))  # one row each
 

@@ -78,17 +78,17 @@ def latest_state(spark, sf_dir):
 
 # --- series ---
 
-_SERIES = """(SELECT date_trunc('month', o_orderdate)::DATE AS bulletin_date, o_orderpriority AS preference, left(n_name, 1) AS chargeability,
-  CASE WHEN bool_or(o_orderstatus = 'P') THEN NULL ELSE max(o_orderdate)::DATE END AS priority_date, count(*) % 7 = 0 AND bool_or(o_orderstatus = 'P') AS is_current
+_SERIES = """(SELECT date_trunc('month', o_orderdate)::DATE AS bulletin_date, o_orderpriority AS preference, n_name AS chargeability,
+  CASE WHEN 2 * count(*) FILTER (o_orderstatus = 'P') > count(*) THEN NULL ELSE max(o_orderdate)::DATE END AS priority_date, count(*) % 3 = 0 AND 2 * count(*) FILTER (o_orderstatus = 'P') > count(*) AS is_current
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3) s"""
 
 
 def _series(spark, sf_dir) -> DataFrame:
     o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
     rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    keys = [F.to_date(F.date_trunc("month", "o_orderdate")).alias("bulletin_date"), F.col("o_orderpriority").alias("preference"), F.substring("n_name", 1, 1).alias("chargeability")]
-    pending = F.bool_or(F.col("o_orderstatus") == "P")
-    return rows.groupBy(*keys).agg(F.when(~pending, F.to_date(F.max("o_orderdate"))).alias("priority_date"), ((F.count("*") % 7 == 0) & pending).alias("is_current"))
+    keys = [F.to_date(F.date_trunc("month", "o_orderdate")).alias("bulletin_date"), F.col("o_orderpriority").alias("preference"), F.col("n_name").alias("chargeability")]
+    pending = 2 * F.count_if(F.col("o_orderstatus") == "P") > F.count("*")
+    return rows.groupBy(*keys).agg(F.when(~pending, F.to_date(F.max("o_orderdate"))).alias("priority_date"), ((F.count("*") % 3 == 0) & pending).alias("is_current"))
 
 
 def _dates(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunk import chunks
 from ..functions.citations import citations
-from ..functions.diff import line_diff
+from ..functions.diff import line_diff, summary
 from ..functions.markup import article_text, links
 from ..operators import graph as G
 from ..operators.search import STOP_WORDS, analyzed, bm25, composite_rank, headline, match_or_like, parse_query, postings, text_matches, weighted_score
@@ -243,7 +243,7 @@ def chunk_reassemble(spark, sf_dir):
 
 @query()
 def chunk_paragraphs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunks(F.regexp_replace("text", "\n", "\n\n"))).alias("c"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunks(F.regexp_replace("text", "\n", "\n\n"), 200, 20)).alias("c"))
     return docs.select("doc_id", "c.*")
 
 
@@ -266,9 +266,21 @@ def html_text(spark, sf_dir):
 
 @query()
 def text_diff(spark, sf_dir):
-    """Each benchmark item against itself with some words changed."""
+    """Each benchmark item against itself with some words changed: a row for each pair of lines."""
+    return line_diff(_compared(spark, sf_dir), "item_id")
+
+
+def _compared(spark, sf_dir) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "\\. ", ".\n").alias("reference"))
-    return line_diff(b.withColumn("compared", F.regexp_replace("reference", "\\bthe\\b", "a")), "item_id")
+    return b.withColumn("compared", F.regexp_replace("reference", "\\bthe\\b", "a"))
+
+
+@query(f"""SELECT item_id, changed = 0 AS "exact", CASE WHEN changed = 0 THEN 'Exact Match' ELSE 'Differences Found' END AS status,
+  CASE WHEN changed = 0 THEN 'Texts are identical.' WHEN changed = 1 THEN '1 differing line.' ELSE changed || ' differing lines.' END AS detail, changed AS changed_lines FROM (
+  SELECT item_id, coalesce(list_sum(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i] <> b[i] THEN 1 ELSE 0 END)), 0)::BIGINT AS changed FROM (
+  SELECT item_id, string_split(r, chr(10)) AS a, string_split(regexp_replace(r, '\\bthe\\b', 'a', 'g'), chr(10)) AS b FROM (SELECT item_id, replace(text, '. ', '.' || chr(10)) AS r FROM benchmark)))""")
+def text_diff_summary(spark, sf_dir):
+    return summary(_compared(spark, sf_dir), "item_id")
 
 
 @query(f"SELECT e.label, max({_COSINE}) AS best FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0 GROUP BY 1")
