@@ -2,8 +2,9 @@
 
 1. One scan cuts the documents into shards and builds a CSR block of each: its words (a local dictionary), row pointers,
    word codes and counts, and beside them what the other filters need of a text. A text is never split.
-2. The shards' dictionaries, not the words of texts, are exchanged: their distinct words get dense global codes by range (a code is
-   the number of words before it), and each shard gets the global code of each of its words.
+2. The shards' dictionaries, not the words of texts, are exchanged, once: a range of words gets global codes in the order of their bytes.
+   A shard's dictionary is in that order too, so the codes that come back, sorted, are those of its words. A word has one row for
+   each shard, so none is hot.
 3. The blocks are turned to global codes, sorted within rows. Row sums and the number of nonzero entries of a row
    decide the filters on lengths and distinct words.
 4. Rows of documents meet the least id of an equal text and their labels, and are summed to one row for each part and
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ _CSR = "shard bigint, ids array<bigint>, parts array<string>, points array<bigin
 
 def csr(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(words, starts, codes, counts) of the texts' words, runs without ASCII white space: row i has the distinct codes and their counts
-    at ``starts[i]`` to ``starts[i + 1]``."""
+    at ``starts[i]`` to ``starts[i + 1]``. Codes follow the words' bytes."""
     split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
     words = split.flatten()
@@ -45,11 +47,14 @@ def csr(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     if not len(held):
         return pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     width = len(held.dictionary)
+    order = pc.sort_indices(held.dictionary)
+    place = np.empty(width, np.int64)
+    place[order.to_numpy()] = np.arange(width)
     cells = rows * width
-    cells += held.indices.to_numpy(zero_copy_only=False)
+    cells += place[held.indices.to_numpy(zero_copy_only=False)]
     cells, counts = np.unique(cells, return_counts=True)
     starts = np.searchsorted(cells, np.arange(len(texts) + 1) * width)
-    return held.dictionary.cast(pa.string()), starts.astype(np.int64), (cells % width).astype(np.int32), counts.astype(np.int32)
+    return held.dictionary.take(order).cast(pa.string()), starts.astype(np.int64), (cells % width).astype(np.int32), counts.astype(np.int32)
 
 
 def _count_per_row(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -91,19 +96,26 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield shard(pa.Table.from_batches(held))
 
 
-def global_codes(words: DataFrame) -> DataFrame:
-    """(word, code) of each distinct ``word``: dense codes from 0 in the order of the words' bytes.
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, shard, code) of rows sorted by word: the partition's number, then the number of distinct words before it."""
+    last, rank = None, -1
+    base = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = batch.column(0)
+        new = np.ones(len(words), bool)
+        new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+        new[0] = last is None or words[0].as_py() != last
+        codes = rank + np.cumsum(new)
+        last, rank = words[len(words) - 1].as_py(), int(codes[-1])
+        yield pa.RecordBatch.from_arrays([words, batch.column(1), pa.array(base + codes)], names=["word", "shard", "code"])
 
-    Words are dealt by range and numbered within their partition; a partition begins after all words of the partitions before it. The
-    driver sees one count for each partition.
-    """
-    ranged = words.select("word").distinct().repartitionByRange("word").sortWithinPartitions("word")
-    ranged = materialize(ranged.select("word", F.monotonically_increasing_id().alias("at")), "words")
-    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted(tuple(r) for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # one row for each partition
-    before = list(itertools.accumulate((n for _, n in sizes), initial=0))
-    starts = ranged.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "part int, before bigint").coalesce(1)
-    return ranged.join(F.broadcast(starts), part.cast("int") == F.col("part")).select("word", (F.col("before") + within).alias("code"))
+
+def global_codes(words: DataFrame) -> DataFrame:
+    """(word, shard, code) of rows (word, shard): equal words have equal codes, and codes rise with the words' bytes. They aren't dense: a range of words
+    begins anew. One exchange, which never parts the rows of a word."""
+    return words.select("word", "shard").repartitionByRange("word").sortWithinPartitions("word").mapInArrow(_coded, "word string, shard bigint, code bigint")
 
 
 def _recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +140,21 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A shard holds some rows' ids, parts, code points, capitals, signs and SHA-256, row pointers, codes and counts. Null texts are empty
     rows, null parts are the empty string; null and repeated ids stay as they are; a very long text is a shard of its own.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    shards = _cut(docs, id_col, text_col, part_col)
+    coded = materialize(global_codes(shards.select("shard", F.explode("words").alias("word"))), "dictionary")
+    return _matrix(shards, coded), coded.select("word", "code").distinct()
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shards = materialize(rows.mapInArrow(_shards, _SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards")
-    words = shards.select("shard", F.posexplode("words").alias("local", "word"))
-    codes = materialize(global_codes(words), "dictionary")
-    found = words.join(codes, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("local", "code"))).getField("code").alias("global"))
+    return materialize(rows.mapInArrow(_shards, _SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards")
+
+
+def _matrix(shards: DataFrame, coded: DataFrame) -> DataFrame:
+    found = coded.groupBy("shard").agg(F.sort_array(F.collect_list("code")).alias("global"))
     joined = shards.drop("words").join(found, "shard", "left").withColumn("global", F.coalesce("global", F.array().cast("array<bigint>")))
-    return joined.mapInArrow(_recode, _CSR), codes
+    return joined.mapInArrow(_recode, _CSR)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +183,8 @@ def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Ids that repeat in ``labels`` count as labelled if any row of theirs is. A document without an id has no label, and neither
     repeats another nor is repeated.
     """
-    matrix, _ = document_terms(docs, id_col, text_col, part_col)
-    rows = row_sums(matrix)
+    shards = _cut(docs, id_col, text_col, part_col)
+    rows = row_sums(_matrix(shards, global_codes(shards.select("shard", F.explode("words").alias("word")))))
     bits: list[Column] = [F.col("n_words") < 200, 100 * F.col("n_distinct") < 50 * F.col("n_words"), 100 * F.col("capitals") > 2 * F.col("points"), F.col("signs")]
     failed = sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0))
     # Equal rows are counted before any of them moves: one id, text or part may hold most rows.
