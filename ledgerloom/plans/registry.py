@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import disclosure, ingest, records, retrieval, streams  # noqa: F401  (they register themselves)
+    from . import disclosure, further, ingest, records, retrieval, streams  # noqa: F401  (they register themselves)
 
     return _QUERIES
 

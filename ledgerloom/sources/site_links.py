@@ -228,5 +228,5 @@ def statute_sections(pages: DataFrame, start: DataFrame) -> DataFrame:
     if found is None:
         return spark.createDataFrame([], "section string, title string, url string, trail array<int>")
     first = found.groupBy("url").agg(F.min(F.struct("trail", "label")).alias("first"))
-    number = F.element_at(F.split(F.rtrim(F.lit("/"), F.col("url")), "/"), -1)
+    number = F.regexp_extract("url", "([^/]+)/*$", 1)
     return first.select(number.alias("section"), F.col("first.label").alias("title"), "url", F.col("first.trail").alias("trail"))
