@@ -7,7 +7,7 @@ open; a phrase that it opens may itself be extended at once, so the phrases are
 frequent phrase are frequent, so each was counted in the full pass or is opened here, and so is the phrase.
 
 What is proposed is known to the tasks as a bitmap of a fixed size; a false hit in it only has more phrases counted, never fewer. Proposed
-phrases are summed by their strings. The border, by far the largest part, is summed by 64-bit hashes, which can only raise a sum; what
+phrases are summed by their strings. The border, by far the largest part, is summed by hashes, which can only raise a sum; what
 reaches the threshold there is counted by its string in the expansion pass. So every count that is used is of a phrase, not of a hash.
 """
 
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from .common import join_apart, materialize, small_batches, text_bytes
 from .shingles import mix, word_hashes
 
-#: Share of the documents in the sample, and part of the threshold (of the sample's share) at which it proposes.
-SAMPLE, LOWERED = 0.2, 0.5
+#: Share of the documents in the sample, and part of the threshold (of the sample's share) at which it proposes. A lower part has fewer failures, which
+#: are cheap, and a larger border, which isn't.
+SAMPLE, LOWERED = 0.2, 1.0
+#: Bits of a hash that are left out: 48 are kept, as a row of the border is hardly more than its hash.
+SHORT = np.uint64(16)
 #: Bits of a bitmap of phrases (8 MB), two for each phrase.
 BITS = 1 << 26
 #: Bytes of text whose counts are taken together.
@@ -83,7 +86,7 @@ class Words:
         self.lang = lang_of[self.firsts]
         del lang_of, words, held
         seeds = np.array([int.from_bytes(hashlib.blake2b(x.as_py().encode(), digest_size=8).digest(), "little") for x in self.langs], np.uint64)
-        self.hashes = mix(self._word_hash() ^ seeds[self.lang]) if len(self.firsts) else np.zeros(0, np.uint64)
+        self.hashes = mix(self._word_hash() ^ seeds[self.lang]) >> SHORT if len(self.firsts) else np.zeros(0, np.uint64)
 
     def _word_hash(self) -> np.ndarray:
         """Hashes of the distinct words, of their own bytes alone."""
@@ -151,7 +154,7 @@ def phrases(words: Words, most: int, held: Callable) -> Iterator[tuple[int, np.n
         at[places] = codes
         firsts, n = places[firsts], n + 1
         # The hash of a phrase is that of its first part and its last word, so it is the same in every block.
-        hashes = mix(hashes[parts[0]] * _STEP + words.hashes[words.codes[firsts + n - 1]])
+        hashes = mix(hashes[parts[0]] * _STEP + words.hashes[words.codes[firsts + n - 1]]) >> SHORT
 
 
 _COUNTED = "lang string, words int, phrase string, hash bigint, f bigint"
