@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +104,8 @@ def _sign(k: int, num: int, den: int):
             sizes = np.array([len(s) for s in sets], np.int64)
             at = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             # Only a row that sends keys can be asked for its text.
-            asked = pa.array([len(x) > 0 for x in keys], pa.bool_())
-            text = pc.if_else(asked, batch.column(1), pa.scalar(None, pa.string()))
+            silent = np.array([not len(x) for x in keys])
+            text = batch.column(1).take(pa.array(np.arange(len(keys)), mask=silent))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys))), text], names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "text"])
 
     return run
