@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import join_apart, materialize, small_batches, text_bytes
 
 #: Bytes of text in a shard, unless one text is longer.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 LETTERS = "ABCDE"
 SIGNS = b"#$%&*|"
 
