@@ -197,10 +197,12 @@ def bulletin_links(pages: DataFrame) -> DataFrame:
 
 
 def sheet_links(pages: DataFrame, year: tuple[str, ...], quarter: tuple[str, ...]) -> DataFrame:
-    """Spreadsheets of a quarter with a file name made of the label and the address' ending."""
+    """Spreadsheets of a quarter with a file name: the label with the address' ending, or the address' own name where the label says too little."""
     found = by_rule(pages, quarter_sheets(year, quarter), "url string, label string")
-    ending = F.lower(F.regexp_extract("url", r"(\.\w+)(?:[?#].*)?$", 1))
-    return found.withColumn("filename", F.concat(safe_name(F.col("label")), ending))
+    own = F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1)
+    ending = F.coalesce(F.nullif(F.lower(F.regexp_extract(own, r"(\.\w+)$", 1)), F.lit("")), F.lit(".xlsx"))
+    label = F.when((F.length("label") < 5) | F.lower("label").endswith(ending), F.when(F.length("label") < 5, own).otherwise(F.col("label"))).otherwise(F.concat("label", ending))
+    return found.withColumn("filename", safe_name(label))
 
 
 def precedent_links(pages: DataFrame) -> DataFrame:

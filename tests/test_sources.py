@@ -1,29 +1,30 @@
 """Readers of source files and sinks, by literal cases."""
 
 import datetime
+import json
 
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import bulletins, disclosure_files, dumps, search_pages, sheets, sinks
 
-RESULT = """<html><body><article class="search-result"><h2><a href="/case/123">Acme Corp., 2024-PER-00123</a></h2>
-<p>Decision issued Jan. 4, 2025</p><a href="/docs/acme.pdf">PDF</a></article><ul><li>no link</ul>
-<ul class="pager"><li class="pager__next"><a href="?page=2">Next</a></ul></body></html>"""
+RESULT = """<main><div class="views-row"><h3><a href="decisions/77">In re Birch Mills, 2019-PER-00042</a></h3>
+<p>Issued March 7, 2020</p><a href="https://files.example/birch.pdf">file</a></div><ul><li>nothing to follow</li></ul>
+<ol><li class="usa-pagination__next"><a href="/list?page=5">more</a></li></ol></main>"""
 
 
 def test_result_page(spark):
     pages = spark.createDataFrame([(1, RESULT), (2, None), (3, "")], "page int, html string")
-    rows = search_pages.result_records(pages, "page", "html", "https://x.org").orderBy("page", "position").collect()
+    rows = search_pages.result_records(pages, "page", "html", "https://board.example").orderBy("page", "position").collect()
     first = rows[0]
     assert {r.page for r in rows} == {1}
-    assert (first.docket_number, first.decision_date, first.pdf_url) == ("2024-PER-00123", datetime.date(2025, 1, 4), "https://x.org/docs/acme.pdf")
-    assert [r[0] for r in pages.orderBy("page").select(search_pages.next_page(F.col("html"), "https://x.org")).collect()] == ["https://x.org/?page=2", None, None]
+    assert (first.docket_number, first.decision_date, first.pdf_url) == ("2019-PER-00042", datetime.date(2020, 3, 7), "https://files.example/birch.pdf")
+    assert [r[0] for r in pages.orderBy("page").select(search_pages.next_page(F.col("html"), "https://board.example")).collect()] == ["https://board.example/list?page=5", None, None]
 
 
 def test_response(spark):
-    body = '{"value":[{"parsed_title":"Acme Corp., 2024-PER-00123","file_path":"/docs/acme.pdf","issued_date":"2025-01-04","document_type":"Case Decision"},{"parsed_title":"Acme Corp., 2024-PER-00123","file_path":"/b","issued_date":"2025-01-04","document_type":"Case Decision"},{"parsed_title":null,"file_path":"/c"}]}'
-    rows = search_pages.response_records(spark.createDataFrame([(1, body), (2, "broken"), (3, None)], "k int, body string"), "k", "body", "https://x.org/").orderBy("position").collect()
-    assert [(r.case_name, r.docket_number, r.pdf_url, r.source_url) for r in rows] == [("Acme Corp.", "2024-PER-00123", "https://x.org/docs/acme.pdf", None), ("", None, None, "https://x.org/c")]
+    docs = [{"parsed_title": "Birch Mills - 2019-PER-042", "file_path": "/f/birch.pdf", "issued_date": "2020-03-07", "document_type": "Order"}, {"parsed_title": "", "file_path": "page/9"}, {"parsed_title": "Birch Mills - 2019-PER-042", "file_path": "/f/birch.pdf", "issued_date": "2020-03-07", "document_type": "Order"}]
+    rows = search_pages.response_records(spark.createDataFrame([(1, json.dumps({"value": docs})), (2, "broken"), (3, None)], "k int, body string"), "k", "body", "https://board.example/").orderBy("position").collect()
+    assert [(r.case_name, r.docket_number, r.pdf_url, r.source_url) for r in rows] == [("Birch Mills", "2019-PER-00042", "https://board.example/f/birch.pdf", None), ("", None, None, "https://board.example/page/9")]
 
 
 def test_program_files(spark, tmp_path):

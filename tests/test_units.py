@@ -5,8 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import citations, coerce, diff, extract, markup
-from ledgerloom.functions.chunk import chunk, chunk_sections, tokens
+from ledgerloom.functions import citations, coerce, extract, markup
 from ledgerloom.operators.filters import apply_filters, not_true
 from ledgerloom.operators.pivot import Metric, PivotSpec, column_values, grand_total, pivot
 from ledgerloom.operators.search import analyzed, matches, parse_query
@@ -82,17 +81,7 @@ def test_search_matches_against_words(spark):
         assert {r.i for r in rows.where(text_matches(F.col("t"), q)).collect()} == {r.i for r in rows.where(matches(analyzed(F.col("t")), q)).collect()} == want
 
 
-def test_chunks():
-    text = "\n\n".join(f"Paragraph {i} " + "word " * 60 for i in range(30))
-    parts = chunk(text, 200, 20)
-    assert len(parts) > 5 and all(tokens(p) <= 240 for p in parts) and chunk(None) == [] and chunk("  ") == []
-    assert all(f"Paragraph {i} " in " ".join(parts) for i in range(30))
-    assert len(chunk("A sentence here. " * 400, 100, 0)) > 10
-    assert len(chunk_sections("intro\n§ 1.1 a\ntext\n§ 1.2 b\ntext")) == 3
-
-
-def test_diff_and_markup(spark):
-    assert diff.compare("a b\nsame", "a c\nsame\nnew") == [(0, 0, True, "b", "c"), (1, 1, False, "", ""), (None, 2, True, "", "new")]
+def test_markup(spark):
     page = markup._parsed("<nav><p>no</p></nav><h2>T</h2><p>x<p>x<p>y <a href='/z'>go  on</a></p>")
     assert page.parts == ["T", "x", "y go on"] and page.links == [("/z", "go on")]
 
@@ -105,6 +94,8 @@ def cases(spark):
 def test_pivot_rules(cases):
     out = {r.k: r.asDict() for r in pivot(cases, PivotSpec(("k",), (Metric("sum", "v", "s"), Metric("pct_of_total", None, "p")), column="c")).collect()}
     assert column_values(cases, "c") == ["x", "y", None] and out["a"]["None__s"] == 3.0 and out["a"]["x__p"] == 50.0 and out["a"]["__row_total__p"] == 50.0
+    cells = grand_total(cases, PivotSpec(("k",), (Metric("avg", "v", "m"),), column="k", limit=2)).first().asDict()
+    assert sum(n for c, n in cells.items() if c.endswith("__m") and not c.startswith("__")) == cells["n_rows"] == cases.count() and "__row_total__m" in cells
     total = grand_total(cases, PivotSpec(("k",), (Metric("avg", "v", "m"),), limit=2)).first()
     assert (total.m, total.n_groups, total.limited) == (3.0, 3, True)
     for bad in (PivotSpec(), PivotSpec(("zz",)), PivotSpec(("k",), (Metric("sum", "c"),)), PivotSpec(("k",), (Metric("median", "v"),)), PivotSpec(("k",), filters=(("k", "~", 1),))):
