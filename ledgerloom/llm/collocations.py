@@ -220,7 +220,8 @@ def _expansion(most: int, proposed, frequent) -> Callable:
 
             def held(n: int, hashes: np.ndarray, parts) -> np.ndarray:
                 visited = np.ones(len(hashes), bool) if n == 1 else was[n - 1][parts[0]] & was[n - 1][parts[1]]  # noqa: B023
-                was[n], inside = holds(before, hashes), holds(now, hashes)  # noqa: B023
+                # A false hit of the bitmap on a phrase that the full pass never came to was no proposal there.
+                was[n], inside = visited & holds(before, hashes), holds(now, hashes)  # noqa: B023
                 counted[n] = ~visited | (~was[n] & inside)  # noqa: B023
                 return inside | ~visited
 

@@ -30,7 +30,7 @@ def test_pipeline_against_brute_force(spark):
 def test_stages_and_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "near_duplicates", "packing"]
     numbers = [int(n[2:].split("_")[0]) for n in Q.queries()]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     import __spark_entry__
 
     assert set(Q.queries()) | {"pipeline"} < set(__spark_entry__.queries())
