@@ -101,3 +101,13 @@ def first_by_priority(df: DataFrame, tests: Iterable[Column], *ties: Column) ->
     tests = list(tests)
     rank = F.coalesce(*(F.when(t, i) for i, t in enumerate(tests)))
     return df.where(rank.isNotNull()).orderBy(rank, *ties).limit(1)
+
+
+def clean_query(text: str | None) -> str:
+    """A query with its white space collapsed."""
+    return " ".join((text or "").split())
+
+
+def filters_used(**values: Any) -> dict[str, Any]:
+    """The filters that say something: none that are missing, empty or false."""
+    return {k: v for k, v in values.items() if v not in (None, "", False)}

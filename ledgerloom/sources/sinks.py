@@ -45,3 +45,15 @@ def corpus_statistics(sections: DataFrame, group: str, text: str) -> DataFrame:
     words = F.size(F.filter(F.split(F.trim(F.col(text)), "\\s+"), lambda x: x != ""))
     has = F.coalesce(F.length(text), F.lit(0)) > 0
     return sections.groupBy(group).agg(F.count("*").alias("sections"), F.count_if(has).alias("with_text"), F.coalesce(F.sum(F.when(has, words)), F.lit(0)).alias("words"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("characters"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls left out; overwrites."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_text(df: DataFrame, path: str, text: str, by: str | None = None) -> None:
+    """The column ``text`` as lines; ``by`` a column whose values become folders. Rows without a text are left out; overwrites."""
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("value"), *([by] if by else []))
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).text(path)

@@ -232,3 +232,36 @@ def statute_sections(pages: DataFrame, start: DataFrame) -> DataFrame:
     first = found.groupBy("url").agg(F.min(F.struct("trail", "label")).alias("first"))
     number = F.regexp_extract("url", "([^/]+)/*$", 1)
     return first.select(number.alias("section"), F.col("first.label").alias("title"), "url", F.col("first.trail").alias("trail"))
+
+
+# Chrome by class, roots by class, notes by id.
+CHROME_CLASS, FIELD_CLASS, NOTES_ID = r"toolbox|sidebar|breadcrumb|tabs", r"field-item", r"notes|tab_default_2"
+
+
+def section_text(root: Node, url: str) -> list[tuple]:
+    """(text, notes) of a section's page: paragraphs, items and headings within the content, chrome left out, a blank line between them; what
+    repeats side by side, as nested elements do, counts once."""
+
+    def cut(node: Node) -> None:
+        node.children = [c for c in node.children if not isinstance(c, Node) or not (c.tag in ("nav", "footer", "header") or re.search(CHROME_CLASS, c.attrs.get("class") or ""))]
+        for child in node.children:
+            if isinstance(child, Node):
+                below.append(child)
+
+    below = [root]
+    while below:
+        cut(below.pop())
+    fields = [n for n in root.walk() if n.tag == "div" and re.search(FIELD_CLASS, n.attrs.get("class") or "")]
+    content = next(iter([n for n in root.walk() if n.tag == "div" and n.attrs.get("id") == "content"] or fields or root.all("main")), root)
+    parts: list[str] = []
+    for node in content.all("p", "li", "h2", "h3", "h4"):
+        text = node.text()
+        if len(text) > 2 and (not parts or parts[-1] != text):
+            parts.append(text)
+    notes = next((n for n in root.walk() if n.tag == "div" and re.search(NOTES_ID, n.attrs.get("id") or "")), None)
+    return [("\n\n".join(parts), notes.text() if notes else "")]
+
+
+def section_texts(pages: DataFrame) -> DataFrame:
+    """(page, text, notes) of pages of sections."""
+    return by_rule(pages, section_text, "text string, notes string").drop("position")

@@ -135,3 +135,23 @@ def test_stream_of_overlapping_loads_equals_the_batch(spark, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     want = {r.key: tuple(r) for r in activity.once_over(spark.createDataFrame(rows, schema), "kind", "event_id", "ts", "value").collect()}
     assert {r.key: tuple(r) for r in got} == want and set(want) == {"a", "b"}
+
+
+def test_section_text_by_content_root(spark):
+    html = """<header><p>site</p></header><div class='sidebar x'><p>side</p></div><main><p>outside of the content</p></main>
+      <div id='content'><nav><li>menu</li></nav><h2>§ 1101. Title</h2><p>First  para.</p><ul><li><p>nested item</p></li><li>ab</li></ul><div class='tabs'><p>tab</p></div></div><div id='tab_default_2'>Some <b>notes</b></div>"""
+    got = site_links.section_texts(pages(spark, ("a", html), ("b", "<p>only this</p><p>only this</p>"), ("c", None), ("d", "<div class='field-item even'><p>field text</p></div><p>no</p>"))).orderBy("page").collect()
+    assert [(r.text, r.notes) for r in got] == [("§ 1101. Title\n\nFirst para.\n\nnested item", "Some notes"), ("only this", ""), ("", ""), ("field text", "")]
+
+
+def test_writers(spark, tmp_path):
+    from ledgerloom.operators.filters import clean_query, filters_used
+    from ledgerloom.sources import sinks
+
+    df = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (3, "c", "x")], "n int, t string, k string")
+    for _ in range(2):
+        sinks.write_json(df, str(tmp_path / "j"))
+        sinks.write_text(df, str(tmp_path / "t"), "t", "k")
+    assert sorted(tuple(r) for r in spark.read.schema("n int, t string, k string").json(str(tmp_path / "j")).collect()) == [(1, "a", "x"), (2, None, "y"), (3, "c", "x")]
+    assert sorted((r.value, r.k) for r in spark.read.text(str(tmp_path / "t")).collect()) == [("a", "x"), ("c", "x")]
+    assert clean_query("  a \n b ") == "a b" and clean_query(None) == "" and filters_used(a=None, b="", c=False, d=0.5, e="x") == {"d": 0.5, "e": "x"}

@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+from html import unescape
 
 from pyspark.sql import functions as F
 
@@ -184,3 +185,29 @@ def test_dates_and_outcomes(spark):
     assert [r[0] for r in dates] == [datetime.date(2025, 1, 4), datetime.date(2021, 1, 5), datetime.date(2020, 12, 1), None, None]
     said = ["HEREBYDISMISSED", "is HEREBY DISMISSED", "vacating the denial", "nothing", " "]
     assert [r[0] for r in spark.createDataFrame([(s,) for s in said], "t string").select(board_outcome(F.col("t"))).collect()] == ["Dismissed", "Dismissed", "Reversed", "Unknown", None]
+
+
+def test_links_and_articles_of_pages_by_hand(spark):
+    """Every page's links and article against regular expressions over its own mark-up."""
+    found, texts = {}, {r.page_id: r.text for r in registry.queries()["html_text"](spark, DATA).collect()}
+    for r in registry.queries()["html_links"](spark, DATA).collect():
+        found.setdefault(r.page_id, []).append((r.position, r.href, r.label))
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    assert len(texts) == len(rows)
+    for r in rows:
+        html = re.sub(r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", "", r.html or "")
+        want = [(unescape(h), " ".join(unescape(re.sub(r"<[^>]*>", "", t)).split())) for h, t in re.findall(r"(?s)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>", html)]
+        assert [(h, t) for _, h, t in sorted(found.get(r.page_id, []))] == want
+        chrome = re.sub(r"(?s)<(nav|footer|header)\b.*?</\1>", "", html)
+        for said in re.findall(r"(?s)<h[234][^>]*>([^<]{4,})</h[234]>", chrome):
+            assert " ".join(unescape(said).split()) in texts[r.page_id]
+        assert all(a != b for a, b in zip(texts[r.page_id].split("\n"), texts[r.page_id].split("\n")[1:]))
+
+
+def test_citations_of_every_text_by_hand(spark):
+    got = {}
+    for r in registry.queries()["citation_extract"](spark, DATA).collect():
+        got.setdefault(r.citing_id, []).append((r.citation_type, r.cited_raw))
+    for i in (r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()):
+        want = [("precedent", f"25 I&N Dec. {i % 500}")] + ([("board", f"2006-PER-{i}")] if i < 100_000 else [])
+        assert got[i] == want
