@@ -33,6 +33,8 @@ from .shingles import mix, shingle_sets
 LEAST_GROUPS, MOST_GROUPS = 64, 8192
 #: Texts in one tile of a node.
 TILE = 512
+#: Up to this many candidates (8 MB of ids) are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Pairs of one partner that meet in one task; the text of a partner of more is sent to several.
 PARTNER_PAIRS = 64
 
@@ -369,7 +371,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leads = materialize(members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
     members = materialize(join_apart(members, leads, "key").where("node <> lead").select("lead", "node").distinct(), "members")
 
-    nodes = members.select("node").union(members.select("lead")).distinct()
+    nodes = materialize(members.select("node").union(members.select("lead")).distinct(), "nodes")
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     points = signed.where("text IS NOT NULL").select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
     points = materialize(points.mapInArrow(_vectors(k), "node bigint, size int, vector binary, text string"), "points")
     vectors, near = points.select("node", "size", "vector"), points.select("node", "text")
