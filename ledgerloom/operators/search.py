@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem
+from ..sources.scratch import folder, kept
 from .filters import like_any
 
 # Words too common to search for.
@@ -155,7 +156,8 @@ def match_or_like(text: Column, q: Query, term: str, *fields: Column) -> Column:
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, q: Query, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score, tf) of matching texts. Collection statistics are one row of global aggregates."""
+    """(id, score, tf) of matching texts. What each text has of the query is a narrow table, from one pass over the texts; collection statistics
+    are one row of its aggregates. For many queries over one corpus the stored index is cheaper."""
     terms = list(dict.fromkeys(t for p in [*q.all, *(x for g in q.any for x in g)] for t in p if t))
 
     def facts(w: Column) -> Column:
@@ -163,6 +165,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, q: Query, k1: float = 1.2,
         return F.struct(words.alias("len"), _satisfied(w, q).alias("hit"), *(_times(w, (t,)).alias(f"tf_{t}") for t in terms))
 
     rows = docs.select(id_col, F.element_at(F.transform(F.array(_padded(F.col(text_col))), facts), 1).alias("f")).select(id_col, "f.*")
+    rows = kept(rows, folder(docs.sparkSession, "facts"))
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf_{t}") > 0).alias(f"df_{t}") for t in terms))
     rows = rows.where("hit").join(F.broadcast(stats))  # one row
     score = F.lit(0.0)

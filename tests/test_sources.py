@@ -36,6 +36,9 @@ def test_program_files(spark, tmp_path):
     assert [(r.case_number, r.fiscal_year, r.source_file, r.employer_name, r.wage_from, r.decision_date, r.employer_num_payroll) for r in rows] == [
         ("A-1", "FY2024", "a.csv", "Acme, Inc.", None, datetime.date(2025, 1, 4), 12), ("A-2", "FY2024", "b.csv", None, 7.5, None, None)]
     assert disclosure_files.read_program(spark, [], "lca").count() == 0
+    (folder / "c.csv").write_text('CASE_NUMBER,JOB_TITLE\nA-3,"two\nlines, ""quoted"""\nA-4,one\n', encoding="utf-8")
+    rows = disclosure_files.read_program(spark, [str(folder / "c.csv")], "perm").orderBy("case_number").collect()
+    assert [(r.case_number, r.job_title) for r in rows] == [("A-3", 'two\nlines, "quoted"'), ("A-4", "one")]
     index = spark.createDataFrame([(1, "a.pdf", " t "), (2, " a.pdf", "u"), (3, None, "v"), (4, "", "w")], "n int, pdf string, title string")
     assert [tuple(r) for r in disclosure_files.first_by_file(index, "pdf", [F.col("n")]).collect()] == [(1, "a.pdf", "t")]
 
