@@ -15,22 +15,34 @@ from ledgerloom.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold of operator 8, which learns from the labels."""
+    """Documents that score below the threshold of operator 8, which learns from the labels.
+
+    A null or empty text is scored like any other; null and repeated ids are judged each by its text; texts of any length are scored whole; extra columns stay.
+    An empty table stays empty.
+    """
     return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the divergence of operator 9 keep."""
+    """Documents that the base rules and the divergence of operator 9 keep.
+
+    Null, empty and short texts go; a null language is compared with all rows; null and repeated ids are judged each by its text and language; extra columns
+    stay. An empty table stays empty.
+    """
     return drop_low_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of operator 1, over shingles of five words at 0.8."""
+    """The document of least id of each group of operator 1, over shingles of five words at 0.8.
+
+    Rows without words or without an id stay, as nobody's copies; rows that repeat an id are one document and stay or go together; extra columns stay. An empty
+    table stays empty.
+    """
     return keep_one_of_each_group(docs, k=5, num=8, den=10)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of up to 4096 tokens, by operator 3."""
+    """Sequences of up to 4096 tokens, by operator 3: pieces with their place, no other columns. A null text is empty and has its end token; an empty table has no pieces."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
