@@ -31,8 +31,18 @@ SHARD_BYTES = 6 << 20
 LETTERS = "ABCDE"
 SIGNS = b"#$%&*|"
 
-_SHARD = "ids array<bigint>, parts array<string>, points array<bigint>, capitals array<bigint>, signs array<boolean>, digests array<binary>, words array<string>, starts array<bigint>, codes array<int>, counts array<int>"
-_CSR = "shard bigint, ids array<bigint>, parts array<string>, points array<bigint>, capitals array<bigint>, signs array<boolean>, digests array<binary>, starts array<bigint>, codes array<bigint>, counts array<int>"
+#: Words of a dictionary in one row.
+WORDS_ROW = 8192
+
+_FACTS = "ids array<bigint>, parts array<string>, points array<bigint>, capitals array<bigint>, signs array<boolean>, digests array<binary>"
+#: Row pointers and codes are little-endian integers of 8 and 4 bytes, counts of 1 or 4; rows of words have nothing else.
+_SHARD = f"shard bigint, {_FACTS}, starts binary, codes binary, counts binary, words array<string>"
+_CSR = f"shard bigint, {_FACTS}, starts array<bigint>, codes array<bigint>, counts array<bigint>"
+_SUMS = "doc_id bigint, part string, points bigint, capitals bigint, signs boolean, digest binary, n_words bigint, n_distinct bigint"
+
+
+def _names(schema: str) -> list[str]:
+    return [column.split()[0] for column in schema.split(", ")]
 
 
 def csr(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,32 +78,39 @@ _SIGN[list(SIGNS)] = True
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, part, text) of a task as shards, one row each."""
+    """Rows (doc_id, part, text) of a task as shards: a row with the block of each, then rows with the words of its dictionary."""
+    lists = [pa.list_(t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())]
+    schema = pa.schema(list(zip(_names(_SHARD), [pa.int64(), *lists, pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())])))
 
-    def shard(rows: pa.Table) -> pa.RecordBatch:
+    def shard(name: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, parts, texts = (rows.column(i).combine_chunks() for i in range(3))
         data, offsets = text_bytes(texts)
-        words, starts, codes, counts = csr(texts)
-        view = memoryview(data.tobytes())
+        view = memoryview(data)
         digests = [hashlib.sha256(view[a:b]).digest() for a, b in itertools.pairwise(offsets.tolist())]
-        points = _count_per_row((data & 0xC0) != 0x80, offsets)
-        whole = [ids, parts, pa.array(points), pa.array(_count_per_row(_CAPITAL[data], offsets)), pa.array(_count_per_row(_SIGN[data], offsets) > 0), pa.array(digests, pa.binary()), words, pa.array(starts), pa.array(codes), pa.array(counts)]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in whole]
-        return pa.RecordBatch.from_arrays(lists, names=[x.split()[0] for x in _SHARD.split(", ")])
-
-    held, size = [], 0
+        facts = [ids, parts, pa.array(_count_per_row((data & 0xC0) != 0x80, offsets)), pa.array(_count_per_row(_CAPITAL[data], offsets)), pa.array(_count_per_row(_SIGN[data], offsets) > 0), pa.array(digests, pa.binary())]
+        words, starts, codes, counts = csr(texts)
+        narrow = "<u1" if counts.max(initial=0) < 256 else "<u4"
+        blobs = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((starts, "<i8"), (codes, "<i4"), (counts, narrow))]
+        whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in facts]
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *whole, *blobs, pa.nulls(1, schema.field("words").type)], schema=schema)
+        for at in range(0, len(words), WORDS_ROW):
+            part = words.slice(at, WORDS_ROW)
+            part = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.nulls(1, f.type) for f in schema if f.name not in ("shard", "words")), part], schema=schema)
+
+    held, size, name = [], 0, TaskContext.get().partitionId() << 33
     for batch in batches:
         _, offsets = text_bytes(batch.column(2))
         start = 0
         for i, n in enumerate(np.diff(offsets).tolist()):
             if size and size + n > SHARD_BYTES:
                 held.append(batch.slice(start, i - start))
-                yield shard(pa.Table.from_batches(held))
-                held, size, start = [], 0, i
+                yield from shard(name, pa.Table.from_batches(held))
+                held, size, start, name = [], 0, i, name + 1
             size += n + 16
         held.append(batch.slice(start))
     if held and sum(b.num_rows for b in held):
-        yield shard(pa.Table.from_batches(held))
+        yield from shard(name, pa.Table.from_batches(held))
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,20 +135,38 @@ def global_codes(words: DataFrame) -> DataFrame:
     return words.select("word", "shard").repartitionByRange("word").sortWithinPartitions("word").mapInArrow(_coded, "word string, shard bigint, code bigint")
 
 
+def _block(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, codes, counts) of a shard over global codes, sorted within its rows."""
+    get = {name: row.column(k)[0] for k, name in enumerate(row.schema.names) if name in ("starts", "codes", "counts", "global")}
+    starts, codes = np.frombuffer(get["starts"].as_buffer(), "<i8"), np.frombuffer(get["codes"].as_buffer(), "<i4")
+    raw = get["counts"].as_buffer()
+    counts = np.frombuffer(raw, "<u1" if raw.size == len(codes) else "<u4").astype(np.int64)
+    codes = get["global"].values.to_numpy(zero_copy_only=False)[codes] if len(codes) else np.zeros(0, np.int64)
+    order = np.lexsort((codes, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+    return starts, codes[order], counts[order]
+
+
 def _recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """CSR blocks over global codes, sorted within their rows; rows must keep their number of distinct codes."""
+    """Blocks of shards as lists over global codes."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            get = {name: row.column(k) for k, name in enumerate(batch.schema.names)}
-            of = get["global"].flatten().to_numpy(zero_copy_only=False)
-            starts = get["starts"].flatten().to_numpy(zero_copy_only=False)
-            codes = of[get["codes"].flatten().to_numpy(zero_copy_only=False)] if len(of) else np.zeros(0, np.int64)
-            order = np.lexsort((codes, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
-            counts = get["counts"].flatten().to_numpy(zero_copy_only=False)[order]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in ((codes[order], pa.int64()), (counts, pa.int32()))]
-            names = [x.split()[0] for x in _CSR.split(", ")]
-            yield pa.RecordBatch.from_arrays([*(get[n] for n in names[:-2]), *lists], names=names)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in _block(row)]
+            yield pa.RecordBatch.from_arrays([*(row.column(row.schema.get_field_index(n)) for n in _names(_CSR)[:-3]), *lists], names=_names(_CSR))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document in shards the sum of its row and the number of its nonzero entries."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            starts, codes, counts = _block(row)
+            first = np.zeros(len(codes) + 1, bool)
+            first[1:-1] = codes[1:] != codes[:-1]
+            first[starts] = True
+            sums = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (counts, first[:-1])]
+            facts = [row.column(row.schema.get_field_index(n)).flatten() for n in _names(_FACTS)]
+            yield pa.RecordBatch.from_arrays([*facts, *(pa.array(x[starts[1:]] - x[starts[:-1]]) for x in sums)], names=_names(_SUMS))
 
 
 def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -141,40 +176,31 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, null parts are the empty string; null and repeated ids stay as they are; a very long text is a shard of its own.
     """
     shards = _cut(docs, id_col, text_col, part_col)
-    coded = materialize(global_codes(shards.select("shard", F.explode("words").alias("word"))), "dictionary")
-    return _matrix(shards, coded), coded.select("word", "code").distinct()
+    coded = materialize(global_codes(_dictionaries(shards)), "dictionary")
+    return _joined(shards, coded).mapInArrow(_recode, _CSR), coded.select("word", "code").distinct()
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return materialize(rows.mapInArrow(_shards, _SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards")
-
-
-def _matrix(shards: DataFrame, coded: DataFrame) -> DataFrame:
-    found = coded.groupBy("shard").agg(F.sort_array(F.collect_list("code")).alias("global"))
-    joined = shards.drop("words").join(found, "shard", "left").withColumn("global", F.coalesce("global", F.array().cast("array<bigint>")))
-    return joined.mapInArrow(_recode, _CSR)
+    return materialize(rows.mapInArrow(_shards, _SHARD), "shards")
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            get = {name: batch.column(k).slice(i, 1).flatten() for k, name in enumerate(batch.schema.names)}
-            starts, codes, counts = (get[n].to_numpy(zero_copy_only=False) for n in ("starts", "codes", "counts"))
-            first = np.zeros(len(codes) + 1, bool)
-            first[1:-1] = codes[1:] != codes[:-1]
-            first[starts] = True
-            sums = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (counts, first[:-1])]
-            yield pa.RecordBatch.from_arrays([*(get[n] for n in ("ids", "parts", "points", "capitals", "signs", "digests")), *(pa.array(x[starts[1:]] - x[starts[:-1]]) for x in sums)], names=[x.split()[0] for x in _SUMS.split(", ")])
+def _dictionaries(shards: DataFrame) -> DataFrame:
+    return shards.where("words IS NOT NULL").select("shard", F.explode("words").alias("word"))
 
 
-_SUMS = "doc_id bigint, part string, points bigint, capitals bigint, signs boolean, digest binary, n_words bigint, n_distinct bigint"
+def _joined(shards: DataFrame, coded: DataFrame) -> DataFrame:
+    """Blocks with ``global``: the code of each word of their dictionary."""
+    found = coded.groupBy("shard").agg(F.sort_array(F.collect_list("code")).alias("global"))
+    blocks = shards.where("starts IS NOT NULL").drop("words").join(found, "shard", "left")
+    return blocks.withColumn("global", F.coalesce("global", F.array().cast("array<bigint>")))
 
 
-def row_sums(matrix: DataFrame) -> DataFrame:
-    """One row for each document of the matrix: doc_id, part, points, capitals, signs, digest, n_words (row sum), n_distinct (entries)."""
-    return matrix.select("ids", "parts", "points", "capitals", "signs", "digests", "starts", "codes", "counts").mapInArrow(_sums, _SUMS)
+def row_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
+    """One row for each document, from the matrix: doc_id, part, points, capitals, signs, digest, n_words (row sum), n_distinct (nonzero entries)."""
+    shards = _cut(docs, id_col, text_col, part_col)
+    return _joined(shards, global_codes(_dictionaries(shards))).mapInArrow(_sums, _SUMS)
 
 
 def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
@@ -183,8 +209,7 @@ def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Ids that repeat in ``labels`` count as labelled if any row of theirs is. A document without an id has no label, and neither
     repeats another nor is repeated.
     """
-    shards = _cut(docs, id_col, text_col, part_col)
-    rows = row_sums(_matrix(shards, global_codes(shards.select("shard", F.explode("words").alias("word")))))
+    rows = row_sums(docs, id_col, text_col, part_col)
     bits: list[Column] = [F.col("n_words") < 200, 100 * F.col("n_distinct") < 50 * F.col("n_words"), 100 * F.col("capitals") > 2 * F.col("points"), F.col("signs")]
     failed = sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0))
     # Equal rows are counted before any of them moves: one id, text or part may hold most rows.
