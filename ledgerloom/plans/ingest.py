@@ -88,6 +88,24 @@ def program_headers(spark, sf_dir):
     return disclosure_files.map_program(raw, "pw").select("case_number", "case_status", F.col("received_date").cast("string"), "employer_name", "pwd_wage_rate", "soc_code")
 
 
+@query("""SELECT o_orderkey::VARCHAR AS case_number, o_orderdate::DATE::VARCHAR AS decision_date, 'Firm, ' || o_custkey AS employer_name, o_custkey::INT AS employer_num_payroll, o_totalprice AS wage_from, NULL::VARCHAR AS job_title FROM orders""")
+def program_headers_perm(spark, sf_dir):
+    """A certification file's headers; amounts with commas, whole numbers with a fraction, blank cells."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_custkey").cast("string")
+    raw = o.select(F.col("o_orderkey").cast("string").alias("case_number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Decision_Date "), F.concat(F.lit("Firm, "), key).alias("EMP_BUSINESS_NAME"),
+                   F.concat(key, F.lit(".0")).alias("EMP_NUM_PAYROLL"), F.col("o_totalprice").cast("string").alias("JOB_OPP_WAGE_FROM"), F.lit(" NaT ").alias("JOB_TITLE"))
+    return disclosure_files.map_program(raw, "perm").select("case_number", F.col("decision_date").cast("string"), "employer_name", "employer_num_payroll", "wage_from", "job_title")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS case_number, 'H-1B' AS visa_class, o_orderdate::DATE::VARCHAR AS begin_date, CASE WHEN o_custkey % 2 = 0 THEN '11-' || o_custkey ELSE 'S' || o_custkey END AS worksite_state FROM orders WHERE o_orderkey % 7 <> 0""")
+def program_headers_lca(spark, sf_dir):
+    """A labor condition file's headers: of two that become equal the first counts."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_custkey").cast("string")
+    raw = o.select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey").cast("string")).alias("CASE_NUMBER"), F.lit("H-1B").alias("visa_class"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("BEGIN_DATE"),
+                   F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("11-"), key)).otherwise(F.concat(F.lit("S"), key)).alias("WORKSITE_STATE"), F.lit("second").alias(" worksite_state "))
+    return disclosure_files.map_program(raw, "lca").select("case_number", "visa_class", F.col("begin_date").cast("string"), "worksite_state")
+
+
 @query("""SELECT p_partkey::VARCHAR AS code, 'Title: ' || p_name || ' O''Neil' || coalesce(chr(10) || 'Also known as: ' || names, '') || chr(10) || 'Description: ' || p_type || coalesce(chr(10) || 'Key Tasks: ' || tasks, '') AS text FROM part
   LEFT JOIN (SELECT l_partkey, string_agg(m, ', ' ORDER BY first_seen) AS names FROM (SELECT l_partkey, 'Mode ' || l_linenumber AS m, min(l_orderkey * 10 + l_linenumber) AS first_seen FROM lineitem GROUP BY 1, 2) GROUP BY 1) n ON n.l_partkey = p_partkey
   LEFT JOIN (SELECT l_partkey, string_agg('Ship ' || l_orderkey, ' ' ORDER BY seq) AS tasks FROM (SELECT l_partkey, l_orderkey, l_orderkey * 10 + l_linenumber AS seq, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber) AS nth FROM lineitem WHERE l_returnflag = 'N') WHERE nth <= 10 GROUP BY 1) t ON t.l_partkey = p_partkey""")
