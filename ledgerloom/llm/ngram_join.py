@@ -5,7 +5,8 @@ and the sum of coordinate minima of two points bounds the overlap of their sets.
 
 * Routing, the upper levels. For texts of size up to b, linked sets differ in at most t = 2b(1-J)/(1+J) shingles. Splitting
   the hash range in more than t blocks leaves a block where linked sets agree in full, so one key per block
-  routes every linked pair into a common node of the index. Nothing that links is lost.
+  routes every linked pair into a common node of the index. There are more blocks than needed, and by so many as there are more a text
+  leaves out the keys that most texts hold: of the keys on which a linked pair agrees the rarest stays in both. Nothing that links is lost.
 * Packed R-trees below. The count vectors of a node are cut in tiles, and each tile's points are packed into an R-tree, together with
   the node's least text. A branch is skipped if even its largest coordinates can't reach the overlap needed. Every candidate comes
   from a search of such a tree; none is tested otherwise.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, join_apart, materialize, slices, small_batches
@@ -39,16 +40,34 @@ BROADCAST_IDS = 1_000_000
 PARTNER_PAIRS = 64
 
 
-def _blocks(tau: int) -> int:
-    """Blocks for sets that differ in at most ``tau`` shingles: from a coarse grid, so that near sizes share it."""
-    need, m = tau + 1 + (tau + 9) // 10 if tau else 1, 1
-    while m < need:
-        m = max(m + 1, m * 7 // 5)
-    return m
+#: The low bits of a key tell the step of the grid of its blocks.
+STEP_BITS = 6
+
+
+def _need(tau: int) -> int:
+    return tau + 1 + (tau + 9) // 10 if tau else 1
+
+
+def _blocks(tau: int) -> tuple[int, int]:
+    """Blocks for sets that differ in at most ``tau`` shingles, and their step: from a coarse grid, so that near sizes share it."""
+    m, step = 1, 0
+    while m < _need(tau):
+        m, step = max(m + 1, m * 7 // 5), step + 1
+    return m, step
+
+
+def _most(m: int) -> int:
+    """The most differences of sets that ``m`` blocks are made for."""
+    tau = m * 10 // 11
+    while _need(tau) > m:
+        tau -= 1
+    while _need(tau + 1) <= m:
+        tau += 1
+    return tau
 
 
 class Router:
-    """Keys of the blocks of a set; linked sets share one at least."""
+    """Keys of the blocks of a set; linked sets share one at least, also without as many of the most frequent keys of each step as its slack."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.made = num, den, {}
@@ -56,33 +75,40 @@ class Router:
     def tau(self, size: int) -> int:
         return 2 * size * (self.den - self.num) // (self.den + self.num)
 
-    def classes(self, size: int) -> list[tuple[int, int]]:
-        """(blocks, most differences) of every pair in which this is the smaller or the larger set."""
+    def classes(self, size: int) -> list[tuple[int, int, int]]:
+        """(blocks, step, most differences) of every pair in which this is the smaller or the larger set."""
         if size not in self.made:
             top = size * self.den // self.num
-            low, high = _blocks(self.tau(size)), _blocks(self.tau(top))
-            found, m = [low], low
+            (m, step), (high, _) = _blocks(self.tau(size)), _blocks(self.tau(top))
+            found = [(m, step)]
             while m < high:
-                m = max(m + 1, m * 7 // 5)
-                found.append(m)
-            self.made[size] = [(m, self.tau(top)) for m in found]
+                m, step = max(m + 1, m * 7 // 5), step + 1
+                found.append((m, step))
+            self.made[size] = [(m, step, min(self.tau(top), _most(m))) for m, step in found]
         return self.made[size]
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
-        size, found = len(shingles), []
+        return self.keys_and_slack(shingles)[0]
+
+    def keys_and_slack(self, shingles: np.ndarray) -> tuple[np.ndarray, int, list[int]]:
+        """Keys of all steps, the first step, and the slack of each step from that on."""
+        size, found, slack = len(shingles), [], []
         if not size:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), 0, []
         total = np.zeros(size + 1, np.uint64)
         np.cumsum(mix(shingles ^ np.uint64(0x9E3779B97F4A7C15)), out=total[1:])
         high = (shingles >> np.uint64(32)).astype(np.int64)
-        for m, most in self.classes(size):
+        for m, step, most in self.classes(size):
             edge = np.searchsorted(high, (np.arange(m + 1, dtype=np.int64) << 32) // m)
             edge[-1] = size
             sums, filled = total[edge[1:]] - total[edge[:-1]], edge[1:] > edge[:-1]
             key = mix(sums + np.uint64(m * 0xD6E8FEB86659FD93 % 2**64) + np.arange(m, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+            key = (key & ~np.uint64((1 << STEP_BITS) - 1)) | np.uint64(step)
             # Agreement in a block without shingles is no key, unless those without could be all that agree.
-            found.append(key[filled] if filled.sum() > most else key)
-        return np.concatenate(found)
+            n = int(filled.sum())
+            found.append(key[filled] if n > most else key)
+            slack.append(max(0, n - most - 1))  # of n keys at least n - most agree
+        return np.concatenate(found), self.classes(size)[0][1], slack
 
 
 def _sign(k: int, num: int, den: int):
@@ -93,22 +119,30 @@ def _sign(k: int, num: int, den: int):
             ids = batch.column(0)
             a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             b = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            keys = []
+            keys, first, slack = [], [], []
             for i, s in enumerate(sets):
                 same = (int(a[i]), int(b[i]), len(s))
                 # A copy met before in this task sends no keys again: copies are joined by their set, see classes.
                 if not len(s) or not ids[i].is_valid or same in seen:
                     keys.append(np.zeros(0, np.int64))
+                    first.append(0)
+                    slack.append([])
                     continue
                 if len(seen) < 200_000:
                     seen.add(same)
-                keys.append(router.keys(s).view(np.int64))
+                own, step, spare = router.keys_and_slack(s)
+                keys.append(own.view(np.int64))
+                first.append(step)
+                slack.append(spare)
             sizes = np.array([len(s) for s in sets], np.int64)
             at = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             # Only a row that sends keys can be asked for its text.
             silent = np.array([not len(x) for x in keys])
             text = batch.column(1).take(pa.array(np.arange(len(keys)), mask=silent))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys))), text], names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(sizes), pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys))), pa.array(first, pa.int32()), pa.array(slack, pa.list_(pa.int32())), text],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "first_step", "slack", "text"],
+            )
 
     return run
 
@@ -357,7 +391,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = id_text(docs, id_col, text_col)
     # Rows get a number of their own, so an id with several texts is several nodes of the graph. Numbers rise within a task: of equal sets the least
     # number has sent keys.
-    signed = texts.mapInArrow(_sign(k, num, den), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>, text string")
+    signed = texts.mapInArrow(_sign(k, num, den), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>, first_step int, slack array<int>, text string")
     signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     # Equal sets are one node: its least row.
     same = ["set_a", "set_b", "n_shingles"]
@@ -368,12 +402,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     routed = signed.select(F.explode("keys").alias("key"), "row").repartitionByRange("key", "row").sortWithinPartitions("key", "row")
     members = routed.mapInArrow(_repeated, "key bigint, node bigint").join(copies.select(F.col("row").alias("node"), F.col("node").alias("first")), "node", "left")
     members = materialize(members.select("key", F.coalesce("first", "node").alias("node")).distinct(), "keys")
+    # A text leaves out its most frequent keys, as many as its slack; all texts rank keys alike.
+    counts = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    step = F.col("key").bitwiseAND((1 << STEP_BITS) - 1).cast("int")
+    by_count = F.row_number().over(Window.partitionBy("node", "step").orderBy(F.desc("n"), "key"))
+    ranked = join_apart(members, counts, "key").select("key", "node", step.alias("step"), "n").withColumn("nth", by_count)
+    spare = signed.where("text IS NOT NULL").select(F.col("row").alias("node"), "first_step", "slack")
+    members = ranked.join(spare, "node").where(F.col("nth") > F.get("slack", F.col("step") - F.col("first_step"))).select("key", "node")
+    members = materialize(members, "rare")
     leads = materialize(members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
     members = materialize(join_apart(members, leads, "key").where("node <> lead").select("lead", "node").distinct(), "members")
 
     nodes = materialize(members.select("node").union(members.select("lead")).distinct(), "nodes")
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    points = signed.where("text IS NOT NULL").select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
+    points = _of(signed.where("text IS NOT NULL").select(F.col("row").alias("node"), "text"), nodes)
     points = materialize(points.mapInArrow(_vectors(k), "node bigint, size int, vector binary, text string"), "points")
     vectors, near = points.select("node", "size", "vector"), points.select("node", "text")
     # The texts of a node are dealt to tiles; its lead stands in each.
@@ -386,8 +427,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Every pair that a tree reaches is tested. The text of a partner of many is sent to as many tasks as it has pairs by PARTNER_PAIRS.
     salts = reach.groupBy("b").agg(F.ceil(F.count("*") / PARTNER_PAIRS).alias("salts")).where("salts > 1")
     pairs = reach.join(salts, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).alias("salt"))
-    heads = near.toDF("b", "y").join(salts, "b", "left").select("b", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    tested = pairs.join(near.toDF("a", "x"), "a").join(heads, ["b", "salt"]).select("a", "b", "x", "y")
+    heads = _of(near, reach.select(F.col("b").alias("node"))).toDF("b", "y").join(salts, "b", "left").select("b", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    tested = pairs.join(_of(near, reach.select(F.col("a").alias("node"))).toDF("a", "x"), "a").join(heads, ["b", "salt"]).select("a", "b", "x", "y")
     links = tested.mapInArrow(_verify(k, num, den), "a bigint, b bigint")
     found = components(links.unionByName(_same_id(live, copies)), "a", "b")
 
@@ -400,7 +441,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tiles = _tiles(join_apart(named, open_, "lead").select("lead", "node", "component")).join(vectors, "node").select(*_TILE, "node", "component", "probe", "size", "vector")
         tiles = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE)
         tiles = materialize(tiles.mapInArrow(_reached(num, den), "lead bigint, i bigint, j bigint, within boolean, node bigint, component bigint, probe boolean"), "tiles")
-        more = materialize(tiles.join(near, "node").groupBy(*_TILE).applyInPandas(_search_tile(k, num, den), "a bigint, b bigint"), "links")
+        more = materialize(tiles.join(_of(near, tiles.select("node")), "node").groupBy(*_TILE).applyInPandas(_search_tile(k, num, den), "a bigint, b bigint"), "links")
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
 
@@ -413,6 +454,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``texts`` of some nodes, so that no other text is exchanged."""
+    nodes = nodes.distinct()
+    return texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node", "left_semi")
+
+
 def _same_id(live: DataFrame, copies: DataFrame) -> DataFrame:
     """Links (a, b) between the nodes of ids that have several: with the least of the id."""
     again = live.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
