@@ -2,11 +2,14 @@
 
 The splitter is a state machine over pages in order, told as sums over windows: a page that carries a label (from its sixth on) belongs
 to that label until the next; a cut falls where the label changes and more than three pages have gathered since the cut before.
-As a cut hangs on the one before it, stretches of one label (few, however many pages there are) are folded in order within their file.
+As a cut hangs on the one before it, stretches of one label are folded in order within their file, as a stream of narrow rows: one pass, a number held.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,21 @@ def as_of(text: Column) -> Column:
     return F.try_to_timestamp(F.concat(F.regexp_extract(said, r"^(\d+/\d+/)", 1), full), F.lit("M/d/yyyy")).cast("date")
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The section of each stretch (file, stretch, n), rows sorted by file and stretch. Nothing is cut before the first label, nor at it."""
+    file, held, nth = None, 0, 0
+    for batch in batches:
+        found = []
+        for name, stretch, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if name != file:
+                file, held, nth = name, 0, 0
+            if stretch > 1 and held > MOST_KEPT:
+                held, nth = 0, nth + 1
+            held += n
+            found.append(nth)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["file", "stretch", "nth"])
+
+
 def split_manual(pages: DataFrame, file: str = "file", page: str = "page", text: str = "text") -> DataFrame:
     """Sections of manuals from rows (file, page from 0, text): file, nth, section, subject, first_page, page_count, filename, full_text.
 
@@ -52,16 +70,9 @@ def split_manual(pages: DataFrame, file: str = "file", page: str = "page", text:
     before = F.last("label", ignorenulls=True).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("stretch", F.sum(F.when(F.col("label").isNotNull() & (before.isNull() | (F.col("label") != before)), 1).otherwise(0)).over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     stretches = rows.groupBy("file", "stretch").agg(F.count("*").alias("n"))
-    # Fold: (gathered, cuts) over the stretches in order. Nothing is cut before the first label, nor at it.
-    gathered = F.array_sort(F.collect_list(F.struct("stretch", "n")))
-    start = F.struct(F.lit(0).cast("bigint").alias("held"), F.array().cast("array<bigint>").alias("cuts"))
-
-    def step(state: Column, s: Column) -> Column:
-        cut = (s["stretch"] > 1) & (state["held"] > MOST_KEPT)
-        return F.struct(F.when(cut, s["n"]).otherwise(state["held"] + s["n"]).alias("held"), F.when(cut, F.concat(state["cuts"], F.array(s["stretch"]))).otherwise(state["cuts"]).alias("cuts"))
-
-    cuts = stretches.groupBy("file").agg(F.aggregate(gathered, start, step)["cuts"].alias("cuts"))
-    rows = rows.join(cuts, "file").withColumn("nth", F.size(F.filter("cuts", lambda c: c <= F.col("stretch"))))
+    stretches = stretches.where("file IS NOT NULL").repartition("file").sortWithinPartitions("file", "stretch")
+    sections = stretches.mapInArrow(_folded, f"file {dict(rows.dtypes)['file']}, stretch bigint, nth int")
+    rows = rows.join(sections, ["file", "stretch"])
     parts = rows.groupBy("file", "nth").agg(
         F.max_by("label", F.when(F.col("label").isNotNull(), F.col("i"))).alias("section"),
         F.max_by("subject", F.when(F.col("label").isNotNull(), F.col("i"))).alias("subject"),

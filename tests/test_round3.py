@@ -21,3 +21,35 @@ def test_dockets_of_long_numbers(spark, tmp_path):
     rows = ", ".join(f"({k}, 'Customer#{k:09d}')" for k in keys)
     sf_dir = made(tmp_path, "customer", f"SELECT c_custkey::BIGINT AS c_custkey, c_name FROM (VALUES {rows}, (7, NULL), (NULL, 'Nobody')) c(c_custkey, c_name)")
     same(QUERIES["docket_extract"](spark, sf_dir), connect(sf_dir), SQL["docket_extract"])
+
+
+def test_dear_fields_are_named_once_and_spread(spark, tmp_path):
+    """A small file is worked on by many tasks, and no expression of a letter holds the text's regular expressions over and over."""
+    sf_dir = made(tmp_path, "orders", "SELECT i::BIGINT AS o_orderkey, (i % 7)::BIGINT AS o_custkey, TIMESTAMP '1996-03-01' + to_days((i % 900)::INT) AS o_orderdate FROM range(300) t(i)")
+    made(tmp_path, "customer", "SELECT i::BIGINT AS c_custkey FROM range(300) t(i)")
+    for name in ("experience_letters", "wage_forms", "bulletin_cells"):
+        rows = QUERIES[name](spark, sf_dir)
+        assert "RepartitionByExpression" in (plan := rows._jdf.queryExecution().optimizedPlan().toString()) or "Repartition " in plan
+        same(rows, connect(sf_dir), SQL[name])
+
+
+def test_manuals_are_cut_like_a_walk_over_their_pages(spark):
+    import random
+
+    from ledgerloom.functions.manuals import split_manual
+
+    random.seed(5)
+    pages = [(f, p, f"Volume {random.choice('123')}, Part A – S\nx" if random.random() < 0.5 else "x") for f in (1, 2, 3) for p in range(400)]
+    want = []
+    for f in (1, 2, 3):
+        label, held, sizes = None, 0, [0]
+        for p, text in [(p, t) for g, p, t in pages if g == f]:
+            now = text.split(" – ")[0].strip() if p > 5 and text.startswith("Volume") else None
+            if now and label and now != label and held > 3:
+                sizes.append(0)
+                held = 0
+            label, held, sizes[-1] = now or label, held + 1, sizes[-1] + 1
+        want += [(f, i, n) for i, n in enumerate(sizes)]
+    rows = split_manual(spark.createDataFrame(pages, "file int, page int, text string"))
+    assert sorted((r.file, r.nth, r.page_count) for r in rows.collect()) == want
+    assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()
