@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows over all cores: narrow rows of a small file would else be worked on by one task, however much each costs."""
+    return rows.repartition(max(64, 4 * rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def perm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases: an order with its customer; nation and customer are small dimensions of it."""
     o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
