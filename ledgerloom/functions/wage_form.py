@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 # How a checked box is rendered, and what can be checked, in order of precedence.
 CHECK = "[✘✗☒☑✔✓x]"
 DEGREES = (
@@ -75,11 +77,19 @@ def addendum(pages: Column, section: str) -> Column:
 
 
 def _degree(block: Column) -> Column:
+    return let(block, _checked_degree)
+
+
+def _checked_degree(block: Column) -> Column:
     out = reduce(lambda out, d: out.when(block.rlike(rf"(?i){CHECK}\s*(?:{d[0]})\b"), d[1]), DEGREES[1:], F.when(block.rlike(rf"(?i){CHECK}\s*(?:{DEGREES[0][0]})\b"), DEGREES[0][1]))
     return F.coalesce(out, F.when(block.rlike(r"\bNone\b"), "None"))
 
 
 def _unit(block: Column) -> Column:
+    return let(block, _checked_unit)
+
+
+def _checked_unit(block: Column) -> Column:
     out = reduce(lambda out, u: out.when(block.rlike(rf"(?i){CHECK}\s*{u}"), u), UNITS[1:], F.when(block.rlike(rf"(?i){CHECK}\s*{UNITS[0]}"), UNITS[0]))
     return F.coalesce(out, F.lit("Year"))
 
@@ -103,28 +113,31 @@ def fields(pages: Column) -> Column:
     Null pages are empty ones. ``travel`` is yes only where Yes is checked and No isn't; ``wage`` has its unit, a year where none is checked in the
     three lines below its label.
     """
-    pages = F.transform(F.coalesce(pages, F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit("")))
+    return let(F.transform(F.coalesce(pages, F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit(""))), _fields)
+
+
+def _fields(pages: Column) -> Column:
     new = _joined(pages, 0, 6).rlike(NEW_LAYOUT)
 
     def read(form: Layout) -> Column:
-        body = _joined(pages, *form.body)
+        return let(_joined(pages, *form.body), lambda body: fields_of(form, body))
+
+    def fields_of(form: Layout, body: Column) -> Column:
         title = _clean(_read(body, r"(?i)1\.\s*Job title\s*\*?\s*(?:\n|[ \t]{2,})([^\n*]{2,80})"))
         duties, skills = _read(body, form.duties), _read(body, form.skills)
         more_duties, more_skills = addendum(pages, form.duties_addendum), addendum(pages, form.skills_addendum)
         if form is NEW:
-            duties, skills = (F.coalesce(more, F.when(~own.rlike(ELSEWHERE), own)) for own, more in ((_clean(duties), more_duties), (_clean(skills), more_skills)))
+            duties, skills = (F.coalesce(more, let(_clean(own), lambda own: F.when(~own.rlike(ELSEWHERE), own))) for own, more in ((duties, more_duties), (skills, more_skills)))
             wages = F.when(F.size(pages) > 4, _joined(pages, 4, 3)).otherwise(F.array_join(pages, "\n"))
         else:
-            own = _old_answer(duties, "begin in this space")
-            duties = F.when(own.isNull() | own.rlike(ELSEWHERE), F.coalesce(more_duties, own)).otherwise(own)
-            own = _old_answer(skills, "job opportunity")
-            skills = F.when(more_skills.isNull() | F.contains(F.coalesce(own, F.lit("")), more_skills), own).otherwise(F.concat_ws("\n\n", own, more_skills))
+            duties = let(_old_answer(duties, "begin in this space"), lambda own: F.when(own.isNull() | own.rlike(ELSEWHERE), F.coalesce(more_duties, own)).otherwise(own))
+            both = F.struct(_old_answer(skills, "job opportunity").alias("own"), more_skills.alias("more"))
+            skills = let(both, lambda s: F.when(s["more"].isNull() | F.contains(F.coalesce(s["own"], F.lit("")), s["more"]), s["own"]).otherwise(F.concat_ws("\n\n", s["own"], s["more"])))
             wages = F.coalesce(F.get(pages, F.lit(3)), F.lit(""))
-        block = _read(body, form.travel)
-        goes = F.coalesce(block.rlike(rf"(?i){CHECK}\s*Yes") & ~block.rlike(rf"(?i){CHECK}\s*No"), F.lit(False))
+        goes = F.coalesce(let(_read(body, form.travel), lambda block: block.rlike(rf"(?i){CHECK}\s*Yes") & ~block.rlike(rf"(?i){CHECK}\s*No")), F.lit(False))
         city, state = _place(body, form.state_label)
-        amount = F.replace(_read(wages, *form.wages), F.lit(","), F.lit(""))
-        wage = F.concat(F.lit("$"), F.coalesce(F.format_number(amount.try_cast("double"), 0), amount), F.lit(" / "), _unit(F.coalesce(_read(wages, form.unit), F.lit(""))))
+        amount = lambda wages: let(F.replace(_read(wages, *form.wages), F.lit(","), F.lit("")), lambda a: F.coalesce(F.format_number(a.try_cast("double"), 0), a))
+        wage = let(wages, lambda wages: F.concat(F.lit("$"), amount(wages), F.lit(" / "), _unit(F.coalesce(_read(wages, form.unit), F.lit("")))))
         return F.struct(
             F.lit("new" if form is NEW else "old").alias("layout"), title.alias("job_title"), city.alias("city"), state.alias("state"), F.when(goes, "yes").otherwise("no").alias("travel"), duties.alias("duties"),
             _degree(F.coalesce(_read(body, form.education), body)).alias("degree"), skills.alias("skills"), wage.alias("wage"),

@@ -22,7 +22,7 @@ from ..operators.series import forward_fill
 from ..sources.disclosure_files import first_by_file
 from ..sources.scratch import folder
 from ..sources.site_links import statute_sections
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..streaming.activity import once_over
 from .registry import query
 
@@ -185,7 +185,7 @@ def _text(*parts) -> Column:
   'Does task ' || o_orderkey || '.' AS duties, CASE o_orderkey % 3 WHEN 0 THEN 'Bachelor''s' WHEN 1 THEN 'Master''s' ELSE 'None' END AS degree, '$' || format('{:,}', 50000 + o_custkey) || ' / ' || CASE WHEN o_orderkey % 5 = 0 THEN 'Month' ELSE 'Year' END AS wage FROM orders""")
 def wage_forms(spark, sf_dir):
     """Forms of both layouts laid over orders, long answers of every second one in an addendum."""
-    o = table(spark, sf_dir, "orders").withColumn("new", F.col("o_orderkey") % 2 == 0)
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).withColumn("new", F.col("o_orderkey") % 2 == 0)
     key, wage = F.col("o_orderkey").cast("string"), (50000 + F.col("o_custkey")).cast("string")
     box = lambda on, label: _text(F.when(on, "☒ ").otherwise("☐ "), label)
     goes, unit = F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 5 == 0
@@ -209,7 +209,7 @@ def _spans(spark, sf_dir) -> DataFrame:
   (o_orderkey % 30)::INT AS months, CASE WHEN o_orderkey % 2 = 0 THEN 'Java,Python' ELSE 'SQL' END AS skills FROM orders""")
 def experience_letters(spark, sf_dir):
     """Letters laid over orders, read back."""
-    rows = _spans(spark, sf_dir)
+    rows = spread(_spans(spark, sf_dir))
     said = _text("Board ", F.col("who").cast("string"), "\n\nThis is to certify that work was done here.\nWe employed Ann Bell as a Clerk, from ", F.date_format("start", "MMMM d, yyyy"), " to ", F.date_format("end", "MM/yyyy"), ".\nDuties:\nUsed ", F.when(F.col("o_orderkey") % 2 == 0, "Python and Java").otherwise("SQL"), " daily.\nSincerely,\n")
     f = rows.select("o_orderkey", letters.fields(said, F.lit("2000-01-01").cast("date")).alias("f")).select("o_orderkey", "f.*")
     return f.select("o_orderkey", "employer", "beneficiary", "job_title", F.col("span.start").cast("string").alias("start_month"), F.col("span.end").cast("string").alias("end_month"), F.col("span.months").alias("months"), F.array_join("skills", ",").alias("skills"))
