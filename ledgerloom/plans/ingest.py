@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import bulletins, disclosure_files, dumps, search_pages, sheets, sinks
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 BASE = "https://example.org"
@@ -47,7 +47,7 @@ def _bulletins(spark, sf_dir) -> DataFrame:
     row = "concat('<tr><td>', if(c_custkey % 2 = 0, '1st', 'Certain Religious Workers'), '</td><td>C</td><td>', printf('%02dJAN%02d', 1 + c_custkey % 28, c_custkey % 100), '</td><td>U</td></tr>')"
     head = "<tr><th>Employment-based</th><th>All Chargeability Areas Except Those Listed</th><th>CHINA-mainland born</th><th>Ruritania</th></tr>"
     body = f"concat('<div><h3>FINAL ACTION DATES FOR EMPLOYMENT-BASED PREFERENCE CASES</h3><table>{head}', {row}, '</table><p>Family-sponsored preference</p><table><tr><td>x</td></tr></table></div>')"
-    pages = spark.sql(f"SELECT c_custkey AS page, {body} AS body FROM {{customer}}", customer=table(spark, sf_dir, "customer"))
+    pages = spark.sql(f"SELECT c_custkey AS page, {body} AS body FROM {{customer}}", customer=spread(table(spark, sf_dir, "customer").select("c_custkey")))
     return bulletins.bulletin_rows(pages, "page", "body")
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.extract import priority_cell
 
 # Row labels of both categories and column heads, tried whole first, then as parts in this order.
@@ -31,7 +32,10 @@ _VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "
 
 
 def _named(raw: Column, names: tuple[tuple[str, str], ...]) -> Column:
-    key = F.regexp_replace(F.btrim(F.trim(F.lower(raw)), F.lit("*")), "(?U)\\s+", " ")
+    return let(F.regexp_replace(F.btrim(F.trim(F.lower(raw)), F.lit("*")), "(?U)\\s+", " "), lambda key: _name_of(key, names))
+
+
+def _name_of(key: Column, names: tuple[tuple[str, str], ...]) -> Column:
     tests = [(key == k, v) for k, v in names] + [(key.contains(k), v) for k, v in names]
     out = F.when(*tests[0])
     for test, value in tests[1:]:
