@@ -14,7 +14,7 @@ from ..functions.markup import article_text, links
 from ..operators import graph as G
 from ..operators.search import STOP_WORDS, analyzed, bm25, composite_rank, headline, match_or_like, parse_query, postings, text_matches, weighted_score
 from ..operators.vector import cosine, top_k
-from ..sources.tables import table
+from ..sources.tables import small_batches, table
 from .registry import query
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -243,7 +243,7 @@ def chunk_reassemble(spark, sf_dir):
 
 @query()
 def chunk_paragraphs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunks(F.regexp_replace("text", "\n", "\n\n"), 200, 20)).alias("c"))
+    docs = small_batches(table(spark, sf_dir, "documents")).select("doc_id", F.explode(chunks(F.regexp_replace("text", "\n", "\n\n"), 200, 20)).alias("c"))
     return docs.select("doc_id", "c.*")
 
 
@@ -261,7 +261,7 @@ def html_links(spark, sf_dir):
 
 @query()
 def html_text(spark, sf_dir):
-    return article_text(table(spark, sf_dir, "pages"))
+    return article_text(small_batches(table(spark, sf_dir, "pages")))
 
 
 @query()

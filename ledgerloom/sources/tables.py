@@ -15,6 +15,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(64, 4 * rows.sparkSession.sparkContext.defaultParallelism))
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """The same rows, which go to Python in batches of 4 MB and 1000 rows at most: memory of a task hangs on neither the table nor the lengths of its texts."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return rows
+
+
 def perm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases: an order with its customer; nation and customer are small dimensions of it."""
     o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))

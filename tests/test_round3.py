@@ -53,3 +53,14 @@ def test_manuals_are_cut_like_a_walk_over_their_pages(spark):
     rows = split_manual(spark.createDataFrame(pages, "file int, page int, text string"))
     assert sorted((r.file, r.nth, r.page_count) for r in rows.collect()) == want
     assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["chunk_paragraphs", "html_text"])
+def test_texts_go_to_python_in_small_batches(spark, name):
+    from .oracle import DATA
+
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    assert QUERIES[name](spark, DATA).count() > 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
