@@ -14,6 +14,8 @@ both agree to the end, as pieces hang on nothing before their start. A chunk tha
 from __future__ import annotations
 
 import hashlib
+import pickle
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -94,7 +96,7 @@ class ChunkCoder:
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
         self.digits = [str(i) for i in range(size)]
-        self.shared: dict[bytes, tuple] = {}
+        self.shared: dict[bytes, bytes] = {}  # pickled: they are read on use, so a worker holds no second copy of the broadcast
         self.store: dict[bytes, tuple] = {}
         self.held = 0
 
@@ -104,7 +106,7 @@ class ChunkCoder:
         return self.plain("".join(pieces[: len(pieces) - apart])) + (self.plain(pieces[-1]) if apart else [])
 
     def made(self, raw: bytes) -> tuple:
-        """(text,) of a chunk of few pieces, else (text, its first pieces, where each begins in the ids, ids but of the last two pieces, these two as text)."""
+        """() of a chunk of few pieces, else (its first pieces, where each begins in the ids, ids but of the last two pieces, these two as text)."""
         text = raw.decode()
         pieces = [m[0] for m in islice(self.scan(text), HEAD)]
         start, head, at = sum(map(len, pieces)), [], [0]
@@ -119,7 +121,7 @@ class ChunkCoder:
         if len(tail) < 3:
             tail = self.pieces(text[start:])
         if len(pieces) < HEAD or len(tail) < 3:
-            return (text,)
+            return ()
         for piece in pieces:
             head += self.plain(piece)
             at.append(len(head))
@@ -127,11 +129,13 @@ class ChunkCoder:
         inner = text[start : len(text) - len(last)]
         apart = tail[-3] if tail[-3][-1].isspace() else ""
         ids = head + self.plain(inner[: len(inner) - len(apart)]) + (self.plain(apart) if apart else [])
-        return text, pieces, at, ids, last
+        return pieces, at, array("i", ids), last
 
     def chunk(self, raw: bytes) -> tuple:
         key = digest(raw)
-        found = self.shared.get(key) or self.store.get(key)
+        if key in self.shared:
+            return pickle.loads(self.shared[key])
+        found = self.store.get(key)
         if found is None:
             if self.held > STORE_BYTES:
                 self.store.clear()
@@ -157,12 +161,13 @@ class ChunkCoder:
 
         for part in chunks(raw, at):
             found = self.chunk(part)
-            if len(found) == 1:
-                open_.append(found[0])
-                if len(self.pieces(found[0])) > 1:
+            if not found:
+                text = part.decode()
+                open_.append(text)
+                if len(self.pieces(text)) > 1:
                     settle()
                 continue
-            text, head, starts, ids, last = found
+            head, starts, ids, last = found
             agreed = 0 if not open_ else None
             before = "".join(open_)
             for n in (2, 4, HEAD) if open_ else ():
@@ -172,7 +177,7 @@ class ChunkCoder:
                     agreed = n - 1
                     break
             if agreed is None:
-                open_.append(text)
+                open_.append(part.decode())
                 settle()
             else:
                 out += ids[starts[agreed] :]
@@ -229,8 +234,6 @@ def _texts_of(wanted):
 
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         code = coder(path)
         for batch in batches:
             made = [pickle.dumps(code.made(raw)) for raw in batch.column(1).to_pylist()]
@@ -252,11 +255,8 @@ def shared_chunks(texts: DataFrame, tokenizer: str) -> dict[bytes, bytes]:
 
 def _rows(path: str, with_ids: bool, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         code = coder(path)
-        if getattr(code, "shared_of", None) is not shared.value:
-            code.shared_of, code.shared = shared.value, {k: pickle.loads(v) for k, v in shared.value.items()}
+        code.shared = shared.value
         for batch in slices(batches):
             data, at = text_bytes(batch.column(1))
             raw, out = data.tobytes(), []
