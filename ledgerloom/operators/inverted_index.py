@@ -2,6 +2,8 @@
 
 Layout, as tables under one path:
 
+* ``runs`` (term, block, ats, lens, ends, places, ids): what a task finds in a block, one row for each term with the block's texts that have it as
+  flat lists, and one without a term for all its texts. The other tables are made from it, so places of words are exchanged once, a block at a time.
 * ``docs`` (ordinal, id, and the length of each field). Ordinals follow the ids; 128 of them make a block.
 * ``postings`` (part, term, block, top, entries): one row for a term in a block, with the ordinals, impacts and positions of its texts there and
   the largest impact. Rows are sorted by term and block and dealt by range to ``part`` folders, so a query reads the folders of its terms; a
@@ -14,17 +16,24 @@ terms of impact by inverse document frequency. A block's largest score is at mos
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stem import stem, stems
+from ..functions.bind import let
+from ..functions.stem import stem
 from ..sources.scratch import kept
-from .search import STOP_WORDS, Query, analyzed, parse_query
+from ..sources.tables import small_batches
+from .search import STOP_WORDS, Query, parse_query
 
 BLOCK_BITS, FIELD_BITS = 7, 32
+#: Words whose stems a task keeps; beyond it the store starts anew.
+STEMS_KEPT = 200_000
 K1, B = 1.2, 0.75
 
 
@@ -41,6 +50,63 @@ class Index:
         return stem(word) if self.stemmed else word
 
 
+RUNS = "term string, block bigint, ats array<int>, lens array<int>, ends array<int>, places array<bigint>"
+
+
+def _inverted(stemmed: bool):
+    """Texts (ordinal, id, lower-case fields) as ``runs``. A task holds one block of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, stem_of = re.compile("[a-z0-9]+").findall, {}
+        block, ids, all_ats, all_lens, found, id_type = None, [], [], [], {}, None
+
+        def out() -> pa.RecordBatch:
+            ints, longs, n = pa.list_(pa.int32()), pa.list_(pa.int64()), len(found) + 1
+            lists = [*found.values(), (all_ats, all_lens, [], [])]
+            columns = [pa.array([*found, None], pa.string()), pa.array([block] * n, pa.int64()), *(pa.array([x[i] for x in lists], longs if i == 3 else ints) for i in range(4))]
+            columns.append(pa.array([None] * (n - 1) + [ids], pa.list_(id_type)))
+            return pa.RecordBatch.from_arrays(columns, names=["term", "block", "ats", "lens", "ends", "places", "ids"])
+
+        for batch in batches:
+            id_type = batch.column(1).type
+            for ordinal, key, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ordinal >> BLOCK_BITS != block:
+                    if ids:
+                        yield out()
+                    block, ids, all_ats, all_lens, found = ordinal >> BLOCK_BITS, [], [], [], {}
+                said: dict[str, list[int]] = {}
+                lens = []
+                for i, text in enumerate(texts):
+                    every = words(text)
+                    lens.append(len(every))
+                    for place, word in enumerate(every, i << FIELD_BITS):
+                        if word not in STOP_WORDS:
+                            said.setdefault(word, []).append(place)
+                if stemmed:
+                    by_stem: dict[str, list[int]] = {}
+                    for word, places in said.items():
+                        if word not in stem_of:
+                            if len(stem_of) >= STEMS_KEPT:
+                                stem_of.clear()
+                            stem_of[word] = stem(word)
+                        by_stem.setdefault(stem_of[word], []).extend(places)
+                    said = {term: sorted(places) for term, places in by_stem.items()}
+                at = ordinal & ((1 << BLOCK_BITS) - 1)
+                for term, places in said.items():
+                    run_ = found.setdefault(term, ([], [], [], []))
+                    run_[0].append(at)
+                    run_[1].extend(lens)
+                    run_[3].extend(places)
+                    run_[2].append(len(run_[3]))
+                ids.append(key)
+                all_ats.append(at)
+                all_lens.extend(lens)
+        if ids:
+            yield out()
+
+    return run
+
+
 def build(docs: DataFrame, id_col: str, fields: dict[str, float], path: str, stemmed: bool = True, parts: int = 64) -> Index:
     """Write the index of ``docs`` under ``path`` and open it.
 
@@ -49,29 +115,35 @@ def build(docs: DataFrame, id_col: str, fields: dict[str, float], path: str, ste
     index. ``parts`` is the number of ranges of terms.
     """
     spark, names = docs.sparkSession, list(fields)
-    ordered = docs.select(F.col(id_col).alias("id"), *(analyzed(F.col(f)).alias(f"w{i}") for i, f in enumerate(names))).repartitionByRange("id").sortWithinPartitions("id")
-    words = kept(ordered.select(F.monotonically_increasing_id().alias("ordinal"), "*"), f"{path}/words")
-    lengths = [F.size(f"w{i}").cast("bigint").alias(f"len{i}") for i in range(len(names))]
-    kept(words.select("ordinal", "id", *lengths).repartitionByRange("ordinal").sortWithinPartitions("ordinal"), f"{path}/docs")
-    facts = kept(words.agg(F.count("*").alias("texts"), F.lit(stemmed).alias("stemmed"), *(F.avg(F.size(f"w{i}")).alias(f"avg{i}") for i in range(len(names)))), f"{path}/facts").first()
-
-    norms = [K1 * (1 - B + B * F.size(f"w{i}") / F.lit(max(facts[f"avg{i}"] or 1.0, 1e-9))) for i in range(len(names))]
-    said = [words.select("ordinal", F.array(*norms).alias("norms"), F.posexplode(f"w{i}").alias("pos", "word"), F.lit(i).alias("field")) for i in range(len(names))]
-    said = reduce(DataFrame.unionByName, said).where(~F.col("word").isin(*sorted(STOP_WORDS)))
-    place = F.shiftleft(F.col("field").cast("bigint"), FIELD_BITS) + F.col("pos")
-    rows = said.groupBy("word", "ordinal").agg(F.collect_list(place).alias("places"), F.first("norms").alias("norms"))
-    if stemmed:
-        rows = rows.join(kept(stems(rows.select("word")), f"{path}/stems"), "word")
-        rows = rows.groupBy("term", "ordinal").agg(F.flatten(F.collect_list("places")).alias("places"), F.first("norms").alias("norms"))
-    else:
-        rows = rows.withColumnRenamed("word", "term")
-    impact: Column = F.lit(0.0)
-    for i, weight in enumerate(fields.values()):
-        tf = F.size(F.filter("places", lambda p: F.shiftright(p, FIELD_BITS) == i))  # noqa: B023
-        impact = impact + F.lit(float(weight)) * tf * (K1 + 1) / (tf + F.element_at("norms", i + 1))
-    rows = rows.select("term", F.shiftright("ordinal", BLOCK_BITS).alias("block"), F.struct("ordinal", impact.alias("impact"), F.array_sort("places").alias("places")).alias("entry"))
-    blocks = rows.groupBy("term", "block").agg(F.max("entry.impact").alias("top"), F.array_sort(F.collect_list("entry")).alias("entries"))
-    dealt = blocks.repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block").withColumn("part", F.spark_partition_id())
+    texts = [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"t{i}") for i, f in enumerate(names)]
+    ordered = docs.select(F.col(id_col).alias("id"), *texts).repartitionByRange("id").sortWithinPartitions("id")
+    numbered = small_batches(ordered.select(F.monotonically_increasing_id().alias("ordinal"), "*"))
+    found = numbered.mapInArrow(_inverted(stemmed), f"{RUNS}, ids array<{ordered.schema['id'].dataType.simpleString()}>")
+    runs = kept(found, f"{path}/runs")
+
+    held = runs.where("term IS NULL").select("block", "ats", "lens", F.posexplode("ids").alias("i", "id"))
+    lengths = [F.get("lens", F.col("i") * len(names) + i).cast("bigint").alias(f"len{i}") for i in range(len(names))]
+    rows = held.select((F.shiftleft("block", BLOCK_BITS) + F.get("ats", F.col("i"))).alias("ordinal"), "id", *lengths)
+    rows = kept(rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal"), f"{path}/docs")
+    facts = kept(rows.agg(F.count("*").alias("texts"), F.lit(stemmed).alias("stemmed"), *(F.avg(f"len{i}").alias(f"avg{i}") for i in range(len(names)))), f"{path}/facts").first()
+
+    def impact(nth: Column, places: Column) -> Column:
+        out: Column = F.lit(0.0)
+        for i, weight in enumerate(fields.values()):
+            tf = F.size(F.filter(places, lambda p: F.shiftright(p, FIELD_BITS) == i)) if len(names) > 1 else F.size(places)  # noqa: B023
+            norm = K1 * (1 - B + B * F.get("lens", nth * len(names) + i) / F.lit(max(facts[f"avg{i}"] or 1.0, 1e-9)))
+            out = out + F.lit(float(weight)) * tf * (K1 + 1) / (tf + norm)
+        return out
+
+    def entry(nth: Column) -> Column:
+        before = F.when(nth > 0, F.get("ends", nth - 1)).otherwise(0)
+        ordinal = F.shiftleft("block", BLOCK_BITS) + F.get("ats", nth)
+        return let(F.slice("places", before + 1, F.get("ends", nth) - before), lambda places: F.struct(ordinal.alias("ordinal"), impact(nth, places).alias("impact"), places.alias("places")))
+
+    # Rows are exchanged and sorted as flat lists; entries are made of them as they are written.
+    blocks = runs.where("term IS NOT NULL").drop("ids").repartitionByRange(parts, "term", "block").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "term", "block")
+    blocks = blocks.select("term", "block", F.transform(F.sequence(F.lit(0), F.size("ats") - 1), entry).alias("entries"), "part")
+    dealt = blocks.select("term", "block", F.array_max("entries.impact").alias("top"), "entries", "part")
     dealt.write.partitionBy("part").parquet(f"{path}/postings")
     postings = _read_postings(spark, path, dealt)
     kept(postings.groupBy("term").agg(F.sum(F.size("entries")).alias("df")).repartitionByRange("term").sortWithinPartitions("term"), f"{path}/terms")

@@ -64,3 +64,25 @@ def test_texts_go_to_python_in_small_batches(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+@pytest.mark.parametrize("stemmed", [True, False])
+def test_an_index_exchanges_little_more_than_its_texts(spark, tmp_path, stemmed):
+    import random
+
+    from ledgerloom.operators import inverted_index as I
+
+    def shuffled() -> int:
+        jvm = spark.sparkContext._jvm
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) + rng.choice(["", "s", "ing"]) for _ in range(3000)]
+    texts = [(i if i % 50 else None, " ".join(words[int(3000 * rng.random() ** 2)] for _ in range(1500))) for i in range(400)]
+    before = shuffled()
+    index = I.build(spark.createDataFrame(texts, "id bigint, body string").repartition(3), "id", {"body": 1.0}, str(tmp_path / "index"), stemmed=stemmed, parts=8)
+    assert index.texts == 400 and shuffled() - before < 6 * sum(len(t) for _, t in texts)
+    assert index.postings.count() == index.postings.select("term", "block").distinct().count()
+    found = I.matching(index, words[7]).collect()
+    assert len(found) == sum(any(index.analyse(w) == index.analyse(words[7]) for w in t.split()) for _, t in texts)
