@@ -13,9 +13,10 @@ A branch whose node and descendants all are of low composite importance is remov
 elsewhere a text goes if it is of low importance itself and its node's presentation doesn't save it. What a host says is blended with
 what all hosts say, by m / (m + PRIOR_PAGES), so that hosts of few bodies are judged by the others, without a step.
 
-Menus, notices and the like that vary from page to page, reader comments above all, no entropy tells from an article: these go
-by tag, or by words of class as a prior, which a wrapper of the article overrides. Where a page marks its article, and no
-longer text stands beside it, only that is read, and all of it.
+The tree is of whole pages: marked articles, chrome and all between enter it and are judged. A prior is then added to the importance of a
+text, as its place on the page says. Menus, notices and the like that vary from page to page, reader comments above all, no entropy tells
+from an article: tags and words of class, which a wrapper of the article overrides, take 1 from it, as a marked article does from
+what stands beside it, unless longer text stands there. Text within a marked article gains 1, so what recurs there stays.
 """
 
 from __future__ import annotations
@@ -175,13 +176,22 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
     return [(path, text, hard or not clear.issuperset(wraps), article) for path, text, hard, article, wraps in found]
 
 
-def content(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str]]]:
-    """(style path, text, within an article) of the blocks that are no chrome, of a marked article only these; and (style
-    path, children) of the elements outside of articles and chrome."""
+#: What a block's place adds to the importance of its text.
+CHROME, OPEN, ARTICLE = -1, 0, 1
+
+
+def whole(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]:
+    """(style path, text, prior) of all blocks of a page, and (style path, children) of all its elements."""
     found, elements, wrappers = _scan(page)
     clear, only = _cleared(found, wrappers)
-    shown = [(path, text, article) for path, text, hard, article, wraps in found if not hard and clear.issuperset(wraps) and (article or not only)]
-    return shown, [] if only else [(path, children) for path, children, hard, article, wraps in elements if not (hard or article) and clear.issuperset(wraps)]
+    prior = lambda hard, article, wraps: CHROME if hard or not clear.issuperset(wraps) or (only and not article) else ARTICLE if article else OPEN
+    return [(path, text, prior(hard, article, wraps)) for path, text, hard, article, wraps in found], [(path, children) for path, children, *_ in elements]
+
+
+def content(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str]]]:
+    """(style path, text, within an article) of the blocks without a prior against them, and the elements of ``whole``."""
+    found, elements = whole(page)
+    return [(path, text, prior == ARTICLE) for path, text, prior in found if prior != CHROME], elements
 
 
 def _hash(*parts: str) -> int:
@@ -196,9 +206,9 @@ def _branches(path: str) -> list[str]:
 def main_text(page: str, noisy: frozenset[int] = frozenset()) -> str:
     """Blocks that stay, joined by line feeds; ``noisy`` has the hashes of texts at their paths and of branches. If these were all
     of the page, they are kept."""
-    found, _ = content(page)
-    gone = {path: any(_hash(b) in noisy for b in _branches(path)) for path in {path for path, _, article in found if not article}} if noisy else {}
-    kept = [text for path, text, article in found if article or not noisy or not (gone[path] or _hash(path, text) in noisy)]
+    found = [block for block in whole(page)[0] if block[2] != CHROME]
+    gone = {path: any(_hash(b) in noisy for b in _branches(path)) for path in {path for path, _, prior in found if prior == OPEN}} if noisy else {}
+    kept = [text for path, text, prior in found if prior == ARTICLE or not noisy or not (gone[path] or _hash(path, text) in noisy)]
     return "\n".join(kept or [text for _, text, _ in found])
 
 
@@ -206,23 +216,26 @@ PAGE, TEXT, STYLE = 0, 1, 2
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, kind, path, feature, hash of the body) once for each page: the page itself, hashes of its texts at their paths, and of
-    the presentation of the nodes above these. Articles aren't judged."""
+    """(host, kind, path, feature, hash of the body, whether without a prior) once for each page: the page itself, hashes of all its texts at
+    their paths, and of the presentation of the nodes above these. The body is what has no prior against it."""
     for batch in slices(batches, "html"):
         rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found, elements = content(page)
-            body = _hash(*([text for path, text, _ in found if not _HEADING.search(path)] or [text for _, text, _ in found]))
-            rows.append((host, PAGE, "", 0, body))
-            texts = {(path, text) for path, text, article in found if not article}
-            rows += [(host, TEXT, path, _hash(path, text), body) for path, text in texts]
+            found, elements = whole(page)
+            shown = [(path, text) for path, text, prior in found if prior != CHROME]
+            body = _hash(*([text for path, text in shown if not _HEADING.search(path)] or [text for _, text in shown]))
+            rows.append((host, PAGE, "", 0, body, False))
+            texts: dict[tuple[str, str], bool] = {}
+            for path, text, prior in found:
+                texts[path, text] = texts.get((path, text), False) or prior == OPEN
+            rows += [(host, TEXT, path, _hash(path, text), body, is_open) for (path, text), is_open in texts.items()]
             styles = {b: [] for b in {b for path in {path for path, _ in texts} for b in _branches(path)}}
             for path, children in elements:
                 if path in styles:
                     styles[path].append(children)
-            rows += [(host, STYLE, path, _hash(path, *children), body) for path, children in styles.items()]
-        types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["host", "kind", "path", "feature", "body"])
+            rows += [(host, STYLE, path, _hash(path, *children), body, False) for path, children in styles.items()]
+        types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["host", "kind", "path", "feature", "body", "open"])
 
 
 def _presentation(counts: DataFrame, *node: str) -> DataFrame:
@@ -243,18 +256,19 @@ def _branch_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def judged(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts (host, path, feature, importance) and nodes (host, path, importance, highest) of the tree, from (host, html) rows;
-    ``highest`` is the most importance of a node's branch."""
+    """Texts (host, path, feature, importance, open) and nodes (host, path, importance, highest) of the tree, from (host, html) rows;
+    ``highest`` is the most importance of a node's branch, ``open`` whether the text stands anywhere without a prior."""
     small_batches(pages.sparkSession)
-    on = materialize(pages.select("host", "html").mapInArrow(_features, "host string, kind int, path string, feature bigint, body bigint").distinct(), "features")
+    rows = pages.select("host", "html").mapInArrow(_features, "host string, kind int, path string, feature bigint, body bigint, open boolean")
+    on = materialize(rows.groupBy("host", "kind", "path", "feature", "body").agg(F.max("open").alias("open")), "features")
     size = on.where(F.col("kind") == PAGE).groupBy("host").agg(F.count("*").alias("m"))
     all_m = on.where(F.col("kind") == PAGE).select("body").distinct().count()
-    own = on.where(F.col("kind") != PAGE).groupBy("host", "kind", "path", "feature").agg(F.count("*").alias("n"))
+    own = on.where(F.col("kind") != PAGE).groupBy("host", "kind", "path", "feature").agg(F.count("*").alias("n"), F.max("open").alias("open"))
     wide = on.where(F.col("kind") != PAGE).select("kind", "path", "feature", "body").distinct().groupBy("kind", "path", "feature").agg(F.count("*").alias("n"))
     texts = own.where(F.col("kind") == TEXT).drop("kind").join(size, "host").join(wide.where(F.col("kind") == TEXT).select("feature", F.col("n").alias("all_n")), "feature")
     said = F.when(F.col("m") > 1, 1 - F.log("n") / F.log("m")).otherwise(1.0)
     text = _blend(said, 1 - F.log("all_n") / math.log(all_m) if all_m > 1 else F.lit(1.0), F.col("m"))
-    texts = materialize(texts.select("host", "path", "feature", text.alias("text")), "texts")
+    texts = materialize(texts.select("host", "path", "feature", text.alias("text"), "open"), "texts")
 
     styles = _presentation(own.where(F.col("kind") == STYLE), "host", "path").join(size, "host")
     everywhere = _presentation(wide.where(F.col("kind") == STYLE), "path").toDF("path", "all_entropy", "all_weight")
@@ -279,7 +293,7 @@ def judged(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = materialize(nodes.join(importance, ["host", "path"]).join(highest, ["host", "path"]), "tree")
     texts = texts.join(nodes.select("host", "path", "entropy", "weight"), ["host", "path"])
     saved = F.greatest("text", (1 - F.col("weight")) * F.col("entropy") + F.col("weight") * F.col("text"))
-    return texts.select("host", "path", "feature", saved.alias("importance")), nodes.select("host", "path", "importance", "highest")
+    return texts.select("host", "path", "feature", saved.alias("importance"), "open"), nodes.select("host", "path", "importance", "highest")
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -307,7 +321,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("host"))
     texts, nodes = judged(rows)
     low = nodes.where(F.col("highest") < MIN_IMPORTANCE).select("host", "path").mapInArrow(_branch_hashes, "host string, feature bigint")
-    noisy = texts.where(F.col("importance") < MIN_IMPORTANCE).select("host", "feature").union(low).groupBy("host").agg(F.collect_set("feature").alias("noisy"))
+    noisy = texts.where(F.col("open") & (F.col("importance") < MIN_IMPORTANCE)).select("host", "feature").union(low).groupBy("host").agg(F.collect_set("feature").alias("noisy"))
     noisy = materialize(noisy, "noisy")
     if (noisy.agg(F.sum(F.size("noisy"))).first()[0] or 0) <= BROADCAST_TEXTS:
         joined = rows.join(F.broadcast(noisy), "host", "left")
