@@ -2,8 +2,9 @@
 
 Layout, as tables under one path:
 
-* ``runs`` (term, block, ats, lens, ends, places, ids): what a task finds in a block, one row for each term with the block's texts that have it as
-  flat lists, and one without a term for all its texts. The other tables are made from it, so places of words are exchanged once, a block at a time.
+* ``runs`` (term, block, data, ids): what a task finds in a block, one row for each term and one without a term for all the block's texts. ``data``
+  has the number of texts, for each text its place in the block, the length of each field and, but for the row without a term, where the places of each
+  field end, then all places. The other tables are made from it, so places of words are exchanged once, a block at a time.
 * ``docs`` (ordinal, id, and the length of each field). Ordinals follow the ids; 128 of them make a block.
 * ``postings`` (part, term, block, top, entries): one row for a term in a block, with the ordinals, impacts and positions of its texts there and
   the largest impact. Rows are sorted by term and block and dealt by range to ``part`` folders, so a query reads the folders of its terms; a
@@ -25,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bind import let
 from ..functions.stem import stem
 from ..sources.scratch import kept
 from ..sources.tables import small_batches
@@ -50,22 +50,17 @@ class Index:
         return stem(word) if self.stemmed else word
 
 
-RUNS = "term string, block bigint, ats array<int>, lens array<int>, ends array<int>, places array<bigint>"
-
-
 def _inverted(stemmed: bool):
     """Texts (ordinal, id, lower-case fields) as ``runs``. A task holds one block of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, stem_of = re.compile("[a-z0-9]+").findall, {}
-        block, ids, all_ats, all_lens, found, id_type = None, [], [], [], {}, None
+        block, ids, held, found, id_type = None, [], [], {}, None
 
         def out() -> pa.RecordBatch:
-            ints, longs, n = pa.list_(pa.int32()), pa.list_(pa.int64()), len(found) + 1
-            lists = [*found.values(), (all_ats, all_lens, [], [])]
-            columns = [pa.array([*found, None], pa.string()), pa.array([block] * n, pa.int64()), *(pa.array([x[i] for x in lists], longs if i == 3 else ints) for i in range(4))]
-            columns.append(pa.array([None] * (n - 1) + [ids], pa.list_(id_type)))
-            return pa.RecordBatch.from_arrays(columns, names=["term", "block", "ats", "lens", "ends", "places", "ids"])
+            data = [[n, *heads, *places] for n, heads, places in found.values()] + [[len(ids), *held]]
+            columns = [pa.array([*found, None], pa.string()), pa.array([block] * len(data), pa.int64()), pa.array(data, pa.list_(pa.int32())), pa.array([None] * len(found) + [ids], pa.list_(id_type))]
+            return pa.RecordBatch.from_arrays(columns, names=["term", "block", "data", "ids"])
 
         for batch in batches:
             id_type = batch.column(1).type
@@ -73,34 +68,36 @@ def _inverted(stemmed: bool):
                 if ordinal >> BLOCK_BITS != block:
                     if ids:
                         yield out()
-                    block, ids, all_ats, all_lens, found = ordinal >> BLOCK_BITS, [], [], [], {}
-                said: dict[str, list[int]] = {}
-                lens = []
+                    block, ids, held, found = ordinal >> BLOCK_BITS, [], [], {}
+                said: dict[str, list[list[int]]] = {}
+                head = [ordinal & ((1 << BLOCK_BITS) - 1)]
                 for i, text in enumerate(texts):
                     every = words(text)
-                    lens.append(len(every))
-                    for place, word in enumerate(every, i << FIELD_BITS):
+                    head.append(len(every))
+                    for place, word in enumerate(every):
                         if word not in STOP_WORDS:
-                            said.setdefault(word, []).append(place)
+                            if word not in said:
+                                said[word] = [[] for _ in texts]
+                            said[word][i].append(place)
                 if stemmed:
-                    by_stem: dict[str, list[int]] = {}
+                    by_stem: dict[str, list[list[int]]] = {}
                     for word, places in said.items():
                         if word not in stem_of:
                             if len(stem_of) >= STEMS_KEPT:
                                 stem_of.clear()
                             stem_of[word] = stem(word)
-                        by_stem.setdefault(stem_of[word], []).extend(places)
-                    said = {term: sorted(places) for term, places in by_stem.items()}
-                at = ordinal & ((1 << BLOCK_BITS) - 1)
-                for term, places in said.items():
-                    run_ = found.setdefault(term, ([], [], [], []))
-                    run_[0].append(at)
-                    run_[1].extend(lens)
-                    run_[3].extend(places)
-                    run_[2].append(len(run_[3]))
+                        other = by_stem.get(stem_of[word])
+                        by_stem[stem_of[word]] = [sorted(a + b) for a, b in zip(other, places, strict=True)] if other else places
+                    said = by_stem
+                for term, fields in said.items():
+                    row = found.setdefault(term, [0, [], []])
+                    row[0] += 1
+                    row[1] += head
+                    for places in fields:
+                        row[2] += places
+                        row[1].append(len(row[2]))
                 ids.append(key)
-                all_ats.append(at)
-                all_lens.extend(lens)
+                held += head
         if ids:
             yield out()
 
@@ -118,31 +115,34 @@ def build(docs: DataFrame, id_col: str, fields: dict[str, float], path: str, ste
     texts = [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"t{i}") for i, f in enumerate(names)]
     ordered = docs.select(F.col(id_col).alias("id"), *texts).repartitionByRange("id").sortWithinPartitions("id")
     numbered = small_batches(ordered.select(F.monotonically_increasing_id().alias("ordinal"), "*"))
-    found = numbered.mapInArrow(_inverted(stemmed), f"{RUNS}, ids array<{ordered.schema['id'].dataType.simpleString()}>")
+    found = numbered.mapInArrow(_inverted(stemmed), f"term string, block bigint, data array<int>, ids array<{ordered.schema['id'].dataType.simpleString()}>")
     runs = kept(found, f"{path}/runs")
 
-    held = runs.where("term IS NULL").select("block", "ats", "lens", F.posexplode("ids").alias("i", "id"))
-    lengths = [F.get("lens", F.col("i") * len(names) + i).cast("bigint").alias(f"len{i}") for i in range(len(names))]
-    rows = held.select((F.shiftleft("block", BLOCK_BITS) + F.get("ats", F.col("i"))).alias("ordinal"), "id", *lengths)
+    held = runs.where("term IS NULL").select("block", "data", F.posexplode("ids").alias("i", "id"))
+    at = F.col("i") * (1 + len(names)) + 1
+    lengths = [F.get("data", at + 1 + i).cast("bigint").alias(f"len{i}") for i in range(len(names))]
+    rows = held.select((F.shiftleft("block", BLOCK_BITS) + F.get("data", at)).alias("ordinal"), "id", *lengths)
     rows = kept(rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal"), f"{path}/docs")
     facts = kept(rows.agg(F.count("*").alias("texts"), F.lit(stemmed).alias("stemmed"), *(F.avg(f"len{i}").alias(f"avg{i}") for i in range(len(names)))), f"{path}/facts").first()
 
-    def impact(nth: Column, places: Column) -> Column:
-        out: Column = F.lit(0.0)
-        for i, weight in enumerate(fields.values()):
-            tf = F.size(F.filter(places, lambda p: F.shiftright(p, FIELD_BITS) == i)) if len(names) > 1 else F.size(places)  # noqa: B023
-            norm = K1 * (1 - B + B * F.get("lens", nth * len(names) + i) / F.lit(max(facts[f"avg{i}"] or 1.0, 1e-9)))
-            out = out + F.lit(float(weight)) * tf * (K1 + 1) / (tf + norm)
-        return out
+    width, count = 1 + 2 * len(names), F.get("data", F.lit(0))
 
     def entry(nth: Column) -> Column:
-        before = F.when(nth > 0, F.get("ends", nth - 1)).otherwise(0)
-        ordinal = F.shiftleft("block", BLOCK_BITS) + F.get("ats", nth)
-        return let(F.slice("places", before + 1, F.get("ends", nth) - before), lambda places: F.struct(ordinal.alias("ordinal"), impact(nth, places).alias("impact"), places.alias("places")))
+        first = nth * width + 1  # where the text's numbers begin
+        before = F.when(nth > 0, F.get("data", first - 1)).otherwise(0)
+        impact, places = F.lit(0.0), []
+        for i, weight in enumerate(fields.values()):
+            end = F.get("data", first + 1 + len(names) + i)
+            tf = end - before
+            norm = K1 * (1 - B + B * F.get("data", first + 1 + i) / F.lit(max(facts[f"avg{i}"] or 1.0, 1e-9)))
+            impact = impact + F.lit(float(weight)) * tf * (K1 + 1) / (tf + norm)
+            places.append(F.transform(F.slice("data", count * width + 2 + before, tf), lambda p: p.cast("bigint") + (i << FIELD_BITS)))  # noqa: B023
+            before = end
+        return F.struct((F.shiftleft("block", BLOCK_BITS) + F.get("data", first)).alias("ordinal"), impact.alias("impact"), (F.concat(*places) if places[1:] else places[0]).alias("places"))
 
     # Rows are exchanged and sorted as flat lists; entries are made of them as they are written.
     blocks = runs.where("term IS NOT NULL").drop("ids").repartitionByRange(parts, "term", "block").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "term", "block")
-    blocks = blocks.select("term", "block", F.transform(F.sequence(F.lit(0), F.size("ats") - 1), entry).alias("entries"), "part")
+    blocks = blocks.select("term", "block", F.transform(F.sequence(F.lit(0), count - 1), entry).alias("entries"), "part")
     dealt = blocks.select("term", "block", F.array_max("entries.impact").alias("top"), "entries", "part")
     dealt.write.partitionBy("part").parquet(f"{path}/postings")
     postings = _read_postings(spark, path, dealt)
