@@ -55,8 +55,8 @@ def join_apart(rows: DataFrame, facts: DataFrame, *on: str, n: str = "n") -> Dat
     The facts of the HOT_KEYS largest keys of over HOT_ROWS rows are broadcast (some hundred kilobytes), so the rows of a hot key
     stay where they are; all the other keys are joined by a shuffle, in which none of them is large.
     """
-    hot = facts.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), *on).limit(HOT_KEYS).collect()  # HOT_KEYS rows at most
-    if not hot:
+    hot = facts.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), *on).limit(HOT_KEYS).toArrow()  # HOT_KEYS rows at most
+    if not hot.num_rows:
         return rows.join(facts, list(on))
     hot = rows.sparkSession.createDataFrame(hot, facts.schema).coalesce(1)
     there = F.broadcast(hot.select(*on))

@@ -429,7 +429,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = reach.join(salts, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).alias("salt"))
     heads = _of(near, reach.select(F.col("b").alias("node"))).toDF("b", "y").join(salts, "b", "left").select("b", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     tested = pairs.join(_of(near, reach.select(F.col("a").alias("node"))).toDF("a", "x"), "a").join(heads, ["b", "salt"]).select("a", "b", "x", "y")
-    links = tested.mapInArrow(_verify(k, num, den), "a bigint, b bigint")
+    # A table, as the components begin in Python too: one task would hold a worker for either, and both stay with the executor.
+    links = materialize(tested.mapInArrow(_verify(k, num, den), "a bigint, b bigint"), "tested")
     found = components(links.unionByName(_same_id(live, copies)), "a", "b")
 
     # What is left are nodes of the index whose texts are in several components.

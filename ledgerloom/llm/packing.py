@@ -124,7 +124,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     plan = spark.sparkContext.broadcast([np.array(x, np.int64)[order] for x in (keys, first_bin, per_bin, offset)])
 
     # A length may hold a third of all pieces: it is dealt to groups of about the square root of its count, at least 256.
-    salts = spark.createDataFrame([(k, int(-(-n // max(256, int(n**0.5))))) for k, n in counts.items()], "length bigint, salts bigint")
+    # It comes as an Arrow table: of a list the executors would read every row back in Python workers of another kind, which stay.
+    salts = spark.createDataFrame(pa.table({"length": pa.array(counts.keys(), pa.int64()), "salts": pa.array([-(-n // max(256, int(n**0.5))) for n in counts.values()], pa.int64())}))
     dealt = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), "salts"))
     sizes = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
     base = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("base"))
