@@ -112,11 +112,12 @@ def months_of_experience(spans: DataFrame, key: str, start: str = "start", end:
     """(key, jobs, months, first, last) of spans of employment: time in several jobs at once counts once.
 
     Spans are islands of a running latest end; a span without a start or an end, or that ends before it starts, is left out.
+    Equal spans are of one island, by the frame's range, in whatever order the windows meet them.
     """
     rows = spans.where(F.col(end) >= F.col(start)).select(key, F.col(start).alias("s"), F.col(end).alias("e"))
     before = F.max("e").over(Window.partitionBy(key).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     begins = rows.withColumn("begins", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0))
-    islands = begins.withColumn("island", F.sum("begins").over(Window.partitionBy(key).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)))
+    islands = begins.withColumn("island", F.sum("begins").over(Window.partitionBy(key).orderBy("s", "e").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = islands.groupBy(key, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("jobs"))
     months = (F.year("e") - F.year("s")) * 12 + F.month("e") - F.month("s")
     return merged.groupBy(key).agg(F.sum("jobs").alias("jobs"), F.sum(months).cast("bigint").alias("months"), F.min("s").alias("first"), F.max("e").alias("last"))

@@ -86,3 +86,15 @@ def test_an_index_exchanges_little_more_than_its_texts(spark, tmp_path, stemmed)
     assert index.postings.count() == index.postings.select("term", "block").distinct().count()
     found = I.matching(index, words[7]).collect()
     assert len(found) == sum(any(index.analyse(w) == index.analyse(words[7]) for w in t.split()) for _, t in texts)
+
+
+def test_equal_spans_are_one_island_in_any_order(spark, monkeypatch):
+    """Rows of equal start and end may come to the second window in another order than to the first."""
+    from ledgerloom.functions.letters import months_of_experience
+
+    frame = type(spark.range(1))
+    add = frame.withColumn
+    monkeypatch.setattr(frame, "withColumn", lambda rows, name, value: add(rows.coalesce(1).sortWithinPartitions("begins") if name == "island" else rows, name, value))
+    spans = "(1, DATE '2000-01-01', DATE '2000-03-01'), (1, DATE '2001-01-01', DATE '2001-05-01'), (1, DATE '2001-01-01', DATE '2001-05-01'), (1, DATE '2001-01-01', DATE '2001-06-01')"
+    got = months_of_experience(spark.sql(f"SELECT * FROM VALUES {spans} t(who, start, end)"), "who").collect()
+    assert [(r.jobs, r.months) for r in got] == [(4, 7)]
